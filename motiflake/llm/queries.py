@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, rules
+from . import chat, decontam, jaccard, licenses, packing, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["words"])
@@ -49,6 +59,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.clusters(table(spark, sf_dir, "documents"), n=3, t=(9, 10))
+
+
 OP10_EXTRA = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -64,5 +78,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op6_license_scan": op6_license_scan, "op10_chat_format": op10_chat_format}
+QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op7_jaccard_join": op7_jaccard_join, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op6_license_scan": op6_license_scan, "op10_chat_format": op10_chat_format}
 SQL: dict[str, str] = {}
