@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, licenses, packing, rules
+from . import chat, decontam, jaccard, licenses, packing, rules, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.clusters(table(spark, sf_dir, "documents"), n=3, t=(9, 10))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 OP10_EXTRA = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -78,5 +82,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op7_jaccard_join": op7_jaccard_join, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op6_license_scan": op6_license_scan, "op10_chat_format": op10_chat_format}
+QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op7_jaccard_join": op7_jaccard_join, "op9_suffix_dedup": op9_suffix_dedup, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op6_license_scan": op6_license_scan, "op10_chat_format": op10_chat_format}
 SQL: dict[str, str] = {}
