@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, licenses, packing, rules, suffix, toxicity
+from . import chat, decontam, jaccard, licenses, packing, quality, rules, suffix, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc(column: str, n: int) -> F.Column:
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trained = quality.train(docs, table(spark, sf_dir, "labels"), crc("id", 4) != 2)
+    return quality.score(docs, trained).select(
+        "doc_id", (crc("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_lines", "bad_lines"
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -63,10 +75,6 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.clusters(table(spark, sf_dir, "documents"), n=3, t=(9, 10))
 
 
-def crc(column: str, n: int) -> F.Column:
-    return F.crc32(F.col(column).cast("string")) % n
-
-
 def toxicity_model(docs: DataFrame, labels: DataFrame):
     """Fitted without the rows whose crc32(doc_id) mod 5 is 0: counts of remainders 2 to 4, weights of remainder 1."""
     return toxicity.train(docs, labels, crc("id", 5) >= 2, crc("id", 5) == 1)
@@ -97,5 +105,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op6_license_scan": op6_license_scan, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_best_fit_packing": op2_best_fit_packing, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op6_license_scan": op6_license_scan, "op10_chat_format": op10_chat_format}
 SQL: dict[str, str] = {}
