@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, licenses, packing, quality, rules, suffix, toxicity
+from . import chat, decontam, jaccard, licenses, packing, quality, rules, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,22 @@ from w left join r using (doc_id)
 """
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, directory = warc.archive(spark, table(spark, sf_dir, "pages"))
+    got = warc.read(warc.captures(directory))
+    return got.select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP5_SQL = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, cast(octet_length(encode(h)) as bigint) n, sha1(h) s from p),
+m as (select s, max(page_id) rep from d where n >= 1000 group by s)
+select page_id, n payload_bytes, d.s payload_digest, case when n >= 1000 and rep <> page_id then 'revisit' else 'response' end record_type,
+    case when n >= 1000 and rep <> page_id then rep end refers_to
+from d left join m on d.s = m.s
+"""
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
@@ -105,5 +121,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_best_fit_packing": op2_best_fit_packing, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op6_license_scan": op6_license_scan, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_best_fit_packing": op2_best_fit_packing, "op5_warc": op5_warc, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op6_license_scan": op6_license_scan, "op10_chat_format": op10_chat_format}
 SQL: dict[str, str] = {}
