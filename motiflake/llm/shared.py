@@ -7,9 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,20 @@ def forget(*frames: DataFrame) -> None:
         drop_path(f.sparkSession, f._motiflake_path)
 
 
+def sieve(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df with a boolean `_maybe` that is true wherever the column's value is in the same column of keys, and seldom
+    elsewhere: a bitmap of at most 2**20 words, built by a grouped bit_or and broadcast. It spares rows a shuffle; an
+    exact join has to follow."""
+    n = keys.count()
+    words = 1 << min(20, max(10, (n // 4).bit_length()))
+    h = F.xxhash64(F.lit(7), F.col(column))
+    word, bit = F.pmod(h, F.lit(words)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+    one = F.expr("shiftleft(1L, _bit)")
+    bitmap = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(one).alias("_bits"))
+    out = df.withColumns({"_w": word, "_bit": bit}).join(F.broadcast(bitmap.withColumnRenamed("_word", "_w")), "_w", "left")
+    return out.withColumn("_maybe", F.expr("coalesce((shiftright(_bits, _bit) & 1) = 1, false)")).drop("_w", "_bit", "_bits")
+
+
 def cut(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of the column, one row at least."""
     import numpy as np
@@ -68,7 +84,7 @@ def cut(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatc
 
 
 def map_slices(
-    df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, most: int = 4 << 20
+    df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, most: int = 3 << 20
 ) -> DataFrame:
     """mapInArrow over slices of bounded text size, so memory doesn't follow the rows per Arrow batch."""
 

@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import SCHEMA, dealt, gathered, partitions
-from .shared import map_slices, written
+from .shared import map_slices, sieve, written
 from .textkernel import BASE, BASE_INV, MIX, mix, powers, raw
 
 SIZE = 200
 GRAM = 64
 COLLECTION = 200_000
+SLICE = 3 << 20
 PLACE = np.uint64((1 << 26) - 1)
 MOST = 1 << 25
 RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("u", "<i8"), ("p", "<i4"), ("n", "<i2")])
@@ -193,9 +194,11 @@ def merged(blobs: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(s["start"][new].tolist(), stop[np.append(new[1:], len(s)) - 1].tolist(), strict=True))
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, text (null as empty), spans (blobs of repeated spans in bytes, or null), copies of its whole text."""
-    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("u", F.xxhash64("text"))
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: F.Column | None = None) -> DataFrame:
+    """Per row: id, text (null as empty), spans (blobs of repeated spans in bytes, or null), copies of its whole text,
+    and what else a caller wants carried (rest)."""
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.lit(None) if rest is None else rest).alias("rest")).withColumn("u", F.xxhash64("text"))
+    names = ["id", "text", "spans", "copies", "rest"]
     parts = partitions(docs)
 
     def send(batch: pa.RecordBatch):
@@ -208,14 +211,15 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         rec["key"], rec["content"], rec["u"], rec["p"], rec["n"] = key, content, u[np.sort(one)][doc], p, n
         yield dealt(rec, ((key >> np.uint64(40)) % np.uint64(4 * parts)).astype(np.int64))
 
-    sites = gathered(map_slices(text.select("u", "text"), "text", send, SCHEMA, 8 << 20), parts, RUN, _sites, "u long, kind int, blob binary")
+    sites = gathered(map_slices(text.select("u", "text"), "text", send, SCHEMA, SLICE), parts, RUN, _sites, "u long, kind int, blob binary")
     sites = written(sites, "sites")
     one = text.groupBy("u").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
     one = written(one, "texts")
     wanted = sites.where("kind = 1").groupBy("u").agg(F.collect_list("blob").alias("sites")).join(one.where("rep is not null"), "u").withColumnRenamed("u", "v")
-    wanted = wanted.join(text, (F.col("v") == F.col("u")) & (F.col("rep") == F.col("id"))).select("u", "text", "sites")
+    near = sieve(text.drop("rest"), "u", sites.where("kind = 1").select("u").distinct()).where("_maybe").drop("_maybe")
+    wanted = wanted.join(near, (F.col("v") == F.col("u")) & (F.col("rep") == F.col("id"))).select("u", "text", "sites")
     lost = sites.where("kind = 1").groupBy("u").agg(F.collect_list("blob").alias("sites")).join(one.where("rep is null"), "u").withColumnRenamed("u", "v")
-    wanted = wanted.unionByName(lost.join(text, F.col("v") == F.col("u")).select("u", "text", "sites"))
+    wanted = wanted.unionByName(lost.join(near, F.col("v") == F.col("u")).select("u", "text", "sites"))
 
     def segments(batch: pa.RecordBatch):
         data, off = raw(batch.column(1))
@@ -242,10 +246,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if got:
             yield from _compare(got)
 
-    found = map_slices(wanted, "text", segments, "bucket int, head binary, body binary", 8 << 20).repartition(parts, "bucket").mapInArrow(compare, "u long, kind int, blob binary")
+    found = map_slices(wanted, "text", segments, "bucket int, head binary, body binary", SLICE).repartition(parts, "bucket").mapInArrow(compare, "u long, kind int, blob binary")
     spans = sites.where("kind = 0").unionByName(found).groupBy("u").agg(F.collect_list("blob").alias("spans"))
     spans = written(one.select("u", "copies").join(spans, "u", "left").where("copies > 1 or spans is not null"), "spans")
-    return text.join(spans, "u", "left").select("id", "text", "spans", "copies").withColumnRenamed("id", id_col)
+    flagged = sieve(text, "u", spans.select("u"))
+    hit = flagged.where("_maybe").join(spans, "u", "left").select(*names)
+    free = flagged.where("not _maybe").withColumns({"spans": F.lit(None).cast("array<binary>"), "copies": F.lit(None).cast("long")}).select(*names)
+    return hit.unionByName(free)
 
 
 def spans_of(n_bytes: int, copies: int | None, blobs: list[bytes] | None) -> list[tuple[int, int]]:
@@ -274,7 +281,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3])], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = repeated(docs, id_col, text_col).withColumnRenamed(id_col, "id")
+    found = repeated(docs, id_col, text_col).drop("rest")
     return map_slices(found, "text", run, f"id {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
@@ -291,3 +298,24 @@ def kept_text(text: bytes, spans: list[tuple[int, int]]) -> str:
     for a, b in wide:
         joined[-1:] = [(joined[-1][0], max(b, joined[-1][1]))] if joined and a <= joined[-1][1] else [*joined[-1:], (a, b)]
     return without(text, joined).decode("utf-8", "replace")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without repeated passages (widened to whole characters); those left without a word go, unless
+    they had none."""
+    rest = F.struct(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).alias("_")])
+    found = repeated(docs.withColumn("_null", F.col(text_col).isNull()), id_col, text_col, F.struct(rest.alias("r"), F.col("_null").alias("null")))
+
+    @F.pandas_udf("string")
+    def kept(text, spans, copies):
+        def one(t, s, c):
+            b = t.encode()
+            return kept_text(b, spans_of(len(b), None if c != c else c, None if s is None else list(s)))
+
+        return text.combine(spans, lambda t, s: (t, s)).combine(copies, lambda ts, c: one(*ts, c))
+
+    touched = F.col("spans").isNotNull() | (F.coalesce("copies", F.lit(1)) > 1)
+    new = found.where(touched).withColumn("text", kept("text", "spans", "copies")).where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    old = found.where(~touched).withColumn("text", F.when(~F.col("rest.null"), F.col("text")))
+    out = new.unionByName(old)
+    return out.select(*[F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"rest.r.`{c}`").alias(c) for c in docs.columns])
