@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_slices
+from .shared import map_slices, sieve, written
 from .textkernel import ALNUM, LOWER, raw, whole, windows, words
 
 NGRAM = 10
@@ -158,16 +158,19 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "span", id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM) -> DataFrame:
     """Documents without benchmark passages. mode "span": hit words and what stands between them are cut out of the
     text, and a document goes only if no word is left; mode "document": every document with a hit goes."""
-    hits = find(docs, benchmark, id_col, text_col, n).where(F.size("spans") > 0)
-    hits = hits.select(F.col(id_col).alias("_hit_id"), F.col("spans").alias("_spans"), (F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["words"]) >= F.col("n_words")).alias("_all"))
-    if mode == "document":
-        return docs.join(hits, docs[id_col].eqNullSafe(hits["_hit_id"]), "left_anti")
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits["_hit_id"]), "left").where(~F.coalesce("_all", F.lit(False)))
     names = docs.columns
+    keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col))
+    hits = find(keyed, benchmark, "_key", text_col, n).where(F.size("spans") > 0)
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["words"])
+    hits = written(hits.select("_key", F.col("spans").alias("_spans"), (covered >= F.col("n_words")).alias("_all")).dropDuplicates(["_key"]), "hits")
+    flagged = sieve(keyed, "_key", hits)
+    clean = flagged.where("not _maybe").select(*names).unionByName(flagged.where("_maybe").join(hits, "_key", "left_anti").select(*names))
+    if mode == "document":
+        return clean
 
     @F.pandas_udf("string")
     def cut(text, spans):
-        return text.combine(spans, lambda t, s: without_spans((t or "").encode(), [(x["start"], x["stop"]) for x in s]))
+        return text.combine(spans, lambda t, s: without_spans(t.encode(), [(x["start"], x["stop"]) for x in s]))
 
-    whole_ones = joined.where(F.col("_spans").isNull()).select(*names)
-    return whole_ones.unionByName(joined.where(F.col("_spans").isNotNull()).withColumn(text_col, cut(F.col(text_col), "_spans")).select(*names))
+    hit = flagged.where("_maybe").join(hits.where("not _all"), "_key")
+    return clean.unionByName(hit.withColumn(text_col, cut(F.col(text_col), "_spans")).select(*names))

@@ -38,6 +38,7 @@ CALIBRATION = 20_000
 #: Label rows up to which they are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
 CONTEXTS = 1 << 16
+TOXIC_WEIGHT = 3.0
 END = np.uint64(0xA5A5A5A5)
 NODE = np.dtype([("parent", "<u8"), ("key", "<u8"), ("tri", "<u4"), ("c0", "<i8"), ("c1", "<i8")])
 PARENT = np.dtype([("key", "<u8"), ("t0", "<i8"), ("t1", "<i8")])
@@ -127,7 +128,7 @@ def count(docs: DataFrame, y: str) -> tuple[DataFrame, DataFrame]:
                 s = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (parent, key, tri, a, b)] + [pa.array(np.full(len(key[s]), is_parent))], names=["parent", "key", "tri", "c0", "c1", "up"])
 
-    table = gathered(map_slices(docs.select("text", F.col(y).cast("int").alias("y")), "text", send, SCHEMA, 8 << 20), parts, NODE, add, "parent long, key long, tri long, c0 long, c1 long, up boolean")
+    table = gathered(map_slices(docs.select("text", F.col(y).cast("int").alias("y")), "text", send, SCHEMA, 3 << 20), parts, NODE, add, "parent long, key long, tri long, c0 long, c1 long, up boolean")
     table = written(table, "prefixes")
     return table.where("not up"), table.where("up")
 
@@ -249,9 +250,9 @@ def _inputs(n, mean, above, share) -> list:
 
 
 def fit(sample, y: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge, classes weighted alike."""
+    """Logistic regression by Newton steps with a small ridge; a toxic row weighs TOXIC_WEIGHT ordinary ones."""
     x = np.stack(_inputs(*(sample[c].to_numpy().astype(float) for c in ("n_words", *FEATURES))), 1)
-    w = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    w = np.where(y > 0, TOXIC_WEIGHT, 1.0)
     b = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], 0.5)
     ridge[0] = 1e-3
@@ -285,15 +286,26 @@ def train(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Colum
     return model, fit(sample, sample["y"].to_numpy().astype(float))
 
 
-def score(docs: DataFrame, trained: tuple[Model, np.ndarray] | None, id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, n_words, score in 0..1."""
-    if trained is None:
-        return docs.select(id_col, F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("score"))
-    model, b = trained
-    kind = dict(docs.dtypes)[id_col]
-    f = features(docs.select(F.col(id_col).alias("id"), "text"), model, ("id",))
+def _score(b: np.ndarray) -> Column:
     n = F.col("n_words").cast("double")
     scale = F.sqrt(F.least(n, F.lit(400.0)) / 100.0)
     terms = [F.lit(1.0), F.col("mean") * 10, F.col("above") * 10, F.col("share") * 10, F.col("mean") * scale * 10, F.col("above") * scale * 10, F.log1p(n)]
     z = sum((t * float(w) for t, w in zip(terms, b, strict=True)), F.lit(0.0))
-    return f.select(F.col("id").cast(kind).alias(id_col), "n_words", (1 / (1 + F.exp(-z))).alias("score"))
+    return 1 / (1 + F.exp(-z))
+
+
+def score(docs: DataFrame, trained: tuple[Model, np.ndarray] | None, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, the kept columns, n_words, score in 0..1."""
+    if trained is None:
+        return docs.select(id_col, *keep, F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("score"))
+    model, b = trained
+    return features(docs, model, (id_col, *keep)).select(id_col, *keep, "n_words", _score(b).alias("score"))
+
+
+def reject(docs: DataFrame, trained: tuple[Model, np.ndarray] | None, threshold: float = 0.5) -> DataFrame:
+    """The documents whose score is below the threshold, whole."""
+    if trained is None:
+        return docs
+    model, b = trained
+    named = docs.select(F.col("text"), F.struct(*docs.columns).alias("_row"))
+    return features(named, model, ("_row",)).where(_score(b) < threshold).select("_row.*")
