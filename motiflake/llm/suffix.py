@@ -86,14 +86,15 @@ def runs(data: np.ndarray, off: np.ndarray, size: int = SIZE, k: int = GRAM) ->
 
 
 def _sites(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Runs of anchors with several sites: spans of equal runs, and one site of each content to be compared."""
+    """Runs of anchors with several sites: one site of each content goes to the collection, and the others of that
+    content, being the same document of it, are spans as they are."""
     records = np.unique(records)
     key_new = np.concatenate([[True], records["key"][1:] != records["key"][:-1]])
     content_new = key_new | np.concatenate([[True], records["content"][1:] != records["content"][:-1]])
     of_key, of_content = np.cumsum(key_new) - 1, np.cumsum(content_new) - 1
     sites = np.bincount(of_content)[of_content]
     contents = np.bincount(of_key[content_new])[of_key]
-    for kind, pick in ((0, sites > 1), (1, content_new & (contents > 1))):
+    for kind, pick in ((0, (sites > 1) & ~content_new), (1, content_new & ((contents > 1) | (sites > 1)))):
         r = records[pick]
         r, many = r[order := np.argsort(r["u"], kind="stable")], (sites[pick] > 1)[order]
         if kind:
