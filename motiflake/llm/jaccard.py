@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .blobs import SCHEMA, dealt, gathered, partitions
 from .graph import components
-from .shared import map_slices, written
+from .shared import map_slices, sieve, written
 from .textkernel import LOWER, SOLID, mix, raw, whole, windows, words
 
 STEPS = 3
@@ -214,14 +214,16 @@ def clusters(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: s
         rec = block_keys(val[take], np.concatenate([[0], np.cumsum(sizes)]), node[one], bands)
         yield dealt(rec, ((rec["key"] >> np.uint64(40)) % np.uint64(4 * parts)).astype(np.int64))
 
-    edges = gathered(map_slices(text, "text", send, SCHEMA, 16 << 20), parts, PAIR, hubs, "a long, b long")
+    edges = gathered(map_slices(text, "text", send, SCHEMA, 3 << 20), parts, PAIR, hubs, "a long, b long")
     member = written(components(edges), "candidates")
 
     sizes = member.groupBy("root").agg(F.count("*").alias("_n"))
     many = sizes.where(F.col("_n") > chunk).select("root", F.ceil(F.col("_n") / chunk).cast("int").alias("_r"))
     one = named.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"))
     task = member.join(many, "root", "left").join(one, "node").withColumn("_c", F.when(F.col("_r").isNotNull(), F.pmod(F.xxhash64("node"), "_r").cast("int")))
-    wanted = text.join(task, text["id"].eqNullSafe(task["id"])).select("root", "node", "_r", "_c", "text")
+    task = written(task, "tasks")
+    near = sieve(text, "id", task.select("id")).where("_maybe").drop("_maybe")
+    wanted = near.join(task, near["id"].eqNullSafe(task["id"])).select("root", "node", "_r", "_c", "text")
 
     def sets_of(batch: pa.RecordBatch):
         val, first = shingles(*raw(batch.column(4)), n)
@@ -263,3 +265,18 @@ def clusters(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: s
     least = full.where("n_shingles > 0").groupBy("_root").agg(F.min("id").alias("component_id"))
     linked = full.where("n_shingles > 0").join(least, "_root").select("id", "n_shingles", "component_id")
     return linked.unionByName(lone).withColumnRenamed("id", id_col)
+
+
+def deduplicate(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component: the one with the smallest id. Rows with one id and one text are one document;
+    rows without an id stay."""
+    found = written(clusters(docs, n, t, id_col, text_col), "components")
+    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "dropped")
+    again = written(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"), "repeated")
+    names = docs.columns
+    flagged = sieve(docs.withColumn("_gone", F.col(id_col)), "_gone", gone)
+    kept = flagged.where("not _maybe").select(*names).unionByName(flagged.where("_maybe").join(gone, "_gone", "left_anti").select(*names))
+    if not again.limit(1).count():
+        return kept
+    flagged = sieve(kept.withColumn("_again", F.col(id_col)), "_again", again)
+    return flagged.where("not _maybe").select(*names).unionByName(flagged.where("_maybe").dropDuplicates([id_col, text_col]).select(*names))
