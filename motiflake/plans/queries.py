@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import core, stats  # noqa: F401
+from . import core, genotypes, stats  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
