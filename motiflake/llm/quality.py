@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column, id_col: str = "doc
         cuts = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([size[a:b].astype(np.int64).tobytes() for a, b in cuts], pa.binary())], names=["y", "x", "size"])
 
-    got = map_slices(rows, "text", run, "y int, x binary, size binary", SLICE).toPandas()
+    got = map_slices(rows, "text", run, "y int, x binary, size binary", SLICE).toArrow().to_pandas()
     if not len(got) or got["y"].nunique() < 2:
         return None
     x = np.concatenate([np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in got["x"]]).astype(float)

@@ -33,7 +33,7 @@ from .textkernel import ALNUM, BASE, BASE_INV, MIX, mix, powers, raw, words
 DEPTH = 12
 DISCOUNT = 0.75
 LEAST = 3
-MODEL = 1 << 19
+MODEL = 1 << 18
 CALIBRATION = 20_000
 #: Label rows up to which they are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
@@ -180,12 +180,12 @@ def build(nodes: DataFrame, parents: DataFrame, most: int = MODEL, discount: flo
         if n < LEAST or have + hist[n] > most:
             break
         least, have = n, have + hist[n]
-    got = nodes.where(pooled >= least).join(parents.select(F.col("parent").alias("key"), F.col("c0").alias("t0"), F.col("c1").alias("t1"), F.col("tri").alias("t")), "key", "left").select("key", "parent", "tri", "c0", "c1", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("t0", "t1", "t")]).toPandas()
+    got = nodes.where(pooled >= least).join(parents.select(F.col("parent").alias("key"), F.col("c0").alias("t0"), F.col("c1").alias("t1"), F.col("tri").alias("t")), "key", "left").select("key", "parent", "tri", "c0", "c1", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("t0", "t1", "t")]).toArrow().to_pandas()
     tops = parents.where(F.col("parent") == int(ROOT)).first()
     if tops is None or not len(got) or not got["c1"].sum() or not got["c0"].sum():
         return None
     follow = nodes.groupBy(F.shiftright("tri", 8).alias("h"), "tri").agg(F.count("*").alias("n"))
-    follow = follow.toPandas() if follow.count() <= 1 << 20 else follow.orderBy(F.desc("n")).limit(1 << 20).toPandas()
+    follow = (follow if follow.count() <= MODEL else follow.orderBy(F.desc("n")).limit(MODEL)).toArrow().to_pandas()
     total, types = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
     tri = follow["tri"].to_numpy().astype(np.uint32)
     np.add.at(total, _context(tri), follow["n"].to_numpy())
@@ -280,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Colum
     if share > CALIBRATION:  # a documented bound on what the regression is fitted on
         part = int(share // CALIBRATION) + 1
         some = some.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0)
-    sample = features(some, model, ("y",)).toPandas()
+    sample = features(some, model, ("y",)).toArrow().to_pandas()
     if not len(sample) or sample["y"].nunique() < 2:
         return None
     return model, fit(sample, sample["y"].to_numpy().astype(float))
