@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import core, formats, genotypes, stats  # noqa: F401
+from . import core, formats, genotypes, kernels, stats, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
