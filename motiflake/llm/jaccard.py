@@ -1,9 +1,8 @@
 """Parity-sketch join: links between documents whose sets of word shingles have a Jaccard similarity of at least t.
 
 1. A document's set becomes 64-bit shingle hashes; equal sets are one node (their fingerprint), so copies cost once.
-2. Sizes are cut into steps of ratio 1/t; two sets that link are in the same or neighbouring steps. A band is STEPS
-   steps and the one above, so every such pair shares a band. In a band, sets that link differ in at most d shingles
-   (|A - B| + |B - A| <= (1 - t) / t * smaller).
+2. Sizes are cut into bands that overlap, so that every two sets that can link share one (see Bands). In a band, sets
+   that link differ in at most d shingles (|A - B| + |B - A| <= (1 - t) / t * smaller).
 3. A band's sketch has d + 1 + e blocks of BITS bits; each shingle flips one bit of one block (parity), so the Hamming
    distance of two sketches is at most the symmetric difference, and of linked sets at least 1 + e blocks are equal
    (pigeonhole). A set with at most e empty blocks sends only its other blocks, the rest send all: either way two linked
@@ -31,7 +30,8 @@ from .graph import components
 from .shared import map_slices, sieve, written
 from .textkernel import LOWER, SOLID, mix, raw, whole, windows, words
 
-STEPS = 3
+REACH = 3
+OWN = 4
 BITS = 4096
 CHUNK = 4096
 _WORD = mix(np.arange(1, BITS + 1, dtype=np.uint64))
@@ -74,30 +74,43 @@ def fingerprint(val: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Bands:
-    """Which sizes are compared, with how many blocks."""
+    """Which sizes are compared, with how many blocks.
+
+    Sizes are cut into fine steps, REACH of them to a factor of 1/t, so sets that link are at most REACH steps apart.
+    A band is OWN steps and the REACH above them.
+    """
 
     def __init__(self, t: float):
-        self.t, self.edges = t, [1]
-        while self.edges[-1] < 1 << 40:  # sizes e .. e' - 1 are a step; anything that links with them is below e''
-            self.edges.append(max(self.edges[-1] + 1, math.ceil(self.edges[-1] / t - 1e-9)))
+        self.t, r, self.edges = t, t ** (-1 / REACH), [1]
+        while self.edges[-1] < 1 << 40:
+            self.edges.append(max(self.edges[-1] + 1, math.ceil(self.edges[-1] * r - 1e-9)))
         self.edges = np.array(self.edges)
+        self.own = OWN if t < 0.85 else 3 * OWN
+        self.kept: dict[int, tuple[int, int]] = {}
 
     def differ(self, smaller: int) -> int:
         return math.floor((1 - self.t) / self.t * smaller + 1e-9)
 
     def blocks(self, band: int) -> tuple[int, int]:
-        """Blocks and allowed empty ones of a band."""
-        top = int(self.edges[min((band + 1) * STEPS + 1, len(self.edges) - 1)]) - 1
-        d = self.differ(top)
-        mean = 1 / ((1 - self.t) / self.t)  # shingles to a block, about, for the largest sets
-        spare = 2 + math.ceil(1.3 * (d + 1) * math.exp(-mean * self.t ** (STEPS / 2))) if d else 0
-        return d + 1 + spare, spare
+        """Blocks of a band and how many of them may be empty, so that hardly any set has more empty ones: n items fall
+        into b blocks, of which about b * exp(-n / b) stay empty (the variance of that is of an occupancy)."""
+        if band not in self.kept:
+            low = int(self.edges[min(band * self.own, len(self.edges) - 1)])
+            d = self.differ(int(self.edges[min((band + 1) * self.own + REACH, len(self.edges) - 1)]) - 1)
+            b = d + 1
+            while d and b < 4 * low:
+                p = math.exp(-low / b)
+                if b * (1 - p) - 3 * math.sqrt(max(0.0, b * p * (1 - (1 + low / b) * p))) > d:
+                    break
+                b += 1 + b // 100
+            self.kept[band] = b, b - d - 1
+        return self.kept[band]
 
     def of(self, sizes: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(band, which sets) with each set in one or two bands."""
         step = np.searchsorted(self.edges, sizes, "right") - 1
-        band, out = step // STEPS, []
-        lower = (step % STEPS == 0) & (step > 0)
+        band, out = step // self.own, []
+        lower = (step % self.own < REACH) & (band > 0)
         for b in np.unique(np.concatenate([band, band[lower] - 1])):
             out.append((int(b), np.flatnonzero((band == b) | (lower & (band == b + 1)))))
         return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, licenses, packing, quality, rules, suffix, toxicity, warc
+from . import chat, decontam, jaccard, licenses, oracle, packing, quality, rules, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,19 +44,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
-
-
-OP4_SQL = r"""
-with w as (select doc_id, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), x -> x <> '') ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ \t\n\x0B\f\r]')) ls from documents),
-g as (select doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] gram from (select doc_id, ws, unnest(range(1, len(ws) - 1)) i from w)),
-r as (select doc_id, count(distinct p) n_repeat from (select doc_id, unnest([i, i+1, i+2]) p from (select *, count(*) over (partition by doc_id, gram) c from g) where c > 1) group by doc_id)
-select doc_id, cast(len(ws) as bigint) n_words, cast(length(regexp_replace(t, '[ \t\n\x0B\f\r]', '', 'g')) as bigint) word_chars,
-    cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) n_dup_lines,
-    cast(coalesce(n_repeat, 0) as bigint) n_repeat_words
-from w left join r using (doc_id)
-"""
+    return rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,16 +53,6 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
-OP5_SQL = """
-with p as (select page_id, coalesce(html, '') h from pages),
-d as (select page_id, cast(octet_length(encode(h)) as bigint) n, sha1(h) s from p),
-m as (select s, max(page_id) rep from d where n >= 1000 group by s)
-select page_id, n payload_bytes, d.s payload_digest, case when n >= 1000 and rep <> page_id then 'revisit' else 'response' end record_type,
-    case when n >= 1000 and rep <> page_id then rep end refers_to
-from d left join m on d.s = m.s
-"""
-
-
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
@@ -117,9 +95,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"])), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "bad_turn",
+        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid",
     )
 
 
 QUERIES = {"op1_quality_classifier": op1_quality_classifier, "op2_best_fit_packing": op2_best_fit_packing, "op5_warc": op5_warc, "op7_jaccard_join": op7_jaccard_join, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op6_license_scan": op6_license_scan, "op10_chat_format": op10_chat_format}
-SQL: dict[str, str] = {}
+SQL = oracle.SQL

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blobs import partitions
 from .shared import fresh_path, sieve, written
 
 REVISIT = 1000
@@ -207,7 +208,7 @@ def read(lines: DataFrame, payload: bool = False) -> DataFrame:
         if f:
             f.close()
 
-    ordered = lines.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    ordered = lines.select("file", "offset", "length").repartition(partitions(lines, 1), "file").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, RECORDS + ", payload binary" * payload)
 
 
