@@ -7,8 +7,9 @@
    distance of two sketches is at most the symmetric difference, and of linked sets at least 1 + e blocks are equal
    (pigeonhole). A set with at most e empty blocks sends only its other blocks, the rest send all: either way two linked
    sets meet in a block that both send. Blocks go as 64-bit sums over GF(2) of one random word for each set bit.
-4. In a block, all nodes are linked to its smallest as candidates; candidate components hold every true link. Large ones
-   are split into chunks, each pair of chunks a task of bounded size.
+4. Nodes that meet in a block are compared by whole parity sketches, whose Hamming distance is at most the symmetric
+   difference: pair by pair in blocks of few nodes, breadth first in larger ones. What stays are candidates; their
+   components hold every true link. Large ones are split into chunks, each pair of chunks a task of bounded size.
 5. A task verifies exactly: breadth first over the sets, skipping by size and by Hamming distance, intersecting the rest.
 
 Defined results: texts without words (and null) have an empty set and link with nothing; fewer words than a shingle are
@@ -33,6 +34,7 @@ from .textkernel import LOWER, SOLID, mix, raw, whole, windows, words
 REACH = 3
 OWN = 4
 BITS = 4096
+FEW = 8
 CHUNK = 4096
 _WORD = mix(np.arange(1, BITS + 1, dtype=np.uint64))
 PAIR = np.dtype([("key", "<u8"), ("node", "<u8")])
@@ -153,17 +155,64 @@ def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Band
     return np.concatenate(out) if out else np.zeros(0, PAIR)
 
 
-def hubs(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(node, smallest node) for blocks that several nodes share."""
+def meetings(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(0, a, b) for all pairs of blocks with few nodes, (block, node, null) for those of larger blocks."""
     records = np.unique(records[np.lexsort((records["node"], records["key"]))])
-    key, node = records["key"], records["node"]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    hub = node[np.flatnonzero(new)][np.cumsum(new) - 1]
-    other = node != hub
-    pairs = np.unique(np.stack([node[other], hub[other]], 1).astype(np.uint64), axis=0).view(np.int64)
-    for i in range(0, len(pairs), 100_000):
-        p = pairs[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+    key, node = records["key"], records["node"].astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    size = np.diff(cuts)
+    pairs = [np.zeros((0, 2), np.int64)]
+    for n in range(2, FEW + 1):
+        first = cuts[:-1][size == n]
+        pairs += [np.stack([node[first + i], node[first + j]], 1) for i in range(n) for j in range(i + 1, n)]
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    many = np.repeat(size > FEW, size)
+    for block, left, right in ((np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1]), (key[many].view(np.int64) | 1, node[many], None)):
+        for i in range(0, len(block), 100_000):
+            part = [x[i : i + 100_000] for x in (block, left)]
+            other = pa.nulls(len(part[0]), pa.int64()) if right is None else pa.array(right[i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), other], names=["block", "a", "b"])
+
+
+def sketches(val: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of two to four bits a shingle, one after another, and their offsets; lengths are powers of two
+    words, so a longer one folds onto a shorter one."""
+    n = np.diff(first)
+    lanes = 1 << np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(lanes)])
+    m = mix(val.copy())
+    at = np.repeat(start[:-1], n) + ((m >> np.uint64(6)) & np.repeat(lanes - 1, n).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(start[-1], np.uint64)
+    np.bitwise_xor.at(out, at, np.uint64(1) << (m & np.uint64(63)))
+    return out, start
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Hamming distance of two sketches, the longer folded."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def near(sketch: list[np.ndarray], size: np.ndarray, t_num: int, t_den: int) -> Iterator[tuple[int, int]]:
+    """Edges that span the components of sketches close enough to be linked."""
+    short = min(map(len, sketch))
+    fold = np.stack([np.bitwise_xor.reduce(s.reshape(-1, short), axis=0) for s in sketch])
+    left = np.arange(len(size))
+    while len(left):
+        stack, left = [left[0]], left[1:]
+        while stack and len(left):
+            u = stack.pop()
+            most = (t_den - t_num) * (size[left] + size[u])
+            ok = np.abs(size[left] - size[u]) * (t_den + t_num) <= most
+            ok[ok] = np.bitwise_count(fold[left[ok]] ^ fold[u]).sum(axis=1, dtype=np.int64) * (t_den + t_num) <= most[ok]
+            found = [v for v in left[ok].tolist() if apart(sketch[u], sketch[v]) * (t_den + t_num) <= (t_den - t_num) * (size[u] + size[v])]
+            for v in found:
+                yield int(u), v
+            stack.extend(found)
+            left = left[~np.isin(left, found)]
 
 
 def verify(sets: list[np.ndarray], t_num: int, t_den: int) -> np.ndarray:
@@ -213,9 +262,13 @@ def clusters(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: s
 
     def name(batch: pa.RecordBatch):
         val, first = shingles(*raw(batch.column(1)), n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(fingerprint(val, first).view(np.int64))], names=["id", "n_shingles", "node"])
+        sk, at = sketches(val, first)
+        blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * 8), pa.py_buffer(sk)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(fingerprint(val, first).view(np.int64)), blobs], names=["id", "n_shingles", "node", "sketch"])
 
-    named = written(map_slices(text, "text", name, f"id {kind}, n_shingles long, node long"), "sets")
+    named = written(map_slices(text, "text", name, f"id {kind}, n_shingles long, node long, sketch binary"), "sets")
+    of_node = named.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    of_node = written(of_node, "nodes")
     parts = partitions(docs)
 
     def send(batch: pa.RecordBatch):
@@ -227,16 +280,49 @@ def clusters(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: s
         rec = block_keys(val[take], np.concatenate([[0], np.cumsum(sizes)]), node[one], bands)
         yield dealt(rec, ((rec["key"] >> np.uint64(40)) % np.uint64(4 * parts)).astype(np.int64))
 
-    edges = gathered(map_slices(text, "text", send, SCHEMA, 3 << 20), parts, PAIR, hubs, "a long, b long")
+    met = written(gathered(map_slices(text, "text", send, SCHEMA, 3 << 20), parts, PAIR, meetings, "block long, a long, b long"), "meetings")
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            a, b, n, m = (x.column(i).to_numpy() for i in range(4))
+            sa, sb = ([np.frombuffer(y.as_buffer(), np.uint64) for y in x.column(i)] for i in (4, 5))
+            ok = [apart(p, q) * (t[1] + t[0]) <= (t[1] - t[0]) * (k + j) for p, q, k, j in zip(sa, sb, n.tolist(), m.tolist(), strict=True)]
+            keep = np.array(ok, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    one_of = lambda c: of_node.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    pairs = met.where("block = 0").select("a", "b").distinct().join(one_of("a"), "a").join(one_of("b"), "b")
+    pairs = pairs.where(f"abs(n_a - n_b) * {t[1] + t[0]} <= (n_a + n_b) * {t[1] - t[0]}").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(close, "a long, b long")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done():
+            found = list(near([h[2] for h in held], np.array([h[1] for h in held]), *t))
+            ids = [h[0] for h in held]
+            return pa.RecordBatch.from_arrays([pa.array([ids[u] for u, _ in found], pa.int64()), pa.array([ids[v] for _, v in found], pa.int64())], names=["a", "b"])
+
+        for x in batches:
+            for k, node, n, sk in zip(*(x.column(i).to_pylist() for i in range(3)), x.column(3), strict=True):
+                if k != key:
+                    if len(held) > 1:
+                        yield done()
+                    key, held = k, []
+                held.append((node, n, np.frombuffer(sk.as_buffer(), np.uint64).copy()))
+        if len(held) > 1:
+            yield done()
+
+    large = met.where("block <> 0").select("block", "a").join(one_of("a"), "a").select("block", "a", "n_a", "s_a")
+    large = large.repartition(parts, "block").sortWithinPartitions("block", "a").mapInArrow(within, "a long, b long")
+    edges = pairs.unionByName(large)
     member = written(components(edges), "candidates")
 
     sizes = member.groupBy("root").agg(F.count("*").alias("_n"))
     many = sizes.where(F.col("_n") > chunk).select("root", F.ceil(F.col("_n") / chunk).cast("int").alias("_r"))
-    one = named.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"))
-    task = member.join(many, "root", "left").join(one, "node").withColumn("_c", F.when(F.col("_r").isNotNull(), F.pmod(F.xxhash64("node"), "_r").cast("int")))
+    task = member.join(many, "root", "left").join(of_node.select("node", "id"), "node").withColumn("_c", F.when(F.col("_r").isNotNull(), F.pmod(F.xxhash64("node"), "_r").cast("int")))
     task = written(task, "tasks")
-    near = sieve(text, "id", task.select("id")).where("_maybe").drop("_maybe")
-    wanted = near.join(task, near["id"].eqNullSafe(task["id"])).select("root", "node", "_r", "_c", "text")
+    some = sieve(text, "id", task.select("id")).where("_maybe").drop("_maybe")
+    wanted = some.join(task, some["id"].eqNullSafe(task["id"])).select("root", "node", "_r", "_c", "text")
 
     def sets_of(batch: pa.RecordBatch):
         val, first = shingles(*raw(batch.column(4)), n)
@@ -273,7 +359,7 @@ def clusters(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: s
     else:
         root = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     root = root.withColumnRenamed("root", "_root")
-    full = named.join(root, "node", "left").withColumn("_root", F.coalesce("_root", "node"))
+    full = named.drop("sketch").join(root, "node", "left").withColumn("_root", F.coalesce("_root", "node"))
     lone = full.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     least = full.where("n_shingles > 0").groupBy("_root").agg(F.min("id").alias("component_id"))
     linked = full.where("n_shingles > 0").join(least, "_root").select("id", "n_shingles", "component_id")
