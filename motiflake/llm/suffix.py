@@ -316,7 +316,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return text.combine(spans, lambda t, s: (t, s)).combine(copies, lambda ts, c: one(*ts, c))
 
     touched = F.col("spans").isNotNull() | (F.coalesce("copies", F.lit(1)) > 1)
-    new = found.where(touched).withColumn("text", kept("text", "spans", "copies")).where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
-    old = found.where(~touched).withColumn("text", F.when(~F.col("rest.null"), F.col("text")))
+    word = r"[^ \t\n\x0B\f\r]"
+    plain = F.when(~F.col("rest.null"), F.col("text"))
+    new = found.where(touched).withColumn("_new", kept("text", "spans", "copies")).where(F.col("_new").rlike(word) | ~F.col("text").rlike(word))
+    new = new.withColumn("text", F.when(~F.col("rest.null"), F.col("_new"))).drop("_new")
+    old = found.where(~touched).withColumn("text", plain)
     out = new.unionByName(old)
     return out.select(*[F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"rest.r.`{c}`").alias(c) for c in docs.columns])
