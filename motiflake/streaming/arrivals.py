@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ..operators import inherit as H
 
 
+def _marked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with its watermark, on a time with a zone; a batch as it is."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, time: str, width: str, late: str, keys: list[str], value: str) -> DataFrame:
     """Count and sum in windows of `width`; events later than `late` behind the latest are left out when streaming."""
-    x = events.withWatermark(time, late) if events.isStreaming else events
+    x = _marked(events, time, late)
     g = x.groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total")
 
 
 def sessions(events: DataFrame, time: str, gap: str, late: str, keys: list[str]) -> DataFrame:
     """One row for each run of a key's events that no pause of `gap` breaks."""
-    x = events.withWatermark(time, late) if events.isStreaming else events
+    x = _marked(events, time, late)
     g = x.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
