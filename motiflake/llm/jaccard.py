@@ -7,7 +7,8 @@
    distance of two sketches is at most the symmetric difference, and of linked sets at least 1 + e blocks are equal
    (pigeonhole). A set with at most e empty blocks sends only its other blocks, the rest send all: either way two linked
    sets meet in a block that both send. Blocks go as 64-bit sums over GF(2) of one random word for each set bit.
-4. Nodes that meet in a block are compared by whole parity sketches, whose Hamming distance is at most the symmetric
+4. Nodes of a block with few are paired; a linked pair meets in as many blocks as step 3 says, or in a larger block,
+   so others go. Nodes that are left, and those of a larger block, are compared by whole parity sketches, whose Hamming distance is at most the symmetric
    difference: pair by pair in blocks of few nodes, breadth first in larger ones. What stays are candidates; their
    components hold every true link. Large ones are split into chunks, each pair of chunks a task of bounded size.
 5. A task verifies exactly: breadth first over the sets, skipping by size and by Hamming distance, intersecting the rest.
@@ -38,6 +39,7 @@ FEW = 8
 CHUNK = 4096
 _WORD = mix(np.arange(1, BITS + 1, dtype=np.uint64))
 PAIR = np.dtype([("key", "<u8"), ("node", "<u8")])
+COUPLE = np.dtype([("a", "<i8"), ("b", "<i8")])
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int, table: np.ndarray = SOLID) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +120,12 @@ class Bands:
         return out
 
 
-def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Bands) -> np.ndarray:
-    """The (block key, node) records of a batch of sets."""
-    sizes, out = np.diff(first), []
+def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The (block key, node) records of a batch of sets; and for each set how many of its blocks at least a linked one
+    shares: its blocks that aren't empty, less those that d differences can touch, in the band where that is least."""
+    sizes, out, need = np.diff(first), [], np.full(len(first) - 1, 1 << 30)
     if not len(val):
-        return np.zeros(0, PAIR)
+        return np.zeros(0, PAIR), np.ones_like(need)
     for band, which in bands.of(np.where(sizes > 0, sizes, 1)):
         which = which[sizes[which] > 0]
         if not len(which):
@@ -140,6 +143,7 @@ def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Band
         sums, cells = np.bitwise_xor.reduceat(bit[order], head), cell[head]
         empties = n - np.bincount(cells // n, minlength=len(which))
         bare = np.flatnonzero(empties > spare)
+        need[which] = np.minimum(need[which], np.maximum(1, spare + 1 - empties))
         if len(bare):  # these send their empty blocks too
             have = np.zeros((len(bare), n), bool)
             of = np.full(len(which), -1)
@@ -152,11 +156,11 @@ def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Band
         rec["key"] = mix(sums + mix(np.uint64(band << 32) + (cells % n).astype(np.uint64)))
         rec["node"] = node[which][cells // n]
         out.append(rec)
-    return np.concatenate(out) if out else np.zeros(0, PAIR)
+    return np.concatenate(out) if out else np.zeros(0, PAIR), np.where(need == 1 << 30, 1, need)
 
 
 def meetings(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(0, a, b) for all pairs of blocks with few nodes, (block, node, null) for those of larger blocks."""
+    """(0, a, b, times) for all pairs of blocks with few nodes, (block, node, null, 1) for those of larger blocks."""
     records = np.unique(records[np.lexsort((records["node"], records["key"]))])
     key, node = records["key"], records["node"].astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -165,13 +169,15 @@ def meetings(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     for n in range(2, FEW + 1):
         first = cuts[:-1][size == n]
         pairs += [np.stack([node[first + i], node[first + j]], 1) for i in range(n) for j in range(i + 1, n)]
-    pairs = np.unique(np.concatenate(pairs), axis=0)
+    pairs, times = np.unique(np.concatenate(pairs).view(COUPLE).ravel(), return_counts=True)
+    pairs = pairs.view(np.int64).reshape(-1, 2)
     many = np.repeat(size > FEW, size)
-    for block, left, right in ((np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1]), (key[many].view(np.int64) | 1, node[many], None)):
+    rest = key[many].view(np.int64) | 1
+    for block, left, right, n in ((np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1], times), (rest, node[many], None, np.ones(len(rest), np.int64))):
         for i in range(0, len(block), 100_000):
             part = [x[i : i + 100_000] for x in (block, left)]
             other = pa.nulls(len(part[0]), pa.int64()) if right is None else pa.array(right[i : i + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), other], names=["block", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), other, pa.array(n[i : i + 100_000])], names=["block", "a", "b", "times"])
 
 
 def sketches(val: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,10 +270,12 @@ def clusters(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: s
         val, first = shingles(*raw(batch.column(1)), n)
         sk, at = sketches(val, first)
         blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * 8), pa.py_buffer(sk)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(fingerprint(val, first).view(np.int64)), blobs], names=["id", "n_shingles", "node", "sketch"])
+        node = fingerprint(val, first)
+        need = block_keys(val, first, node, bands)[1].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(node.view(np.int64)), pa.array(need), blobs], names=["id", "n_shingles", "node", "need", "sketch"])
 
-    named = written(map_slices(text, "text", name, f"id {kind}, n_shingles long, node long, sketch binary"), "sets")
-    of_node = named.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    named = written(map_slices(text, "text", name, f"id {kind}, n_shingles long, node long, need int, sketch binary", 2 << 20), "sets")
+    of_node = named.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("need").alias("need"), F.first("sketch").alias("sketch"))
     of_node = written(of_node, "nodes")
     parts = partitions(docs)
 
@@ -277,10 +285,10 @@ def clusters(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: s
         _, one = np.unique(node, return_index=True)  # copies in a batch send once
         sizes = np.diff(first)[one]
         take = np.repeat(first[one] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        rec = block_keys(val[take], np.concatenate([[0], np.cumsum(sizes)]), node[one], bands)
+        rec, _ = block_keys(val[take], np.concatenate([[0], np.cumsum(sizes)]), node[one], bands)
         yield dealt(rec, ((rec["key"] >> np.uint64(40)) % np.uint64(4 * parts)).astype(np.int64))
 
-    met = written(gathered(map_slices(text, "text", send, SCHEMA, 3 << 20), parts, PAIR, meetings, "block long, a long, b long"), "meetings")
+    met = written(gathered(map_slices(text, "text", send, SCHEMA, 2 << 20), parts, PAIR, meetings, "block long, a long, b long, times long"), "meetings")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -291,7 +299,9 @@ def clusters(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: s
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     one_of = lambda c: of_node.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    pairs = met.where("block = 0").select("a", "b").distinct().join(one_of("a"), "a").join(one_of("b"), "b")
+    need_of = lambda c: of_node.select(F.col("node").alias(c), F.col("need").alias(f"k_{c}"))
+    often = met.where("block = 0").groupBy("a", "b").agg(F.sum("times").alias("times")).join(need_of("a"), "a").where("times >= k_a").join(need_of("b"), "b").where("times >= k_b")
+    pairs = often.select("a", "b").join(one_of("a"), "a").join(one_of("b"), "b")
     pairs = pairs.where(f"abs(n_a - n_b) * {t[1] + t[0]} <= (n_a + n_b) * {t[1] - t[0]}").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(close, "a long, b long")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +369,7 @@ def clusters(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: s
     else:
         root = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     root = root.withColumnRenamed("root", "_root")
-    full = named.drop("sketch").join(root, "node", "left").withColumn("_root", F.coalesce("_root", "node"))
+    full = named.drop("sketch", "need").join(root, "node", "left").withColumn("_root", F.coalesce("_root", "node"))
     lone = full.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     least = full.where("n_shingles > 0").groupBy("_root").agg(F.min("id").alias("component_id"))
     linked = full.where("n_shingles > 0").join(least, "_root").select("id", "n_shingles", "component_id")
