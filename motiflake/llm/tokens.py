@@ -43,8 +43,11 @@ class Vocabulary:
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Add words (keys ascending) to the table."""
-        ids = [np.asarray(x, np.uint32) for x in self.encode([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)])]
-        ids = np.concatenate(ids)
+        parts = []
+        for k in range(0, len(words), 10_000):  # the tokenizer's own results are large
+            some = words[k : k + 10_000]
+            parts += [np.asarray(x, np.uint32) for x in self.encode([" ".join(some[i : i + 1000]) for i in range(0, len(some), 1000)])]
+        ids = np.concatenate(parts)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):  # not told apart by their ends: one by one
             each = self.encode(words)
