@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,7 +13,22 @@ from ..operators import intervals as I
 from .fixtures import fixture, sql, table
 from .registry import query
 
-C, M, P = [F.col("c0"), F.col("c1")], [F.col("m0"), F.col("m1")], [F.col("f0"), F.col("f1")]
+
+
+class Alleles(Sequence):
+    """Columns by name, made when they are asked for: there may be no session yet when this module is imported."""
+
+    def __init__(self, *names: str):
+        self.names = names
+
+    def __getitem__(self, i: int):
+        return F.col(self.names[i])
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
+C, M, P = Alleles("c0", "c1"), Alleles("m0", "m1"), Alleles("f0", "f1")
 STRICT_SQL = "((c0 in (m0,m1) and c1 in (f0,f1)) or (c0 in (f0,f1) and c1 in (m0,m1)))"
 
 
