@@ -15,7 +15,7 @@ import numpy as np
 
 from .textkernel import BASE, BASE_INV, MIX, mix, powers
 
-MOST_WORDS = 1_200_000
+MOST_WORDS = 600_000
 
 _text = bytes(range(256)).decode("latin-1")
 KIND = np.array([0 if c.isspace() else 1 if c.isalpha() else 2 if c.isnumeric() else 3 for c in _text], np.uint8)

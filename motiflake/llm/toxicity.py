@@ -128,7 +128,7 @@ def count(docs: DataFrame, y: str) -> tuple[DataFrame, DataFrame]:
                 s = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (parent, key, tri, a, b)] + [pa.array(np.full(len(key[s]), is_parent))], names=["parent", "key", "tri", "c0", "c1", "up"])
 
-    table = gathered(map_slices(docs.select("text", F.col(y).cast("int").alias("y")), "text", send, SCHEMA, 3 << 20), parts, NODE, add, "parent long, key long, tri long, c0 long, c1 long, up boolean")
+    table = gathered(map_slices(docs.select("text", F.col(y).cast("int").alias("y")), "text", send, SCHEMA, 2 << 20), parts, NODE, add, "parent long, key long, tri long, c0 long, c1 long, up boolean")
     table = written(table, "prefixes")
     return table.where("not up"), table.where("up")
 
