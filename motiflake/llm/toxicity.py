@@ -4,9 +4,13 @@ A word is a path of byte prefixes to its end. For a prefix h and its continuatio
     P_c(b | h) = max(n_c(hb) - D, 0) / n_c(h) + D * types_c(h) / n_c(h) * P(b | h)
 where P is shared by both classes: the same formula over both classes' counts, whose own backoff is made of continuation
 counts (in how many different prefixes b follows the last two bytes of h). Rare expressions so fall back on shared
-counts and tell little about the class, and unseen ones nothing. Counts are of all training rows
-of the labels; they are summed in an exchange, and a prefix enters the model if its count reaches a threshold, 3 at
-least, and as high as keeps the model within MODEL prefixes (so the broadcast is bounded; rarer ones are unseen ones).
+counts and tell little about the class; an unseen continuation of a seen prefix gets the discounted shares of the
+classes alone (the shared P cancels out), and what follows an unseen prefix nothing.
+
+No prefix is left out. Counted words are dealt by their first HEAD bytes and kept as a table of buckets, so a bucket has
+every prefix longer than that; shorter ones (the head) and the continuation counts are bounded by the alphabet, not by
+the corpus, and are broadcast. Texts are scored by joining their different words with those buckets: each group of texts
+(GROUP bytes of a partition) asks once for each of its words, and the answers go back to the group.
 
 A text's word log-ratios, divided by its length, are three features (mean, mean above a floor, share above it); their
 weights are fitted by logistic regression on a fifth of the labelled rows, at most CALIBRATION of them, whose words
@@ -19,30 +23,32 @@ alike; without training rows of both classes the score is 0; repeated label rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import SCHEMA, dealt, gathered, partitions
-from .shared import map_slices, written
+from .blobs import partitions
+from .shared import cut, fresh_path, trim, written
 from .textkernel import ALNUM, BASE, BASE_INV, MIX, mix, powers, raw, words
 
 DEPTH = 12
 DISCOUNT = 0.75
-LEAST = 3
-MODEL = 1 << 18
+HEAD = 4
+GROUP = 32 << 20
 CALIBRATION = 20_000
 #: Label rows up to which they are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
-CONTEXTS = 1 << 16
 TOXIC_WEIGHT = 3.0
 END = np.uint64(0xA5A5A5A5)
-NODE = np.dtype([("parent", "<u8"), ("key", "<u8"), ("tri", "<u4"), ("c0", "<i8"), ("c1", "<i8")])
-PARENT = np.dtype([("key", "<u8"), ("t0", "<i8"), ("t1", "<i8")])
 ROOT = np.uint64(0x1234567)
+WORDS = "bucket int, grp long, size binary, chars binary, counts binary"
 
 
 def _lowered(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,175 +56,262 @@ def _lowered(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Paths:
-    """Prefix keys of the different words of a batch."""
+    """Words as byte spans, with keys of their prefixes."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        self.w = w = words(data, off, ALNUM)
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.data, self.start, self.size = data, start, size
         n = len(data)
-        self.data = data
         self.run = np.zeros(n + 1, np.uint64)
         np.cumsum(MIX[data] * powers(BASE, n), out=self.run[1:])
         self.back = powers(BASE_INV, n + 1)
-        self.hash = self.prefix(w.start, w.end - w.start)
-        _, self.first, self.inverse = np.unique(self.hash, return_index=True, return_inverse=True)
-        self.start, self.size = w.start[self.first], (w.end - w.start)[self.first]
+        self.hash = self.prefix(start, size)
 
     def prefix(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         return mix((self.run[start + n] - self.run[start]) * self.back[start] + n.astype(np.uint64))
 
-    def keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For the words with a prefix of n bytes (or that end after n - 1): which, and the keys."""
-        which = np.flatnonzero(self.size >= n - 1)
-        size = self.size[which]
-        at = np.minimum(size, n)
-        key = self.prefix(self.start[which], at)
-        return which, np.where(size == n - 1, mix(key ^ END), key)
+    def only(self, which: np.ndarray) -> Paths:
+        out = object.__new__(Paths)
+        out.data, out.run, out.back = self.data, self.run, self.back
+        out.start, out.size, out.hash = self.start[which], self.size[which], self.hash[which]
+        return out
 
-    def tri(self, which: np.ndarray, n: int) -> np.ndarray:
-        """The last two bytes before, and the n-th byte (0: the word's end; 1: its start)."""
+    def bucket(self, n: int) -> np.ndarray:
+        """By the first HEAD bytes."""
+        return (mix(self.prefix(self.start, np.minimum(self.size, HEAD))) % np.uint64(n)).astype(np.int32)
+
+    def chars(self) -> np.ndarray:
+        to = np.cumsum(self.size)
+        return self.data[np.repeat(self.start - to + self.size, self.size) + np.arange(to[-1] if len(to) else 0)]
+
+    def steps(self, low: int, high: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The low-th to high-th continuations of each word, its end being the last: which word, the keys of the prefix
+        before and after, and the last two bytes before with the byte (0: the word's end; 1: its start)."""
+        last = np.minimum(self.size + 1, DEPTH)
+        many = np.maximum((last if high is None else np.minimum(last, high)) - low + 1, 0)
+        which = np.repeat(np.arange(len(many)), many)
+        n = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + low
         start, size = self.start[which], self.size[which]
-        padded = np.append(self.data, 0)
-        last = np.where(size >= n, padded[np.minimum(start + n - 1, len(padded) - 1)].astype(np.uint32), 0)
-        one = padded[start + n - 2].astype(np.uint32) if n > 1 else np.ones(len(which), np.uint32)
-        two = padded[start + n - 3].astype(np.uint32) if n > 2 else np.ones(len(which), np.uint32)
-        return (two << 16) | (one << 8) | last
-
-
-def _context(tri: np.ndarray) -> np.ndarray:
-    return (mix((tri >> np.uint32(8)).astype(np.uint64) + np.uint64(7)) % np.uint64(CONTEXTS)).astype(np.int64)
-
-
-def count(docs: DataFrame, y: str) -> tuple[DataFrame, DataFrame]:
-    """Prefix counts of labelled texts (columns text and y): nodes (parent, key, tri, c0, c1), and parents
-    with how many continuations they have (tri), in either class (c0, c1)."""
-    parts = partitions(docs, 1)
-
-    def send(batch: pa.RecordBatch):
-        p = Paths(*_lowered(batch.column(0)))
-        if not len(p.start):
-            return
-        label = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), p.w.counts)
-        c1 = np.bincount(p.inverse, weights=label, minlength=len(p.start)).astype(np.int64)
-        c0 = np.bincount(p.inverse, minlength=len(p.start)) - c1
-        out, before = [], np.full(len(p.start), ROOT)
-        for n in range(1, DEPTH + 1):
-            which, key = p.keys(n)
-            if not len(which):
-                break
-            _, one, inv = np.unique(key, return_index=True, return_inverse=True)
-            rec = np.empty(len(one), NODE)
-            rec["key"], rec["parent"], rec["tri"] = key[one], before[which[one]], p.tri(which[one], n)
-            rec["c0"], rec["c1"] = np.bincount(inv, c0[which]).astype(np.int64), np.bincount(inv, c1[which]).astype(np.int64)
-            out.append(rec)
-            before[which] = key
-        rec = np.concatenate(out)
-        yield dealt(rec, ((rec["parent"] >> np.uint64(40)) % np.uint64(4 * parts)).astype(np.int64))
-
-    def add(rec: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rec = rec[np.lexsort((rec["key"], rec["parent"]))]
-        head = np.flatnonzero(np.concatenate([[True], (rec["key"][1:] != rec["key"][:-1]) | (rec["parent"][1:] != rec["parent"][:-1])]))
-        c0, c1 = np.add.reduceat(rec["c0"], head), np.add.reduceat(rec["c1"], head)
-        rec = rec[head]
-        up = np.flatnonzero(np.concatenate([[True], rec["parent"][1:] != rec["parent"][:-1]]))
-        t0, t1 = np.add.reduceat((c0 > 0).astype(np.int64), up), np.add.reduceat((c1 > 0).astype(np.int64), up)
-        zero, types = np.zeros(len(up), np.int64), np.diff(np.append(up, len(rec)))
-        rows = [(rec["parent"].copy().view(np.int64), rec["key"].copy().view(np.int64), rec["tri"].astype(np.int64), c0, c1, False), (rec["parent"][up].copy().view(np.int64), zero, types, t0, t1, True)]
-        for parent, key, tri, a, b, is_parent in rows:
-            for i in range(0, len(key), 200_000):
-                s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (parent, key, tri, a, b)] + [pa.array(np.full(len(key[s]), is_parent))], names=["parent", "key", "tri", "c0", "c1", "up"])
-
-    table = gathered(map_slices(docs.select("text", F.col(y).cast("int").alias("y")), "text", send, SCHEMA, 2 << 20), parts, NODE, add, "parent long, key long, tri long, c0 long, c1 long, up boolean")
-    table = written(table, "prefixes")
-    return table.where("not up"), table.where("up")
-
-
+        parent = np.where(n == 1, ROOT, self.prefix(start, n - 1))
+        key = self.prefix(start, np.minimum(n, size))
+        key = np.where(n > size, mix(key ^ END), key)
+        byte = lambda at, ok, other: np.where(ok, self.data[np.where(ok, at, 0)], other).astype(np.int64)
+        tri = byte(start + n - 3, n > 2, 1) << 16 | byte(start + n - 2, n > 1, 1) << 8 | byte(start + n - 1, n <= size, 0)
+        return which, parent, key, tri
+
+
+def _found(data: np.ndarray, off: np.ndarray):
+    return words(data, off, ALNUM)
+
+
+def _unique(paths: Paths, counts: np.ndarray | None) -> tuple[Paths, np.ndarray | None]:
+    """Different words, their counts summed."""
+    _, first, inverse = np.unique(paths.hash, return_index=True, return_inverse=True)
+    if counts is not None:
+        counts = np.stack([np.bincount(inverse, c, len(first)) for c in counts.T], 1).astype(np.int64)
+    return paths.only(first), counts
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]) -> tuple[Paths, np.ndarray | None]:
+    """One set of different words from several of (size, chars, counts)."""
+    size = np.concatenate([x[0] for x in parts]).astype(np.int64)
+    paths = Paths(np.concatenate([x[1] for x in parts]), np.cumsum(size) - size, size)
+    return _unique(paths, None if parts[0][2] is None else np.concatenate([x[2] for x in parts]))
+
+
+def _rows(paths: Paths, counts: np.ndarray | None, n: int, grp: int) -> pa.RecordBatch:
+    """Words dealt by bucket: a row for each bucket."""
+    bucket = paths.bucket(n)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+    out: list[list] = [[], [], [], [], []]
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        some = paths.only(order[a:b])
+        row = (bucket[order[a]], grp, some.size.astype(np.uint32).tobytes(), some.chars().tobytes(), b"" if counts is None else counts[order[a:b]].tobytes())
+        for column, x in zip(out, row, strict=True):
+            column.append(x)
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["bucket", "grp", "size", "chars", "counts"])
+
+
+def _read(size: bytes, chars: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    n = np.frombuffer(size, np.uint32).astype(np.int64)
+    return n, np.frombuffer(chars, np.uint8), np.frombuffer(counts, np.int64).reshape(len(n), -1) if counts else None
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of a partition with the number of their group: the same in every pass over the same rows."""
+    at, k = 0, TaskContext.get().partitionId() << 24
+    for batch in batches:
+        for part in cut(batch, column, 2 << 20) if batch.num_rows else ():
+            yield k + at // GROUP, part
+            at += pc.sum(pc.binary_length(part.column(part.schema.get_field_index(column)))).as_py() or 0
+
+
+def _asked(docs: DataFrame, n: int, classes: list[str]) -> DataFrame:
+    """Different words of each group of texts, dealt; with counts by the columns of classes (how often a row counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        now, have, fresh, room = None, [], 0, 0
+        for grp, part in _grouped(batches, "text"):
+            if grp != now and have:
+                yield _rows(*_joined(have), n, now)
+                have, fresh, room = [], 0, 0
+            now = grp
+            data, off = _lowered(part.column(0))
+            w = _found(data, off)
+            if not len(w.start):
+                continue
+            times = np.stack([part.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(classes))], 1).astype(np.int64)[w.doc_of()] if classes else None
+            some, c = _unique(Paths(data, w.start, w.end - w.start), times)
+            have.append((some.size, some.chars(), c))
+            fresh += len(some.size)
+            if fresh > max(400_000, room):
+                some, c = _joined(have)
+                have, fresh, room = [(some.size, some.chars(), c)], 0, len(some.size)
+        if have:
+            yield _rows(*_joined(have), n, now)
+
+    return docs.select("text", *classes).mapInArrow(run, WORDS)
+
+
+@dataclass
+class Table:
+    """Log-ratios of continuations seen (by key), and of unseen ones (by the prefix before)."""
+
+    key: np.ndarray
+    step: np.ndarray
+    up: np.ndarray
+    stop: np.ndarray
+
+    def ratios(self, parent: np.ndarray, key: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        up = np.minimum(np.searchsorted(self.up, parent), len(self.up) - 1)
+        return np.where(self.key[at] == key, self.step[at], np.where(self.up[up] == parent, self.stop[up], 0.0))
+
+
+def _summed(parent, key, tri, counts):
+    """Different continuations in the order of their prefix, with summed counts."""
+    order = np.lexsort((key, parent))
+    parent, key = parent[order], key[order]
+    head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (parent[1:] != parent[:-1])])) if len(key) else np.zeros(0, int)
+    return parent[head], key[head], tri[order][head], np.add.reduceat(counts[order], head, axis=0) if len(head) else counts[:0]
+
+
+@dataclass
+class Continuations:
+    """In how many different prefixes a byte follows two others."""
+
+    tri: np.ndarray
+    n: np.ndarray
+    total: np.ndarray
+
+    def share(self, tri: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.tri, tri), len(self.tri) - 1)
+        return (np.where(self.tri[at] == tri, self.n[at], 0) + 0.1) / (self.total[tri >> 8] + 25.6)
+
+
+def _table(parent, key, tri, counts, follow: Continuations, discount: float) -> Table:
+    """Ratios from all continuations of some prefixes, as _summed gives them."""
+    if not len(key):
+        return Table(key, np.zeros(0), parent, np.zeros(0))
+    up = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+    of = np.cumsum(np.concatenate([[False], parent[1:] != parent[:-1]]))
+    a = np.concatenate([counts, counts.sum(1, keepdims=True)], 1).astype(float)
+    n, types = np.add.reduceat(a, up, axis=0), np.add.reduceat((a > 0).astype(float), up, axis=0)
+    left = np.where(n > 0, discount * types / np.maximum(n, 1), 1.0)
+    p = lambda c, below: np.where(n[of, c] > 0, np.maximum(a[:, c] - discount, 0) / np.maximum(n[of, c], 1), 0) + left[of, c] * below
+    shared = p(2, follow.share(tri))
+    step, order = np.log(p(1, shared)) - np.log(p(0, shared)), np.argsort(key)
+    return Table(key[order], step[order], parent[up], np.log(left[:, 1]) - np.log(left[:, 0]))
+
+
+@dataclass
 class Model:
-    """Prefixes in the model with the log-ratio of the path to each."""
-
-    def __init__(self, key: np.ndarray, path: np.ndarray):
-        order = np.argsort(key)
-        self.key, self.path = key[order], path[order].astype(np.float32)
-        self.bits = np.uint64(64 - 20)
-        self.index = np.searchsorted(self.key >> self.bits, np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Place of each key, or -1."""
-        slot = (key >> self.bits).astype(np.int64)
-        at, stop, out = self.index[slot].copy(), self.index[slot + 1], np.full(len(key), -1, np.int64)
-        todo = np.flatnonzero(at < stop)
-        while len(todo):
-            hit = self.key[at[todo]] == key[todo]
-            out[todo[hit]] = at[todo[hit]]
-            todo = todo[~hit]
-            at[todo] += 1
-            todo = todo[at[todo] < stop[todo]]
-        return out
-
-    def ratios(self, p: Paths) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of the different words of a batch."""
-        score, live = np.zeros(len(p.start), np.float32), np.ones(len(p.start), bool)
-        for n in range(1, DEPTH + 1):
-            which, key = p.keys(n)
-            go = live[which]
-            which, key = which[go], key[go]
-            if not len(which):
-                break
-            at = self.find(key)
-            seen = at >= 0
-            score[which[seen]] = self.path[at[seen]]
-            live[which[~seen]] = False  # an unseen continuation adds nothing
-        return score
-
-
-def build(nodes: DataFrame, parents: DataFrame, most: int = MODEL, discount: float = DISCOUNT) -> Model | None:
-    """The model within its bound: a histogram sets the least count, then at most `most` prefixes come to the driver."""
-    pooled = F.col("c0") + F.col("c1")
-    hist = {r["n"]: r["m"] for r in nodes.groupBy(F.least(pooled, F.lit(10_000)).alias("n")).agg(F.count("*").alias("m")).collect()}
-    least, have = 10_000, 0
-    for n in sorted(hist, reverse=True):
-        if n < LEAST or have + hist[n] > most:
-            break
-        least, have = n, have + hist[n]
-    got = nodes.where(pooled >= least).join(parents.select(F.col("parent").alias("key"), F.col("c0").alias("t0"), F.col("c1").alias("t1"), F.col("tri").alias("t")), "key", "left").select("key", "parent", "tri", "c0", "c1", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("t0", "t1", "t")]).toArrow().to_pandas()
-    tops = parents.where(F.col("parent") == int(ROOT)).first()
-    if tops is None or not len(got) or not got["c1"].sum() or not got["c0"].sum():
+    """The counted words in buckets (a table), and what is bounded by the alphabet."""
+
+    words: DataFrame
+    buckets: int
+    head: Table
+    follow: Continuations
+    discount: float
+
+
+def count(docs: DataFrame, classes: list[str]) -> tuple[DataFrame, int]:
+    """Counted words of all labelled texts, by bucket, and how many buckets."""
+    n = partitions(docs, 1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_read(*(x.as_py() for x in row)) for b in batches for row in zip(*b.columns[2:], strict=True)]
+        if parts:
+            yield _rows(*_joined(parts), 4 * n, -1)
+
+    return written(_asked(docs, 4 * n, classes).repartition(n, "bucket").mapInArrow(add, WORDS), "words"), 4 * n
+
+
+def build(vocabulary: DataFrame, buckets: int, discount: float = DISCOUNT) -> Model | None:
+    """The model: nothing is left out of it."""
+    kind = "parent long, key long, tri long, c0 long, c1 long"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # short prefixes as they stand (key <> 0), of the longer ones how many have each tri (key 0)
+        for b in batches:
+            for row in zip(*b.columns[2:], strict=True):
+                paths, counts = _joined([_read(*(x.as_py() for x in row))])
+                which, parent, key, tri = paths.steps(1, HEAD)
+                parent, key, tri, c = _summed(parent, key, tri, counts[which])
+                many, each = np.unique(_summed(*(x := paths.steps(HEAD + 1))[1:], counts[x[0]])[2], return_counts=True)
+                zero = np.zeros(len(many), np.int64)
+                columns = [(parent.view(np.int64), zero), (key.view(np.int64), zero), (tri, many), (c[:, 0], each), (c[:, 1], zero)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in columns], names=["parent", "key", "tri", "c0", "c1"])
+
+    got = vocabulary.mapInArrow(send, kind).groupBy("parent", "key", "tri").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow()
+    parent, key, tri, c0, c1 = (got.column(c).to_numpy() for c in ("parent", "key", "tri", "c0", "c1"))
+    deep = key == 0
+    tris = np.concatenate([tri[deep], tri[~deep]])
+    many, inverse = np.unique(tris, return_inverse=True)
+    each = np.bincount(inverse, np.concatenate([c0[deep], np.ones((~deep).sum())]))
+    counts = np.stack([c0, c1], 1)[~deep]
+    if not len(counts) or not counts.sum(0).all():
         return None
-    follow = nodes.groupBy(F.shiftright("tri", 8).alias("h"), "tri").agg(F.count("*").alias("n"))
-    follow = (follow if follow.count() <= MODEL else follow.orderBy(F.desc("n")).limit(MODEL)).toArrow().to_pandas()
-    total, types = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-    tri = follow["tri"].to_numpy().astype(np.uint32)
-    np.add.at(total, _context(tri), follow["n"].to_numpy())
-    np.add.at(types, _context(tri), 1)
-    of_tri = dict(zip(tri.tolist(), follow["n"].tolist(), strict=True))
-    key = got["key"].to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    got, key = got.iloc[order], key[order]
-    g = {c: got[c].to_numpy().astype(float) for c in ("c0", "c1", "t0", "t1", "t")}
-    up = got["parent"].to_numpy().view(np.uint64)
-    at = np.minimum(np.searchsorted(key, up), len(key) - 1)
-    at[key[at] != up] = -1
-    nt = got["tri"].to_numpy().astype(np.uint32)
-    shared = (np.array([of_tri.get(x, 0) for x in nt.tolist()]) + 0.1) / (total[_context(nt)] + 25.6)
-    first = [g[c][at < 0].sum() for c in ("c0", "c1")]
-    n_all = np.where(at >= 0, (g["c0"] + g["c1"])[at], sum(first))
-    t_all = np.where(at >= 0, g["t"][at], tops["tri"])
-    shared = np.maximum(g["c0"] + g["c1"] - discount, 0) / n_all + discount * t_all / n_all * shared
-    step = np.zeros(len(key))
-    for c, top, sign in (("c0", tops["c0"], -1), ("c1", tops["c1"], 1)):
-        n_up = np.where(at >= 0, g[c][at], first[int(c[1])])
-        t_up = np.where(at >= 0, g["t" + c[1]][at], top)
-        safe = np.maximum(n_up, 1)
-        p = np.where(n_up > 0, np.maximum(g[c] - discount, 0) / safe + discount * t_up / safe * shared, shared)
-        step += sign * np.log(np.maximum(p, 1e-12))
-    path, todo = np.where(at < 0, step, np.nan), np.flatnonzero(at >= 0)
-    while len(todo):  # one depth a turn
-        ready = ~np.isnan(path[at[todo]])
-        if not ready.any():
-            break
-        path[todo[ready]] = step[todo[ready]] + path[at[todo[ready]]]
-        todo = todo[~ready]
-    return Model(key, np.nan_to_num(path))
+    follow = Continuations(many, each, np.bincount(many >> 8, each, 1 << 16))
+    head = _summed(parent[~deep].view(np.uint64), key[~deep].view(np.uint64), tri[~deep], counts)
+    return Model(vocabulary, buckets, _table(*head, follow, discount), follow, discount)
+
+
+def ratios(asked: DataFrame, model: Model) -> DataFrame:
+    """log P(word | toxic) - log P(word | ordinary) of every asked word: rows (grp, hash, ratio) of arrays as bytes."""
+    sent = asked.sparkSession.sparkContext.broadcast((model.head, model.follow))
+    discount = model.discount
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        known, wanted = [], {}
+        for b in batches:
+            for _, grp, *row in zip(*b.columns, strict=True):
+                row = _read(*(x.as_py() for x in row))
+                known.append(row) if grp.as_py() < 0 else wanted.setdefault(grp.as_py(), []).append(row)
+        if not wanted:
+            return
+        head, follow = sent.value
+        tail = None
+        if known:
+            paths, counts = _joined(known)
+            which, *nodes = paths.steps(HEAD + 1)
+            tail = _table(*_summed(*nodes, counts[which]), follow, discount)
+        for grp, parts in wanted.items():
+            paths, _ = _joined(parts)
+            out = np.zeros(len(paths.size))
+            for table, low, high in ((head, 1, HEAD), (tail, HEAD + 1, None)):
+                if table is not None:
+                    which, parent, key, _ = paths.steps(low, high)
+                    out += np.bincount(which, table.ratios(parent, key), len(out))
+            yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.array([paths.hash.tobytes()], pa.binary()), pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["grp", "hash", "ratio"])
+
+    n = max(1, model.buckets // 4)
+    return asked.unionByName(model.words).repartition(n, "bucket").mapInArrow(run, "grp long, hash binary, ratio binary")
 
 
 FEATURES = ("mean", "above", "share")
@@ -227,20 +320,50 @@ FLOOR = 2.0
 
 def features(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: the kept columns, n_words and the length-normalised features of its text."""
-
-    def run(batch: pa.RecordBatch):
-        p = Paths(*_lowered(batch.column(0)))
-        r = model.ratios(p)[p.inverse].astype(float) if len(p.start) else np.zeros(0)
-        n = p.w.counts
-        safe = np.maximum(n, 1)
-        run = lambda x: np.concatenate([[0.0], np.cumsum(x)])
-        sums = lambda x: run(x)[p.w.first[1:]] - run(x)[p.w.first[:-1]]
-        cols = [sums(np.clip(r, -4, 8)) / safe, sums(np.maximum(r - FLOOR, 0)) / safe, sums(r > FLOOR) / safe]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), *(pa.array(c) for c in cols)], names=[*keep, "n_words", *FEATURES])
+    spark = docs.sparkSession
+    docs = docs.select("text", *keep)
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():  # both passes have to see the same partitions
+        docs = written(docs, "texts")
+    answers = fresh_path(spark, "ratios")
+    found = ratios(_asked(docs, model.buckets, []), model)
+    found.repartition(partitions(docs, 1), "grp").write.option("compression", "zstd").partitionBy("grp").parquet(answers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        now, known, value = None, None, None
+        for grp, part in _grouped(batches, "text"):
+            data, off = _lowered(part.column(0))
+            w = _found(data, off)
+            r = np.zeros(0)
+            if len(w.start):
+                if grp != now:
+                    known, value, now = *_answers(f"{answers}/grp={grp}"), grp
+                h, inverse = np.unique(Paths(data, w.start, w.end - w.start).hash, return_inverse=True)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                if (known[at] != h).any():
+                    raise ValueError("the rows of a partition changed between two passes over them")
+                r = value[at][inverse].astype(float)
+            n = w.counts
+            safe = np.maximum(n, 1)
+            run = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+            sums = lambda x: run(x)[w.first[1:]] - run(x)[w.first[:-1]]
+            cols = [sums(np.clip(r, -4, 8)) / safe, sums(np.maximum(r - FLOOR, 0)) / safe, sums(r > FLOOR) / safe]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n, pa.int64()), *(pa.array(c) for c in cols)], names=[*keep, "n_words", *FEATURES])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["n_words long"] + [f"{f} double" for f in FEATURES])
-    return map_slices(docs.select("text", *keep), "text", run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def _answers(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and ratios of the words of a group."""
+    fs, path = pa.fs.FileSystem.from_uri(uri)
+    names = [f.path for f in fs.get_file_info(pa.fs.FileSelector(path)) if f.path.endswith(".parquet")]
+    rows = [r for name in names for r in pq.read_table(fs.open_input_file(name), partitioning=None).to_pylist()]
+    known = np.concatenate([np.frombuffer(r["hash"], np.uint64) for r in rows])
+    value = np.concatenate([np.frombuffer(r["ratio"], np.float32) for r in rows])
+    order = np.argsort(known)
+    return known[order], value[order]
 
 
 def _inputs(n, mean, above, share) -> list:
@@ -272,7 +395,8 @@ def train(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Colum
     few = y.count() <= BROADCAST_LABELS
     text = docs.select(F.col(id_col).alias("id"), "text").where("text is not null")
     with_y = lambda which: text.where(which).join(F.broadcast(y.where(which)) if few else y.where(which), "id")
-    model = build(*count(with_y(counted), "y"))
+    named = lambda which: with_y(which).select("text", (F.col("y") == 0).cast("int").alias("c0"), (F.col("y") != 0).cast("int").alias("c1"))
+    model = build(*count(named(counted), ["c0", "c1"]))
     if model is None:
         return None
     share = y.where(calibrated).count()

@@ -350,6 +350,57 @@ def test_toxicity_on_held_out_rows(spark, small):
     assert kept.columns == [*docs.columns, "n_words"] and 0.75 * docs.count() < kept.count() < docs.count()
 
 
+def brute_ratios(counted, asked, d=toxicity.DISCOUNT):
+    """Log-ratio of each asked word from dictionaries: words are followed by a zero byte, prefixes are all kept."""
+    n, follow = defaultdict(lambda: defaultdict(lambda: [0, 0])), Counter()
+    for w, y in counted:
+        w = w.encode() + b"\0"
+        for i in range(len(w)):
+            n[w[:i]][w[i]][y] += 1
+    last = lambda h: (b"\1\1" + h)[-2:]
+    for h, nexts in n.items():
+        follow.update((last(h), b) for b in nexts)
+    total = Counter()
+    for (h, _), c in follow.items():
+        total[h] += c
+    out = {}
+    for x in set(asked):
+        w, r = x.encode() + b"\0", 0.0
+        for i in range(len(w)):
+            h, b = w[:i], w[i]
+            if h not in n:
+                break
+            both = lambda k: (sum(k),)
+            p, below = [], (follow[last(h), b] + 0.1) / (total[last(h)] + 25.6)
+            for pick in (both, lambda k: k[:1], lambda k: k[1:]):
+                c = {k: pick(v)[0] for k, v in n[h].items()}
+                m, types = sum(c.values()), sum(v > 0 for v in c.values())
+                p.append(max(c.get(b, 0) - d, 0) / m + d * types / m * below if m else below)
+                below = p[0]
+            r += np.log(p[2]) - np.log(p[1])
+        out[x] = r
+    return out
+
+
+def toxicity_case(spark, rows, asked):
+    """Mean of the clipped log-ratios of texts by the operator and by brute force."""
+    train = spark.createDataFrame([(t, 1 - y, y) for t, y in rows], "text string, c0 int, c1 int").repartition(3)
+    model = toxicity.build(*toxicity.count(train, ["c0", "c1"]))
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["mean"] for r in toxicity.features(docs, model, ("doc_id",)).collect()}
+    want = brute_ratios([(w, y) for t, y in rows for w in words_of(t)], [w for t in asked for w in words_of(t)])
+    return got, {i: np.mean([np.clip(want[w], -4, 8) for w in words_of(t)] or [0]) for i, t in enumerate(asked)}
+
+
+def test_toxicity_keeps_rare_prefixes(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdeé"), rng.integers(1, 6)))
+    rows = [(" ".join(word() for _ in range(30)), int(i % 3 == 0)) for i in range(40)] + [("vermin abc", 1), ("gentle abc", 0)]
+    got, want = toxicity_case(spark, rows, ["vermin", "gentle", "vermins", "verb", "zz", "", *(t for t, _ in rows[:5]), *(word() + word() for _ in range(50))])
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in got)
+    assert got[0] > 1 > 0 > got[1] and got[2] > 0.5 and got[5] == 0  # a word of one row, and its unseen continuation
+
+
 def test_classifiers_without_labels_or_texts(spark, texts):
     d = docs_of(spark, texts)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
