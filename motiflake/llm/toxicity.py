@@ -1,6 +1,8 @@
 """Toxicity: class-conditional Kneser-Ney models over the letters of words, compared by length-normalised likelihood.
 
-A word is a path of byte prefixes to its end. For a prefix h and its continuation b, each class c has
+Words are runs of letters and digits; Unicode punctuation and spaces end them, and text without spaces (Han, Kana, Thai
+and the like, symbols) is read by a window of WINDOW characters from each of its characters on, each counted as a word.
+A word is a path of byte prefixes to its end, however long. For a prefix h and its continuation b, each class c has
     P_c(b | h) = max(n_c(hb) - D, 0) / n_c(h) + D * types_c(h) / n_c(h) * P(b | h)
 where P is shared by both classes: the same formula over both classes' counts, whose own backoff is made of continuation
 counts (in how many different prefixes b follows the last two bytes of h). Rare expressions so fall back on shared
@@ -22,8 +24,10 @@ alike; without training rows of both classes the score is 0; repeated label rows
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +40,13 @@ from pyspark.sql import functions as F
 
 from .blobs import partitions
 from .shared import cut, fresh_path, trim, written
-from .textkernel import ALNUM, BASE, BASE_INV, MIX, mix, powers, raw, words
+from .textkernel import ALNUM, BASE, BASE_INV, MIX, Words, mix, powers, raw, words
 
-DEPTH = 12
 DISCOUNT = 0.75
 HEAD = 4
 GROUP = 32 << 20
+#: Characters of a window over text without spaces.
+WINDOW = 4
 CALIBRATION = 20_000
 #: Label rows up to which they are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
@@ -86,7 +91,7 @@ class Paths:
     def steps(self, low: int, high: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The low-th to high-th continuations of each word, its end being the last: which word, the keys of the prefix
         before and after, and the last two bytes before with the byte (0: the word's end; 1: its start)."""
-        last = np.minimum(self.size + 1, DEPTH)
+        last = self.size + 1
         many = np.maximum((last if high is None else np.minimum(last, high)) - low + 1, 0)
         which = np.repeat(np.arange(len(many)), many)
         n = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + low
@@ -99,8 +104,49 @@ class Paths:
         return which, parent, key, tri
 
 
-def _found(data: np.ndarray, off: np.ndarray):
-    return words(data, off, ALNUM)
+#: Scripts written without spaces: Thai, Lao, Myanmar, Khmer, Kana, Han.
+UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3041, 0x3100), (0x31F0, 0x3200), (0x3400, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x40000))
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """By code point: 0 between words (punctuation, spaces, controls), 2 without spaces around it (UNSPACED and symbols), 1 else."""
+    out = np.ones(0x110000, np.uint8)
+    for a, b in UNSPACED:
+        out[a:b] = 2
+    for c in range(0x80, 0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "PZ" or kind == "Cc":
+            out[c] = 0
+        elif kind[0] == "S":
+            out[c] = 2
+    out[0x200B] = 0
+    return out
+
+
+def _found(data: np.ndarray, off: np.ndarray) -> Words:
+    """Words, and in runs without spaces a window of up to WINDOW characters from each character on."""
+    lead = np.flatnonzero(data >= 0xC0)
+    b, n = data[lead].astype(np.int64), 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    padded = np.append(data, np.zeros(3, np.uint8))
+    one, two, three = (padded[lead + k].astype(np.int64) & 0x3F for k in (1, 2, 3))
+    point = np.where(n == 2, (b & 0x1F) << 6 | one, np.where(n == 3, (b & 0xF) << 12 | one << 6 | two, (b & 7) << 18 | one << 12 | two << 6 | three))
+    kind = _kinds()[point]
+    apart, shown = kind != 1, data
+    if apart.any():
+        shown = data.copy()
+        for k in range(4):
+            shown[lead[apart & (n > k)] + k] = 0x20
+    w = words(shown, off, ALNUM)
+    u, n = lead[kind == 2], n[kind == 2]
+    if not len(u):
+        return w
+    first = np.concatenate([[True], u[1:] != u[:-1] + n[:-1]]) | np.isin(u, off)
+    last = np.append(np.flatnonzero(first)[1:], len(u)) - 1
+    stop = np.minimum(np.arange(len(u)) + WINDOW - 1, last[np.cumsum(first) - 1])
+    start, end = np.concatenate([w.start, u]), np.concatenate([w.end, u[stop] + n[stop]])
+    order = np.argsort(start)
+    return Words(data, off, start[order], end[order], np.searchsorted(start[order], off))
 
 
 def _unique(paths: Paths, counts: np.ndarray | None) -> tuple[Paths, np.ndarray | None]:

@@ -401,6 +401,24 @@ def test_toxicity_keeps_rare_prefixes(spark):
     assert got[0] > 1 > 0 > got[1] and got[2] > 0.5 and got[5] == 0  # a word of one row, and its unseen continuation
 
 
+def test_toxicity_reads_words_to_their_end(spark):
+    stem, cyrillic = "verallgemeinerungs", "недоброжелатель"
+    rows = [(f"{stem}trottel {cyrillic}ница vermin", 1), (f"{stem}freund {cyrillic}ство friend", 0)] * 4 + [("她是害虫吗", 1), ("她是朋友吗", 0)] * 4
+    train = spark.createDataFrame([(t, 1 - y, y) for t, y in rows], "text string, c0 int, c1 int")
+    model = toxicity.build(*toxicity.count(train, ["c0", "c1"]))
+    pairs = [(f"{stem}trottel", f"{stem}freund"), (f"{cyrillic}ница", f"{cyrillic}ство"), ("something—vermin", "something—friend"), ("what\u00a0vermin…", "what\u00a0friend…"), ("我说害虫呢", "我说朋友呢")]
+    docs = spark.createDataFrame([(i, x) for i, p in enumerate(pairs) for x in p], "doc_id int, text string")
+    got = defaultdict(list)
+    for r in toxicity.features(docs.coalesce(1), model, ("doc_id", "text")).collect():
+        got[r["doc_id"]].append((r["text"] == pairs[r["doc_id"]][0], r["mean"]))
+    for i in range(len(pairs)):
+        (_, good), (_, bad) = sorted(got[i])
+        assert bad > good + 0.3, (pairs[i], bad, good)
+    data, off = textkernel.raw(pa.array(["a—b 害虫x", "虫€c", ""]))
+    w = toxicity._found(data, off)
+    assert [w.text(i).decode() for i in range(len(w.start))] == ["a", "b", "害虫", "虫", "x", "虫€", "€", "c"] and w.first.tolist() == [0, 5, 8, 8]
+
+
 def test_classifiers_without_labels_or_texts(spark, texts):
     d = docs_of(spark, texts)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
