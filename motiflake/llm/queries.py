@@ -70,7 +70,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame):
-    """Fitted without the rows whose crc32(doc_id) mod 5 is 0: counts of remainders 2 to 4, weights of remainder 1."""
+    """Fitted without the rows whose crc32(doc_id) mod 5 is 0: counts of remainders 1 to 4, weights of a sample of remainder 1."""
     return toxicity.train(docs, labels, crc("id", 5) >= 2, crc("id", 5) == 1)
 
 

@@ -15,8 +15,9 @@ the corpus, and are broadcast. Texts are scored by joining their different words
 (GROUP bytes of a partition) asks once for each of its words, and the answers go back to the group.
 
 A text's word log-ratios, divided by its length, are three features (mean, mean above a floor, share above it); their
-weights are fitted by logistic regression on a fifth of the labelled rows, at most CALIBRATION of them, whose words
-aren't counted.
+weights are fitted by logistic regression on a sample of the calibration rows, at most CALIBRATION of them, scored by a
+model without their words. Texts are then scored by a model of all rows, the sample's words too. Both models share the
+continuation counts, which don't know classes.
 
 Defined results: a null or empty text has zero features and gets the score of the prior; unlabelled rows are scored
 alike; without training rows of both classes the score is 0; repeated label rows count as often as they stand.
@@ -276,18 +277,21 @@ def _table(parent, key, tri, counts, follow: Continuations, discount: float) ->
 
 @dataclass
 class Model:
-    """The counted words in buckets (a table), and what is bounded by the alphabet."""
+    """The counted words in buckets (a table), and what is bounded by the alphabet: the head without and with the sample."""
 
     words: DataFrame
     buckets: int
-    head: Table
+    heads: tuple[Table, Table]
     follow: Continuations
     discount: float
 
 
 def count(docs: DataFrame, classes: list[str]) -> tuple[DataFrame, int]:
-    """Counted words of all labelled texts, by bucket, and how many buckets."""
+    """Counted words of all labelled texts, by bucket, and how many buckets; classes are two columns, or four, the last
+    two being those of the sample."""
     n = partitions(docs, 1)
+    if len(classes) == 2:
+        docs, classes = docs.withColumns({"s0": F.lit(0), "s1": F.lit(0)}), [*classes, "s0", "s1"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_read(*(x.as_py() for x in row)) for b in batches for row in zip(*b.columns[2:], strict=True)]
@@ -297,9 +301,15 @@ def count(docs: DataFrame, classes: list[str]) -> tuple[DataFrame, int]:
     return written(_asked(docs, 4 * n, classes).repartition(n, "bucket").mapInArrow(add, WORDS), "words"), 4 * n
 
 
+def _of(counts: np.ndarray, full: bool) -> np.ndarray:
+    """The classes' counts, with the sample's or without."""
+    return counts[:, :2] + counts[:, 2:] if full else counts[:, :2]
+
+
 def build(vocabulary: DataFrame, buckets: int, discount: float = DISCOUNT) -> Model | None:
     """The model: nothing is left out of it."""
-    kind = "parent long, key long, tri long, c0 long, c1 long"
+    sums = ("c0", "c1", "s0", "s1")
+    kind = "parent long, key long, tri long, " + ", ".join(f"{c} long" for c in sums)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # short prefixes as they stand (key <> 0), of the longer ones how many have each tri (key 0)
@@ -310,26 +320,27 @@ def build(vocabulary: DataFrame, buckets: int, discount: float = DISCOUNT) -> Mo
                 parent, key, tri, c = _summed(parent, key, tri, counts[which])
                 many, each = np.unique(_summed(*(x := paths.steps(HEAD + 1))[1:], counts[x[0]])[2], return_counts=True)
                 zero = np.zeros(len(many), np.int64)
-                columns = [(parent.view(np.int64), zero), (key.view(np.int64), zero), (tri, many), (c[:, 0], each), (c[:, 1], zero)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in columns], names=["parent", "key", "tri", "c0", "c1"])
+                columns = [(parent.view(np.int64), zero), (key.view(np.int64), zero), (tri, many), (c[:, 0], each), *((c[:, i], zero) for i in (1, 2, 3))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in columns], names=["parent", "key", "tri", *sums])
 
-    got = vocabulary.mapInArrow(send, kind).groupBy("parent", "key", "tri").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow()
-    parent, key, tri, c0, c1 = (got.column(c).to_numpy() for c in ("parent", "key", "tri", "c0", "c1"))
+    got = vocabulary.mapInArrow(send, kind).groupBy("parent", "key", "tri").agg(*[F.sum(c).alias(c) for c in sums]).toArrow()
+    parent, key, tri = (got.column(c).to_numpy() for c in ("parent", "key", "tri"))
+    counts = np.stack([got.column(c).to_numpy() for c in sums], 1)
     deep = key == 0
     tris = np.concatenate([tri[deep], tri[~deep]])
     many, inverse = np.unique(tris, return_inverse=True)
-    each = np.bincount(inverse, np.concatenate([c0[deep], np.ones((~deep).sum())]))
-    counts = np.stack([c0, c1], 1)[~deep]
-    if not len(counts) or not counts.sum(0).all():
+    each = np.bincount(inverse, np.concatenate([counts[deep, 0], np.ones((~deep).sum())]))
+    counts = counts[~deep]
+    if not len(counts) or not counts[:, :2].sum(0).all():
         return None
     follow = Continuations(many, each, np.bincount(many >> 8, each, 1 << 16))
-    head = _summed(parent[~deep].view(np.uint64), key[~deep].view(np.uint64), tri[~deep], counts)
-    return Model(vocabulary, buckets, _table(*head, follow, discount), follow, discount)
+    *nodes, counts = _summed(parent[~deep].view(np.uint64), key[~deep].view(np.uint64), tri[~deep], counts)
+    return Model(vocabulary, buckets, tuple(_table(*nodes, _of(counts, full), follow, discount) for full in (False, True)), follow, discount)
 
 
-def ratios(asked: DataFrame, model: Model) -> DataFrame:
+def ratios(asked: DataFrame, model: Model, full: bool = True) -> DataFrame:
     """log P(word | toxic) - log P(word | ordinary) of every asked word: rows (grp, hash, ratio) of arrays as bytes."""
-    sent = asked.sparkSession.sparkContext.broadcast((model.head, model.follow))
+    sent = asked.sparkSession.sparkContext.broadcast((model.heads[full], model.follow))
     discount = model.discount
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +357,7 @@ def ratios(asked: DataFrame, model: Model) -> DataFrame:
         if known:
             paths, counts = _joined(known)
             which, *nodes = paths.steps(HEAD + 1)
-            tail = _table(*_summed(*nodes, counts[which]), follow, discount)
+            tail = _table(*_summed(*nodes, _of(counts, full)[which]), follow, discount)
         for grp, parts in wanted.items():
             paths, _ = _joined(parts)
             out = np.zeros(len(paths.size))
@@ -364,14 +375,15 @@ FEATURES = ("mean", "above", "share")
 FLOOR = 2.0
 
 
-def features(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: the kept columns, n_words and the length-normalised features of its text."""
+def features(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), full: bool = True) -> DataFrame:
+    """Per row: the kept columns, n_words and the length-normalised features of its text, by the model with the
+    sample's words or without."""
     spark = docs.sparkSession
     docs = docs.select("text", *keep)
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():  # both passes have to see the same partitions
         docs = written(docs, "texts")
     answers = fresh_path(spark, "ratios")
-    found = ratios(_asked(docs, model.buckets, []), model)
+    found = ratios(_asked(docs, model.buckets, []), model, full)
     found.repartition(partitions(docs, 1), "grp").write.option("compression", "zstd").partitionBy("grp").parquet(answers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,21 +448,22 @@ def fit(sample, y: np.ndarray, rounds: int = 40) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Column, id_col: str = "doc_id", label: str = "toxic") -> tuple[Model, np.ndarray] | None:
-    """Model and weights from the labelled rows that `counted` and `calibrated` (conditions on `id`) choose."""
+    """Model and weights from the labelled rows that `counted` and `calibrated` (conditions on `id`) choose: all are
+    counted, and of the calibrated ones that aren't `counted` a sample fits the weights by a model without them."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("y is not null and id is not null")
     few = y.count() <= BROADCAST_LABELS
     text = docs.select(F.col(id_col).alias("id"), "text").where("text is not null")
+    share = y.where(calibrated).count()
+    chosen = F.coalesce(calibrated, F.lit(False))
+    if share > CALIBRATION:  # a bound on what the seven weights are fitted on; rows beyond it are counted
+        chosen = chosen & (F.pmod(F.xxhash64("id"), F.lit(int(share // CALIBRATION) + 1)) == 0)
     with_y = lambda which: text.where(which).join(F.broadcast(y.where(which)) if few else y.where(which), "id")
-    named = lambda which: with_y(which).select("text", (F.col("y") == 0).cast("int").alias("c0"), (F.col("y") != 0).cast("int").alias("c1"))
-    model = build(*count(named(counted), ["c0", "c1"]))
+    held = chosen & ~F.coalesce(counted, F.lit(False))
+    classes = {f"{c}{k}": (own & (F.col("y").cast("boolean") == bool(k))).cast("int") for c, own in (("c", ~held), ("s", held)) for k in (0, 1)}
+    model = build(*count(with_y(counted | calibrated).select("text", *[x.alias(c) for c, x in classes.items()]), [*classes]))
     if model is None:
         return None
-    share = y.where(calibrated).count()
-    some = with_y(calibrated)
-    if share > CALIBRATION:  # a documented bound on what the regression is fitted on
-        part = int(share // CALIBRATION) + 1
-        some = some.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0)
-    sample = features(some, model, ("y",)).toArrow().to_pandas()
+    sample = features(with_y(chosen), model, ("y",), full=False).toArrow().to_pandas()
     if not len(sample) or sample["y"].nunique() < 2:
         return None
     return model, fit(sample, sample["y"].to_numpy().astype(float))

@@ -419,6 +419,21 @@ def test_toxicity_reads_words_to_their_end(spark):
     assert [w.text(i).decode() for i in range(len(w.start))] == ["a", "b", "害虫", "虫", "x", "虫€", "€", "c"] and w.first.tolist() == [0, 5, 8, 8]
 
 
+def test_toxicity_counts_calibration_rows_too(spark, monkeypatch):
+    rows = [(f"quiet lines of text number{i} " + ("filth" if i % 2 else "plain") + (" vermin" * (i % 2) if i % 3 == 1 else ""), i % 2) for i in range(60)]
+    docs = docs_of(spark, [t for t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    r = F.col("id") % 3
+    probe = spark.createDataFrame([(0, "vermin")], "doc_id int, text string")
+    mean = lambda trained, full: toxicity.features(probe, trained[0], ("doc_id",), full).first()["mean"]
+    trained = toxicity.train(docs, labels, r != 1, r == 1)  # only rows of remainder 1 have the word
+    assert mean(trained, True) > 1 and mean(trained, True) > mean(trained, False) + 1
+    got = toxicity.features(probe, trained[0], ("doc_id",)).first()["mean"]
+    assert abs(got - np.clip(brute_ratios([(w, y) for t, y in rows for w in words_of(t)], ["vermin"])["vermin"], -4, 8)) < 1e-4
+    monkeypatch.setattr(toxicity, "CALIBRATION", 5)  # rows beyond the sample are counted
+    assert mean(toxicity.train(docs, labels, r != 1, r == 1), False) > 1
+
+
 def test_classifiers_without_labels_or_texts(spark, texts):
     d = docs_of(spark, texts)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
