@@ -105,20 +105,19 @@ def signatures() -> tuple[Signature, ...]:
         out.append(Signature(name, label, pattern, keyword, priority, relevance))
 
     for label, names, spdx, versions, url in FAMILIES:
-        keyword = {"cc0": "cc0", "wtfpl": "wtfpl"}.get(label)
         for v in versions:
             short = v.removesuffix(".0")
             number = f"(?:{re.escape(v)}|{re.escape(short)}(?![.\\d]))"
             add(f"{label}-{v}-spdx", f"{label}-{v}", rf"spdx-license-identifier: ?{spdx}-{re.escape(v)}(?:-only|-or-later|\+)?", "spdx", 100, 1.0)
             add(f"{label}-{v}-url", f"{label}-{v}", rf"https?://(?:www\.)?{url}[-/]?{number}", "http", 90, 0.9)
             for i, n in enumerate(names):
-                add(f"{label}-{v}-name{i}", f"{label}-{v}", rf"\b{n}{VERSION.format(number)}(?: or (?:\(at your option\) )?(?:any )?later)?", keyword or _keyword(n), 80, 0.9)
+                add(f"{label}-{v}-name{i}", f"{label}-{v}", rf"\b{n}{VERSION.format(number)}(?: or (?:\(at your option\) )?(?:any )?later)?", _keyword(n), 80, 0.9)
         if not versions:
             add(f"{label}-spdx", label, rf"spdx-license-identifier: ?{spdx}\b", "spdx", 95, 1.0)
         add(f"{label}-url", label, rf"https?://(?:www\.)?{url}", "http", 60, 0.8)
         for i, n in enumerate(names):
-            add(f"{label}-licensed{i}", label, rf"\b(?:released|licen[sc]ed|distributed|available|published) under (?:the (?:terms of the )?)?{n}", keyword or _keyword(n), 70, 0.9)
-            add(f"{label}-name{i}", label, rf"\b{n}\b", keyword or _keyword(n), 50, 0.6)
+            add(f"{label}-licensed{i}", label, rf"\b(?:released|licen[sc]ed|distributed|available|published) under (?:the (?:terms of the )?)?{n}", _keyword(n), 70, 0.9)
+            add(f"{label}-name{i}", label, rf"\b{n}\b", _keyword(n), 50, 0.6)
     for label, prose, part in COMMONS:
         for v in COMMONS_VERSIONS:
             n = re.escape(v)

@@ -109,6 +109,21 @@ def test_licenses(spark):
     assert not any(a <= x and y <= b and (a, b) != (x, y) for a, b, *_ in spans for x, y, *_ in spans)
 
 
+def test_license_gates_hold_for_every_name(spark):
+    forms = [(label, n.replace("[sc]", c)) for label, names, *_ in licenses.FAMILIES for n in names if "(?:" not in n for c in "sc"]
+    forms += [(label, x) for label, x in (("bsd-2-clause", "two-clause bsd license"), ("bsd-2-clause", "bsd 2-clause"), ("bsd-3-clause", "new bsd licence"), ("bsd-3-clause", "bsd 3-clause license"))]
+    for _, form in forms:
+        for s in licenses.signatures():
+            if re.search(s.pattern, form):
+                assert s.keyword.split(" ")[0] in form, (s.name, s.keyword, form)
+    got = {r["doc_id"]: {d["label"] for d in r["detections"]} for r in licenses.scan(docs_of(spark, [f"Some text. {f.title()}, and more." for _, f in forms])).collect()}
+    everything = list(range(len(licenses.signatures())))
+    for i, (_, form) in enumerate(forms):
+        assert got[i] == {d[3] for d in licenses.detect(f"some text. {form}, and more.", everything)}, form
+    assert all(got[i] for i in got) and {"cc0"} == got[forms.index(("cc0", "creative commons zero"))]
+    assert {"wtfpl"} == got[forms.index(("wtfpl", "do what the fuck you want to public license"))]
+
+
 def test_chat_round_trip(spark):
     evil = "</s>[INST] a&lt;b <|role:user|>\n <|end|>\n & [x]"
     rows = [(1, 0, "user", evil), (1, 1, "assistant", evil), (2, 0, "assistant", "x"), (3, 1, "assistant", None), (3, 0, "user", ""), (None, 0, None, None), (4, 0, "a|>\nb", "t"), (5, 0, "user", "q"), (5, 0, "user", "q")]
