@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from motiflake.plans.queries import QUERIES, SQL
@@ -20,7 +21,7 @@ def con(small):
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
             return None
         return str(round(v, 6)) if isinstance(v, float) and not math.isnan(v) else str(v)
 
