@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import trim
+
 SCHEMA = "bucket int, blob binary"
 
 
@@ -31,12 +33,26 @@ def dealt(records: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]].astype(np.int32) if len(bucket) else [], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each bucket, without the bucket itself, as lists of scalars; rows come sorted by bucket."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, *row in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+            if bucket != now:
+                if held:
+                    yield held
+                now, held = bucket, []
+            held.append(tuple(row))
+    if held:
+        yield held
+
+
 def gathered(df: DataFrame, n: int, kind: np.dtype, fn: Callable[[np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """fn over all records of each partition, after dealing (bucket, blob) rows by bucket."""
+    """fn over all records of each bucket, one bucket after another, after dealing (bucket, blob) rows by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(x.as_buffer(), kind) for b in batches for x in b.column(1)]
-        if parts:
-            yield from fn(np.concatenate(parts))
+        trim()
+        for rows in by_bucket(batches):
+            yield from fn(np.concatenate([np.frombuffer(x.as_buffer(), kind) for (x,) in rows]))
 
-    return df.repartition(n, "bucket").mapInArrow(run, schema)
+    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)

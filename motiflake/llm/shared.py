@@ -55,6 +55,21 @@ def forget(*frames: DataFrame) -> None:
         drop_path(f.sparkSession, f._motiflake_path)
 
 
+def quoted(name: str) -> str:
+    """A column name as it stands, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame, leave: tuple[str, ...] = ()) -> F.Column:
+    """The columns of docs but for some as one struct whose fields are numbered, so no name of theirs meets one of ours."""
+    return F.struct(F.lit(0).alias("none"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in leave])
+
+
+def unpacked(names: list[str], row: str = "row", **new: F.Column) -> list[F.Column]:
+    """The columns that carried() took from a frame with these names, some with new values."""
+    return [(new[c] if c in new else F.col(f"{row}.c{i}")).alias(c) for i, c in enumerate(names)]
+
+
 def sieve(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """df with a boolean `_maybe` that is true wherever the column's value is in the same column of keys, and seldom
     elsewhere: a bitmap of at most 2**20 words, built by a grouped bit_or and broadcast. It spares rows a shuffle; an

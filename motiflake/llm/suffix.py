@@ -27,18 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import SCHEMA, dealt, gathered, partitions
-from .shared import map_slices, sieve, written
-from .textkernel import BASE, BASE_INV, MIX, mix, powers, raw
+from .blobs import SCHEMA, by_bucket, dealt, gathered, partitions
+from .shared import carried, forget, map_slices, sieve, trim, unpacked, written
+from .textkernel import BASE, BASE_INV, mix, power, raw, running, shifted
 
 SIZE = 200
 GRAM = 64
 COLLECTION = 200_000
-SLICE = 3 << 20
+SLICE = 1 << 20
 PLACE = np.uint64((1 << 26) - 1)
-MOST = 1 << 25
-RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("u", "<i8"), ("p", "<i4"), ("n", "<i2")])
-HEAD = np.dtype([("key", "<u8"), ("u", "<i8"), ("p", "<i4"), ("n", "<i2"), ("left", "<i2"), ("many", "u1")])
+MOST = 1 << 21
+#: Buckets of records to a partition; a task holds one at a time.
+DEAL = 16
+RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("u", "<i8"), ("v", "<i8"), ("p", "<i4"), ("n", "<i2")])
+HEAD = np.dtype([("key", "<u8"), ("u", "<i8"), ("v", "<i8"), ("p", "<i4"), ("n", "<i2"), ("left", "<i2"), ("many", "u1")])
 SITE = np.dtype([("p", "<i4"), ("many", "u1")])
 SPAN = np.dtype([("start", "<i4"), ("stop", "<i4")])
 
@@ -54,10 +56,8 @@ def runs(data: np.ndarray, off: np.ndarray, size: int = SIZE, k: int = GRAM) ->
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     if n < size:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(MIX[data] * powers(BASE, n), out=sums[1:])
-    back = powers(BASE_INV, n + 1)
-    gram = mix((sums[k:] - sums[:-k]) * back[: n - k + 1])
+    sums = running(data, BASE)
+    gram = mix(shifted(sums[k:] - sums[:-k], BASE_INV))
     m = n - size + 1  # windows, also those across texts, which go below
     value = np.full(-(-len(gram) // w) * w, np.iinfo(np.uint64).max, np.uint64)
     value[: len(gram)] = (gram & ~PLACE) | np.arange(len(gram), dtype=np.uint64)
@@ -81,14 +81,17 @@ def runs(data: np.ndarray, off: np.ndarray, size: int = SIZE, k: int = GRAM) ->
     text = np.searchsorted(off, first, "right") - 1
     last = np.minimum(np.append(first[1:], m), off[text + 1] - size + 1)
     a = anchor[first]
-    content = mix((sums[last - 1 + size] - sums[first]) * back[first] + (last - first).astype(np.uint64))
+    content = mix((sums[last - 1 + size] - sums[first]) * power(BASE_INV, first) + (last - first).astype(np.uint64))
     return gram[a], content, text, first - off[text], last - first, a - first
 
 
 def _sites(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Runs of anchors with several sites: one site of each content goes to the collection, and the others of that
     content, being the same document of it, are spans as they are."""
-    records = np.unique(records)
+    records = records[np.lexsort((records["p"], records["v"], records["u"], records["content"], records["key"]))]
+    again = np.zeros(len(records), bool)  # a repeated row sent its runs again
+    again[1:] = records[1:] == records[:-1]
+    records = records[~again]
     key_new = np.concatenate([[True], records["key"][1:] != records["key"][:-1]])
     content_new = key_new | np.concatenate([[True], records["content"][1:] != records["content"][:-1]])
     of_key, of_content = np.cumsum(key_new) - 1, np.cumsum(content_new) - 1
@@ -96,24 +99,26 @@ def _sites(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     contents = np.bincount(of_key[content_new])[of_key]
     for kind, pick in ((0, (sites > 1) & ~content_new), (1, content_new & ((contents > 1) | (sites > 1)))):
         r = records[pick]
-        r, many = r[order := np.argsort(r["u"], kind="stable")], (sites[pick] > 1)[order]
+        r, many = r[order := np.lexsort((r["v"], r["u"]))], (sites[pick] > 1)[order]
         if kind:
             out = np.empty(len(r), SITE)
             out["p"], out["many"] = r["p"], many
         else:
             out = np.empty(len(r), SPAN)
             out["start"], out["stop"] = r["p"], r["p"].astype(np.int64) + r["n"] - 1 + SIZE
-        yield from _by_text(r["u"], out, kind)
+        yield from _by_text(r, out, kind)
 
 
-def _by_text(u: np.ndarray, out: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    if not len(u):
+def _by_text(r: np.ndarray, out: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    """A row (name of the text, kind, blob) for each text; r, in the order of names, says whose each item is."""
+    if not len(r):
         return
-    ends = np.concatenate([[0], np.flatnonzero(np.diff(u)) + 1, [len(u)]])
+    u, v = r["u"], r["v"]
+    ends = np.concatenate([[0], np.flatnonzero((u[1:] != u[:-1]) | (v[1:] != v[:-1])) + 1, [len(r)]])
     for i in range(0, len(ends) - 1, 5000):
         e = ends[i : i + 5001]
         blobs = [out[a:b].tobytes() for a, b in zip(e[:-1].tolist(), e[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(u[e[:-1]]), pa.array(np.full(len(blobs), kind, np.int32)), pa.array(blobs, pa.binary())], names=["u", "kind", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(u[e[:-1]]), pa.array(v[e[:-1]]), pa.array(np.full(len(blobs), kind, np.int32)), pa.array(blobs, pa.binary())], names=["u", "v", "kind", "blob"])
 
 
 def repeated_windows(head: np.ndarray, body: np.ndarray, start: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -160,15 +165,15 @@ def repeated_windows(head: np.ndarray, body: np.ndarray, start: np.ndarray, size
 
 
 def _compare(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated windows of all collections in a partition."""
+    """Spans of repeated windows of all collections in a bucket."""
     head = np.concatenate([h for h, _ in parts])
     body = np.concatenate([b for _, b in parts])
     length = head["n"].astype(np.int64) + SIZE - 1
     start = np.cumsum(length) - length
-    order = np.lexsort((head["p"], head["u"], head["key"]))
+    order = np.lexsort((head["p"], head["v"], head["u"], head["key"]))
     head, start = head[order], start[order]
     keep = np.ones(len(head), bool)  # a repeated row sent its runs again
-    keep[1:] = (head["key"][1:] != head["key"][:-1]) | (head["u"][1:] != head["u"][:-1]) | (head["p"][1:] != head["p"][:-1])
+    keep[1:] = np.any([head[c][1:] != head[c][:-1] for c in ("key", "u", "v", "p")], axis=0)
     head, start = head[keep], start[keep]
     cuts = np.flatnonzero(np.concatenate([[True], head["key"][1:] != head["key"][:-1], [True]]))
     a = 0
@@ -182,8 +187,8 @@ def _compare(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBa
             h = head[a:b][doc[first]]
             out = np.empty(len(first), SPAN)
             out["start"], out["stop"] = h["p"] + win[first], h["p"] + win[last] + SIZE
-            by = np.argsort(h["u"], kind="stable")
-            yield from _by_text(h["u"][by], out[by], 0)
+            by = np.lexsort((h["v"], h["u"]))
+            yield from _by_text(h[by], out[by], 0)
         a = b
 
 
@@ -197,43 +202,48 @@ def merged(blobs: list[bytes]) -> list[tuple[int, int]]:
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: F.Column | None = None) -> DataFrame:
     """Per row: id, text (null as empty), spans (blobs of repeated spans in bytes, or null), copies of its whole text,
-    and what else a caller wants carried (rest)."""
-    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.lit(None) if rest is None else rest).alias("rest")).withColumn("u", F.xxhash64("text"))
-    names = ["id", "text", "spans", "copies", "rest"]
+    and what else a caller wants carried (rest). A text's name is 128 bits (u, v)."""
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.lit(None) if rest is None else rest).alias("rest"))
+    text = text.withColumns({"u": F.xxhash64("text"), "v": F.xxhash64(F.lit(1), "text")})
+    names, name = ["id", "text", "spans", "copies", "rest"], ["u", "v"]
     parts = partitions(docs)
 
+    def bucket_of(key: np.ndarray) -> np.ndarray:
+        return ((key >> np.uint64(40)) % np.uint64(DEAL * parts)).astype(np.int64)
+
     def send(batch: pa.RecordBatch):
-        u = batch.column(0).to_numpy()
-        _, one = np.unique(u, return_index=True)
-        part = batch.take(pa.array(np.sort(one)))
-        data, off = raw(part.column(1))
+        u, v = (batch.column(i).to_numpy() for i in (0, 1))
+        _, one = np.unique(np.stack([u, v], 1), axis=0, return_index=True)
+        one.sort()
+        part = batch.take(pa.array(one))
+        data, off = raw(part.column(2))
         key, content, doc, p, n, _ = runs(data, off)
         rec = np.empty(len(key), RUN)
-        rec["key"], rec["content"], rec["u"], rec["p"], rec["n"] = key, content, u[np.sort(one)][doc], p, n
-        yield dealt(rec, ((key >> np.uint64(40)) % np.uint64(4 * parts)).astype(np.int64))
+        rec["key"], rec["content"], rec["u"], rec["v"], rec["p"], rec["n"] = key, content, u[one][doc], v[one][doc], p, n
+        yield dealt(rec, bucket_of(key))
 
-    sites = gathered(map_slices(text.select("u", "text"), "text", send, SCHEMA, SLICE), parts, RUN, _sites, "u long, kind int, blob binary")
+    sites = gathered(map_slices(text.select(*name, "text"), "text", send, SCHEMA, SLICE), parts, RUN, _sites, "u long, v long, kind int, blob binary")
     sites = written(sites, "sites")
-    one = text.groupBy("u").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
-    one = written(one, "texts")
-    wanted = sites.where("kind = 1").groupBy("u").agg(F.collect_list("blob").alias("sites")).join(one.where("rep is not null"), "u").withColumnRenamed("u", "v")
-    near = sieve(text.drop("rest"), "u", sites.where("kind = 1").select("u").distinct()).where("_maybe").drop("_maybe")
-    wanted = wanted.join(near, (F.col("v") == F.col("u")) & (F.col("rep") == F.col("id"))).select("u", "text", "sites")
-    lost = sites.where("kind = 1").groupBy("u").agg(F.collect_list("blob").alias("sites")).join(one.where("rep is null"), "u").withColumnRenamed("u", "v")
-    wanted = wanted.unionByName(lost.join(near, F.col("v") == F.col("u")).select("u", "text", "sites"))
+    one = written(text.groupBy(*name).agg(F.count("*").alias("copies"), F.min("id").alias("rep")), "texts")
+    asked = sites.where("kind = 1").groupBy(*name).agg(F.collect_list("blob").alias("sites")).join(one, name).select(F.struct(*name).alias("name"), "rep", "sites")
+    near = sieve(text.drop("rest"), "u", sites.where("kind = 1").select("u").distinct()).where("_maybe").drop("_maybe").withColumn("own", F.struct(*name))
+    wanted = asked.where("rep is not null").join(near, (F.col("name") == F.col("own")) & (F.col("rep") == F.col("id"))).select(*name, "text", "sites")
+    lost = asked.where("rep is null").join(near, F.col("name") == F.col("own")).select(*name, "text", "sites")
+    wanted = wanted.unionByName(lost)
 
     def segments(batch: pa.RecordBatch):
-        data, off = raw(batch.column(1))
+        data, off = raw(batch.column(2))
         key, _, doc, p, n, left = runs(data, off)
-        asked = [np.concatenate([np.frombuffer(x, SITE) for x in s]) for s in batch.column(2).to_pylist()]
+        asked = [np.concatenate([np.frombuffer(x, SITE) for x in s]) for s in batch.column(3).to_pylist()]
         want_doc = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
         want = np.concatenate(asked)
         mine, theirs = (doc << 32) + p, (want_doc << 32) + want["p"].astype(np.int64)
         order = np.argsort(mine)
         at = order[np.searchsorted(mine[order], theirs)]
         head = np.empty(len(at), HEAD)
-        head["key"], head["u"], head["p"], head["n"], head["left"], head["many"] = key[at], batch.column(0).to_numpy()[doc[at]], p[at], n[at], left[at], want["many"]
-        bucket = ((key[at] >> np.uint64(40)) % np.uint64(4 * parts)).astype(np.int64)
+        head["key"], head["u"], head["v"], head["p"] = key[at], batch.column(0).to_numpy()[doc[at]], batch.column(1).to_numpy()[doc[at]], p[at]
+        head["n"], head["left"], head["many"] = n[at], left[at], want["many"]
+        bucket = bucket_of(key[at])
         by = np.argsort(bucket, kind="stable")
         head, at, bucket = head[by], at[by], bucket[by]
         ends = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
@@ -243,15 +253,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         yield pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]].astype(np.int32)), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], names=["bucket", "head", "body"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.frombuffer(h.as_buffer(), HEAD), np.frombuffer(b.as_buffer(), np.uint8)) for x in batches for h, b in zip(x.column(1), x.column(2), strict=True)]
-        if got:
-            yield from _compare(got)
-
-    found = map_slices(wanted, "text", segments, "bucket int, head binary, body binary", SLICE).repartition(parts, "bucket").mapInArrow(compare, "u long, kind int, blob binary")
-    spans = sites.where("kind = 0").unionByName(found).groupBy("u").agg(F.collect_list("blob").alias("spans"))
-    spans = written(one.select("u", "copies").join(spans, "u", "left").where("copies > 1 or spans is not null"), "spans")
+        trim()
+        for rows in by_bucket(batches):
+            yield from _compare([(np.frombuffer(h.as_buffer(), HEAD), np.frombuffer(b.as_buffer(), np.uint8)) for h, b in rows])
+
+    sent = map_slices(wanted, "text", segments, "bucket int, head binary, body binary", SLICE).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = sent.mapInArrow(compare, "u long, v long, kind int, blob binary")
+    spans = sites.where("kind = 0").unionByName(found).groupBy(*name).agg(F.collect_list("blob").alias("spans"))
+    spans = written(one.select(*name, "copies").join(spans, name, "left").where("copies > 1 or spans is not null"), "spans")
+    forget(sites, one)
     flagged = sieve(text, "u", spans.select("u"))
-    hit = flagged.where("_maybe").join(spans, "u", "left").select(*names)
+    hit = flagged.where("_maybe").join(spans, name, "left").select(*names)
     free = flagged.where("not _maybe").withColumns({"spans": F.lit(None).cast("array<binary>"), "copies": F.lit(None).cast("long")}).select(*names)
     return hit.unionByName(free)
 
@@ -304,8 +316,8 @@ def kept_text(text: bytes, spans: list[tuple[int, int]]) -> str:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without repeated passages (widened to whole characters); those left without a word go, unless
     they had none."""
-    rest = F.struct(*[F.col(c) for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).alias("_")])
-    found = repeated(docs.withColumn("_null", F.col(text_col).isNull()), id_col, text_col, F.struct(rest.alias("r"), F.col("_null").alias("null")))
+    rest = F.struct(carried(docs, (id_col, text_col)).alias("row"), F.col(text_col).isNull().alias("null"))
+    found = repeated(docs, id_col, text_col, rest)
 
     @F.pandas_udf("string")
     def kept(text, spans, copies):
@@ -322,4 +334,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     new = new.withColumn("text", F.when(~F.col("rest.null"), F.col("_new"))).drop("_new")
     old = found.where(~touched).withColumn("text", plain)
     out = new.unionByName(old)
-    return out.select(*[F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col(f"rest.r.`{c}`").alias(c) for c in docs.columns])
+    return out.select(*unpacked(docs.columns, "rest.row", **{id_col: F.col("id"), text_col: F.col("text")}))

@@ -8,6 +8,7 @@ one running sum, so no Python code runs per word.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +27,49 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 SOLID = np.ones(256, bool)  # [^\x20\x09-\x0D]
 SOLID[0x20] = SOLID[9:14] = False
 
-_powers: dict[int, np.ndarray] = {}
+LOW = 16
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64, kept between calls."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
+@cache
+def _tables(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**0 .. base**(2**LOW - 1), and the powers of base**(2**LOW) up to a length of 2**31, modulo 2**64."""
+    out = []
+    for b, n in ((base, 1 << LOW), (pow(base, 1 << LOW, 1 << 64), 1 << (31 - LOW))):
+        t = np.full(n, b, np.uint64)
+        t[0] = 1
+        out.append(np.multiply.accumulate(t))
+    return out[0], out[1]
+
+
+def power(base: int, at: np.ndarray) -> np.ndarray:
+    """base**at modulo 2**64, from two small tables."""
+    low, high = _tables(base)
+    return low[at & ((1 << LOW) - 1)] * high[at >> LOW]
+
+
+def running(values: np.ndarray, base: int) -> np.ndarray:
+    """n + 1 running sums of values[i] * base**i modulo 2**64, from 0; bytes stand for their MIX values."""
+    n, step = len(values), 1 << LOW
+    out = np.zeros(n + 1, np.uint64)
+    low, high = _tables(base)
+    for a in range(0, n, step):
+        part = values[a : a + step]
+        part = (MIX[part] if part.dtype == np.uint8 else part) * low[: len(part)]
+        part *= high[a >> LOW]
+        part[:1] += out[a : a + 1]
+        np.cumsum(part, out=out[a + 1 : a + 1 + len(part)])
+    return out
+
+
+def shifted(values: np.ndarray, base: int) -> np.ndarray:
+    """values[i] * base**i modulo 2**64, in place."""
+    step = 1 << LOW
+    low, high = _tables(base)
+    for a in range(0, len(values), step):
+        part = values[a : a + step]
+        part *= low[: len(part)]
+        part *= high[a >> LOW]
+    return values
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -84,10 +117,8 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each word, equal for equal bytes wherever they stand."""
-        n = len(self.data)
-        run = np.zeros(n + 1, np.uint64)
-        np.cumsum(MIX[self.data] * powers(BASE, n), out=run[1:])
-        return mix((run[self.end] - run[self.start]) * powers(BASE_INV, n + 1)[self.start] + (self.end - self.start).astype(np.uint64))
+        run = running(self.data, BASE)
+        return mix((run[self.end] - run[self.start]) * power(BASE_INV, self.start) + (self.end - self.start).astype(np.uint64))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
@@ -106,10 +137,8 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     """A hash for each n consecutive values of h (len(h) - n + 1 of them); windows over two texts are to be masked out."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    run = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * powers(STEP, len(h)), out=run[1:])
-    m = len(h) - n + 1
-    return mix((run[n:] - run[:-n]) * powers(STEP_INV, m) + np.uint64(n))
+    run = running(h, STEP)
+    return mix(shifted(run[n:] - run[:-n], STEP_INV) + np.uint64(n))
 
 
 def whole(first: np.ndarray, n: int) -> np.ndarray:

@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 
-from .textkernel import BASE, BASE_INV, MIX, mix, powers
+from .textkernel import BASE, BASE_INV, mix, power, running
 
 MOST_WORDS = 600_000
 
@@ -64,7 +64,7 @@ class Vocabulary:
         """Ids of all simple texts one after another, and the offsets of each."""
         off = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype(np.int64)
         data = FOLD[np.frombuffer(b"".join(blobs), np.uint8)]
-        n, kind = len(data), np.zeros(len(data) + 2, np.uint8)
+        kind = np.zeros(len(data) + 2, np.uint8)
         kind[1:-1] = KIND[data]
         new = kind[1:] != kind[:-1]
         new[off] = True
@@ -73,9 +73,8 @@ class Vocabulary:
         start, end = cuts[:-1], cuts[1:]
         solid = kind[start + 1] > 0
         start, end = start[solid], end[solid]
-        run = np.zeros(n + 1, np.uint64)
-        np.cumsum(MIX[data] * powers(BASE, n), out=run[1:])
-        h = mix((run[end] - run[start]) * powers(BASE_INV, n + 1)[start] + (end - start).astype(np.uint64))
+        run = running(data, BASE)
+        h = mix((run[end] - run[start]) * power(BASE_INV, start) + (end - start).astype(np.uint64))
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > MOST_WORDS:
             self.clear()

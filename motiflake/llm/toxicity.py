@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .blobs import partitions
 from .shared import cut, fresh_path, trim, written
-from .textkernel import ALNUM, BASE, BASE_INV, MIX, Words, mix, powers, raw, words
+from .textkernel import ALNUM, BASE, BASE_INV, Words, mix, power, raw, running, words
 
 DISCOUNT = 0.75
 HEAD = 4
@@ -66,18 +66,15 @@ class Paths:
 
     def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
         self.data, self.start, self.size = data, start, size
-        n = len(data)
-        self.run = np.zeros(n + 1, np.uint64)
-        np.cumsum(MIX[data] * powers(BASE, n), out=self.run[1:])
-        self.back = powers(BASE_INV, n + 1)
+        self.run = running(data, BASE)
         self.hash = self.prefix(start, size)
 
     def prefix(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return mix((self.run[start + n] - self.run[start]) * self.back[start] + n.astype(np.uint64))
+        return mix((self.run[start + n] - self.run[start]) * power(BASE_INV, start) + n.astype(np.uint64))
 
     def only(self, which: np.ndarray) -> Paths:
         out = object.__new__(Paths)
-        out.data, out.run, out.back = self.data, self.run, self.back
+        out.data, out.run = self.data, self.run
         out.start, out.size, out.hash = self.start[which], self.size[which], self.hash[which]
         return out
 
