@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from .shared import forget, written
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """edges (a long, b long) -> node, root for every node of an edge; root is the smallest node it reaches."""
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) -> node, root for every node of an edge; root is the smallest node it reaches. Rounds go on until
+    the edges stay as they are; each brings nodes nearer to their root, so they end."""
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
-    for _ in range(most):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

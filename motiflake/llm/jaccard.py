@@ -1,6 +1,7 @@
 """Parity-sketch join: links between documents whose sets of word shingles have a Jaccard similarity of at least t.
 
-1. A document's set becomes 64-bit shingle hashes; equal sets are one node (their fingerprint), so copies cost once.
+1. A document's set becomes 64-bit shingle hashes; equal sets are one node (a fingerprint of 128 bits), so copies cost
+   once. A node's text is that of its least row by (id, name of the text), so repeated ids don't matter.
 2. Sizes are cut into bands that overlap, so that every two sets that can link share one (see Bands). In a band, sets
    that link differ in at most d shingles (|A - B| + |B - A| <= (1 - t) / t * smaller).
 3. A band's sketch has d + 1 + e blocks of BITS bits; each shingle flips one bit of one block (parity), so the Hamming
@@ -14,7 +15,10 @@
 5. A task verifies exactly: breadth first over the sets, skipping by size and by Hamming distance, intersecting the rest.
 
 Defined results: texts without words (and null) have an empty set and link with nothing; fewer words than a shingle are
-one shingle; repeated rows and ties are equal sets. Only fixed-size records and the sets of candidates are shuffled.
+one shingle; repeated rows and ties are equal sets; rows that share an id are documents of their own, and a row without
+an id has the least id that it reaches, or none. An empty table gives none; other columns are passed over, or through by
+deduplicate, whatever their names. Very long texts are read whole, one to a slice. Only fixed-size records and the sets
+of candidates are shuffled.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .blobs import SCHEMA, dealt, gathered, partitions
 from .graph import components
-from .shared import map_slices, sieve, written
+from .shared import carried, forget, map_slices, sieve, trim, unpacked, written
 from .textkernel import LOWER, SOLID, mix, raw, whole, windows, words
 
 REACH = 3
@@ -38,8 +42,10 @@ BITS = 4096
 FEW = 8
 CHUNK = 4096
 _WORD = mix(np.arange(1, BITS + 1, dtype=np.uint64))
-PAIR = np.dtype([("key", "<u8"), ("node", "<u8")])
-COUPLE = np.dtype([("a", "<i8"), ("b", "<i8")])
+#: Buckets of records to a partition; a task holds one at a time.
+DEAL = 16
+SLICE = 1 << 20
+PAIR = np.dtype([("key", "<u8"), ("node", "<u8", 2)])
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int, table: np.ndarray = SOLID) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +79,14 @@ def _sums(values: np.ndarray, first: np.ndarray, op=np.add) -> np.ndarray:
 
 
 def fingerprint(val: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, by its hashes' sum and its size."""
-    return mix(_sums(mix(val), first) + np.diff(first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    """A 128-bit name of each set, by two sums over its hashes and its size: (sets, 2)."""
+    size = np.diff(first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.stack([mix(_sums(mix(x), first) + size) for x in (val, val ^ np.uint64(0xC3A5C85C97CB3127))], 1)
+
+
+def names(node: np.ndarray) -> pa.Array:
+    """Fingerprints as binary values."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(node), [None, pa.py_buffer(np.ascontiguousarray(node))]).cast(pa.binary())
 
 
 class Bands:
@@ -161,23 +173,30 @@ def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Band
 
 def meetings(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(0, a, b, times) for all pairs of blocks with few nodes, (block, node, null, 1) for those of larger blocks."""
-    records = np.unique(records[np.lexsort((records["node"], records["key"]))])
-    key, node = records["key"], records["node"].astype(np.int64)
+    records = records[np.lexsort((records["node"][:, 1], records["node"][:, 0], records["key"]))]
+    again = np.zeros(len(records), bool)
+    again[1:] = (records["key"][1:] == records["key"][:-1]) & (records["node"][1:] == records["node"][:-1]).all(axis=1)
+    records = records[~again]
+    key, node = records["key"], records["node"]
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(cuts)
-    pairs = [np.zeros((0, 2), np.int64)]
+    at = [np.zeros((0, 2), np.int64)]
     for n in range(2, FEW + 1):
         first = cuts[:-1][size == n]
-        pairs += [np.stack([node[first + i], node[first + j]], 1) for i in range(n) for j in range(i + 1, n)]
-    pairs, times = np.unique(np.concatenate(pairs).view(COUPLE).ravel(), return_counts=True)
-    pairs = pairs.view(np.int64).reshape(-1, 2)
+        at += [np.stack([first + i, first + j], 1) for i in range(n) for j in range(i + 1, n)]
+    at = np.concatenate(at)
+    pairs = node[at].reshape(-1, 4)  # both names, the smaller first
+    pairs = pairs[np.lexsort(pairs.T[::-1])]
+    head = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])) if len(pairs) else np.zeros(0, np.int64)
+    times = np.diff(np.append(head, len(pairs)))
+    pairs = pairs[head]
     many = np.repeat(size > FEW, size)
     rest = key[many].view(np.int64) | 1
-    for block, left, right, n in ((np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1], times), (rest, node[many], None, np.ones(len(rest), np.int64))):
+    for block, left, right, n in ((np.zeros(len(pairs), np.int64), pairs[:, :2], pairs[:, 2:], times), (rest, node[many], None, np.ones(len(rest), np.int64))):
         for i in range(0, len(block), 100_000):
-            part = [x[i : i + 100_000] for x in (block, left)]
-            other = pa.nulls(len(part[0]), pa.int64()) if right is None else pa.array(right[i : i + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), other, pa.array(n[i : i + 100_000])], names=["block", "a", "b", "times"])
+            part = slice(i, i + 100_000)
+            other = pa.nulls(len(block[part]), pa.binary()) if right is None else names(right[part])
+            yield pa.RecordBatch.from_arrays([pa.array(block[part]), names(left[part]), other, pa.array(n[part])], names=["block", "a", "b", "times"])
 
 
 def sketches(val: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,131 +280,134 @@ def verify(sets: list[np.ndarray], t_num: int, t_den: int) -> np.ndarray:
     return root
 
 
-def clusters(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Per document: id, n_shingles, component_id (the smallest id that links reach). t is a fraction, as (4, 5)."""
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind, bands = dict(docs.dtypes)[id_col], Bands(t[0] / t[1])
+def _members(docs: DataFrame, n: int, t: tuple[int, int], chunk: int) -> DataFrame:
+    """docs (id, text, u, v) -> id, u, v, n_shingles, root of every row; root is null without shingles."""
+    kind, bands = dict(docs.dtypes)["id"], Bands(t[0] / t[1])
 
     def name(batch: pa.RecordBatch):
-        val, first = shingles(*raw(batch.column(1)), n)
+        val, first = shingles(*raw(batch.column(3)), n)
         sk, at = sketches(val, first)
         blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * 8), pa.py_buffer(sk)]).cast(pa.binary())
         node = fingerprint(val, first)
         need = block_keys(val, first, node, bands)[1].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), pa.array(node.view(np.int64)), pa.array(need), blobs], names=["id", "n_shingles", "node", "need", "sketch"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(first), pa.int64()), names(node), pa.array(need), blobs], names=["id", "u", "v", "n_shingles", "node", "need", "sketch"])
 
-    named = written(map_slices(text, "text", name, f"id {kind}, n_shingles long, node long, need int, sketch binary", 2 << 20), "sets")
-    of_node = named.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("need").alias("need"), F.first("sketch").alias("sketch"))
+    named = written(map_slices(docs.select("id", "u", "v", "text"), "text", name, f"id {kind}, u long, v long, n_shingles long, node binary, need int, sketch binary", SLICE), "sets")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "u", "v")).alias("least")
+    of_node = named.where("n_shingles > 0").groupBy("node").agg(least, F.first("n_shingles").alias("n"), F.first("need").alias("need"), F.first("sketch").alias("sketch"))
     of_node = written(of_node, "nodes")
     parts = partitions(docs)
 
     def send(batch: pa.RecordBatch):
-        val, first = shingles(*raw(batch.column(1)), n)
+        val, first = shingles(*raw(batch.column(0)), n)
         node = fingerprint(val, first)
-        _, one = np.unique(node, return_index=True)  # copies in a batch send once
+        _, one = np.unique(node, axis=0, return_index=True)  # copies in a batch send once
         sizes = np.diff(first)[one]
         take = np.repeat(first[one] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         rec, _ = block_keys(val[take], np.concatenate([[0], np.cumsum(sizes)]), node[one], bands)
-        yield dealt(rec, ((rec["key"] >> np.uint64(40)) % np.uint64(4 * parts)).astype(np.int64))
+        yield dealt(rec, ((rec["key"] >> np.uint64(40)) % np.uint64(DEAL * parts)).astype(np.int64))
 
-    met = written(gathered(map_slices(text, "text", send, SCHEMA, 2 << 20), parts, PAIR, meetings, "block long, a long, b long, times long"), "meetings")
+    met = written(gathered(map_slices(docs.select("text"), "text", send, SCHEMA, SLICE), parts, PAIR, meetings, "block long, a binary, b binary, times long"), "meetings")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            a, b, n, m = (x.column(i).to_numpy() for i in range(4))
+            n, m = (x.column(i).to_pylist() for i in (2, 3))
             sa, sb = ([np.frombuffer(y.as_buffer(), np.uint64) for y in x.column(i)] for i in (4, 5))
-            ok = [apart(p, q) * (t[1] + t[0]) <= (t[1] - t[0]) * (k + j) for p, q, k, j in zip(sa, sb, n.tolist(), m.tolist(), strict=True)]
-            keep = np.array(ok, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            ok = [apart(p, q) * (t[1] + t[0]) <= (t[1] - t[0]) * (k + j) for p, q, k, j in zip(sa, sb, n, m, strict=True)]
+            yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     one_of = lambda c: of_node.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     need_of = lambda c: of_node.select(F.col("node").alias(c), F.col("need").alias(f"k_{c}"))
     often = met.where("block = 0").groupBy("a", "b").agg(F.sum("times").alias("times")).join(need_of("a"), "a").where("times >= k_a").join(need_of("b"), "b").where("times >= k_b")
     pairs = often.select("a", "b").join(one_of("a"), "a").join(one_of("b"), "b")
-    pairs = pairs.where(f"abs(n_a - n_b) * {t[1] + t[0]} <= (n_a + n_b) * {t[1] - t[0]}").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(close, "a long, b long")
+    pairs = pairs.where(f"abs(n_a - n_b) * {t[1] + t[0]} <= (n_a + n_b) * {t[1] - t[0]}").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(close, "a binary, b binary")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def done():
-            found = list(near([h[2] for h in held], np.array([h[1] for h in held]), *t))
-            ids = [h[0] for h in held]
-            return pa.RecordBatch.from_arrays([pa.array([ids[u] for u, _ in found], pa.int64()), pa.array([ids[v] for _, v in found], pa.int64())], names=["a", "b"])
-
-        for x in batches:
-            for k, node, n, sk in zip(*(x.column(i).to_pylist() for i in range(3)), x.column(3), strict=True):
-                if k != key:
-                    if len(held) > 1:
-                        yield done()
-                    key, held = k, []
-                held.append((node, n, np.frombuffer(sk.as_buffer(), np.uint64).copy()))
-        if len(held) > 1:
-            yield done()
+        trim()
+        for held in _runs(batches, 1):
+            found = list(near([np.frombuffer(h[2], np.uint64) for h in held], np.array([h[1] for h in held]), *t)) if len(held) > 1 else []
+            yield pa.RecordBatch.from_arrays([pa.array([held[p[i]][0] for p in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     large = met.where("block <> 0").select("block", "a").join(one_of("a"), "a").select("block", "a", "n_a", "s_a")
-    large = large.repartition(parts, "block").sortWithinPartitions("block", "a").mapInArrow(within, "a long, b long")
-    edges = pairs.unionByName(large)
-    member = written(components(edges), "candidates")
+    large = large.repartition(parts, "block").sortWithinPartitions("block", "a").mapInArrow(within, "a binary, b binary")
+    member = written(components(pairs.unionByName(large)), "candidates")
+    forget(met)
 
-    sizes = member.groupBy("root").agg(F.count("*").alias("_n"))
-    many = sizes.where(F.col("_n") > chunk).select("root", F.ceil(F.col("_n") / chunk).cast("int").alias("_r"))
-    task = member.join(many, "root", "left").join(of_node.select("node", "id"), "node").withColumn("_c", F.when(F.col("_r").isNotNull(), F.pmod(F.xxhash64("node"), "_r").cast("int")))
-    task = written(task, "tasks")
-    some = sieve(text, "id", task.select("id")).where("_maybe").drop("_maybe")
-    wanted = some.join(task, some["id"].eqNullSafe(task["id"])).select("root", "node", "_r", "_c", "text")
+    sizes = member.groupBy("root").agg(F.count("*").alias("size"))
+    many = sizes.where(F.col("size") > chunk).select("root", F.ceil(F.col("size") / chunk).cast("int").alias("r"))
+    task = member.join(many, "root", "left").join(of_node.select("node", "least.*"), "node").withColumn("c", F.when(F.col("r").isNotNull(), F.pmod(F.xxhash64("node"), "r").cast("int")))
+    task = written(task.select("root", "node", "r", "c", *[F.col(x).alias(f"of_{x}") for x in ("id", "u", "v")]), "tasks")
+    some = sieve(docs.select("id", "u", "v", "text"), "u", task.select(F.col("of_u").alias("u"))).where("_maybe").drop("_maybe")
+    wanted = some.join(task, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("u") == F.col("of_u")) & (F.col("v") == F.col("of_v"))).select("root", "node", "r", "c", "text")
 
     def sets_of(batch: pa.RecordBatch):
         val, first = shingles(*raw(batch.column(4)), n)
         sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(val))])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets.cast(pa.binary())], names=["root", "node", "_r", "_c", "set"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets.cast(pa.binary())], names=["root", "node", "r", "c", "set"])
 
-    sets = map_slices(wanted, "text", sets_of, "root long, node long, _r int, _c int, set binary")
-    other = F.explode(F.coalesce(F.transform(F.sequence(F.lit(0), F.col("_r") - 1), lambda k: F.struct(F.least(k, F.col("_c")).alias("i"), F.greatest(k, F.col("_c")).alias("j"))), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))))
-    tasks = sets.select("root", "node", "set", other.alias("_p")).select("root", "_p.i", "_p.j", "node", "set").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    sets = map_slices(wanted, "text", sets_of, "root binary, node binary, r int, c int, set binary", SLICE)
+    other = F.explode(F.coalesce(F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda k: F.struct(F.least(k, F.col("c")).alias("i"), F.greatest(k, F.col("c")).alias("j"))), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))))
+    tasks = sets.select("root", "node", "set", other.alias("p")).select("root", "p.i", "p.j", "node", "set").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, held = None, [], []
-
-        def done():
-            root = verify(held, *t)
-            ids = np.array(nodes, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["a", "b"])
-
-        for batch in batches:
-            for r, i, j, node, s in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
-                if (r, i, j) != key:
-                    if held:
-                        yield done()
-                    key, nodes, held = (r, i, j), [], []
-                if not nodes or nodes[-1] != node:
-                    nodes.append(node)
-                    held.append(np.frombuffer(s.as_buffer(), np.uint64).copy())
-        if held:
-            yield done()
-
-    links = written(tasks.mapInArrow(check, "a long, b long"), "links")
-    if many.limit(1).count():
-        root = components(links)
-    else:
-        root = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    root = root.withColumnRenamed("root", "_root")
-    full = named.drop("sketch", "need").join(root, "node", "left").withColumn("_root", F.coalesce("_root", "node"))
-    lone = full.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    least = full.where("n_shingles > 0").groupBy("_root").agg(F.min("id").alias("component_id"))
-    linked = full.where("n_shingles > 0").join(least, "_root").select("id", "n_shingles", "component_id")
+        trim()
+        for held in _runs(batches, 3):
+            held = [h for k, h in enumerate(held) if not k or h[0] != held[k - 1][0]]  # a repeated row brings its node again
+            root = verify([np.frombuffer(h[1], np.uint64) for h in held], *t)
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.binary()), pa.array([held[r][0] for r in root], pa.binary())], names=["a", "b"])
+
+    links = written(tasks.mapInArrow(check, "a binary, b binary"), "links")
+    root = components(links) if many.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    full = named.select("id", "u", "v", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(root, "node", "left")
+    out = written(full.select("id", "u", "v", "n_shingles", F.coalesce("root", "node").alias("root")), "members")
+    forget(named, of_node, member, task, links)
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Stretches of rows that agree in the first columns, without those columns, as Python values."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield held
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, *more: F.Column) -> DataFrame:
+    """id, text, a 128-bit name (u, v) of the text, and more."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text).alias("u"), F.xxhash64(F.lit(1), text).alias("v"), *more)
+
+
+def clusters(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Per document: id, n_shingles, component_id (the smallest id that links reach). t is a fraction, as (4, 5)."""
+    full = _members(_texts(docs, id_col, text_col), n, t, chunk)
+    lone = full.where("root is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    least = full.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+    linked = full.where("root is not null").join(least, "root").select("id", "n_shingles", "component_id")
     return linked.unionByName(lone).withColumnRenamed("id", id_col)
 
 
-def deduplicate(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id. Rows with one id and one text are one document;
-    rows without an id stay."""
-    found = written(clusters(docs, n, t, id_col, text_col), "components")
-    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "dropped")
-    again = written(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"), "repeated")
-    names = docs.columns
-    flagged = sieve(docs.withColumn("_gone", F.col(id_col)), "_gone", gone)
-    kept = flagged.where("not _maybe").select(*names).unionByName(flagged.where("_maybe").join(gone, "_gone", "left_anti").select(*names))
-    if not again.limit(1).count():
-        return kept
-    flagged = sieve(kept.withColumn("_again", F.col(id_col)), "_again", again)
-    return flagged.where("not _maybe").select(*names).unionByName(flagged.where("_maybe").dropDuplicates([id_col, text_col]).select(*names))
+def deduplicate(docs: DataFrame, n: int = 5, t: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """One document of each component: the one with the smallest id (ids before none; of one id, the least name of a
+    text). Rows with one id and one text are one document; rows without an id and without a word stay."""
+    texts = _texts(docs, id_col, text_col, carried(docs).alias("row"))
+    full = _members(texts, n, t, chunk)
+    name = ["id", "u", "v"]
+    rows = full.groupBy(*name, "root").agg(F.count("*").alias("times"))
+    best = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), *name)).alias("best"), F.sum("times").alias("many")).where("many > 1")
+    own = F.struct(F.col("id").isNull().alias("none"), *name)
+    marked = rows.join(best, "root", "left").select(*[F.col(c).alias(f"of_{c}") for c in name], (F.col("best").isNotNull() & (own != F.col("best"))).alias("gone"), "times")
+    marked = written(marked.where("gone or times > 1"), "marked")
+    flagged = sieve(texts, "u", marked.select(F.col("of_u").alias("u")))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("u") == F.col("of_u")) & (F.col("v") == F.col("of_v"))
+    maybe = flagged.where("_maybe").join(marked, same, "left").where("gone is null or not gone")
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    several = F.col("gone").isNotNull() & (F.col("id").isNotNull() | words)
+    kept = flagged.where("not _maybe").select("row").unionByName(maybe.where(~several).select("row")).unionByName(maybe.where(several).dropDuplicates(name).select("row"))
+    return kept.select(*unpacked(docs.columns))

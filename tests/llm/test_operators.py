@@ -213,9 +213,10 @@ def test_sketches_bound_the_difference():
 
 
 def test_block_meetings_lose_no_pair():
-    rec = np.array([(1, 5), (1, 6), (1, 6), (2, 7), *[(3, k) for k in range(20)]], jaccard.PAIR)
+    rec = np.array([(k, (n, n)) for k, n in [(1, 5), (1, 6), (1, 6), (2, 7), *[(3, k) for k in range(20)]]], jaccard.PAIR)
     rows = [r for b in jaccard.meetings(rec) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    assert (0, 5, 6, 1) in rows and sorted(a for k, a, *_ in rows if k) == list(range(20)) and len(rows) == 21
+    node = lambda n: n.to_bytes(8, "little") * 2
+    assert (0, node(5), node(6), 1) in rows and sorted(a for k, a, *_ in rows if k) == sorted(map(node, range(20))) and len(rows) == 21
 
 
 def test_components(spark):
@@ -230,6 +231,30 @@ def test_deduplicate_keeps_one(spark, texts):
     assert sorted(kept, key=str) == sorted([*(i for i in range(len(texts)) if roots[i] == i), None], key=str)
 
 
+def test_repeated_ids_are_documents_of_their_own(spark, texts):
+    a, b, c = (f"{x} " + (texts[k] or "") for x, k in (("a", 14), ("b", 15), ("c", 16)))
+    rows = [(3, a), (7, a), (7, b), (8, c), (5, a), (5, b), (6, b + " more"), (None, c), (None, c + " end"), (9, ""), (9, ""), (9, None), (None, ""), (None, None), (4, c), (4, c)]
+    d = spark.createDataFrame([(i, t, k, "x", -k, 0, "y") for k, (i, t) in enumerate(rows)], "doc_id long, text string, _gone int, _again string, u int, row int, _maybe string")
+    _, root = brute_clusters([t for _, t in rows], 5, (4, 5))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root[k]] = min(i, least.get(root[k], i))
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.clusters(d).collect())
+    assert got == Counter((i, least.get(root[k]) if (t or "").strip() else i) for k, (i, t) in enumerate(rows))
+    out = jaccard.deduplicate(d)
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == d.columns and all(rows[r["_gone"]] == (r["doc_id"], r["text"]) and r["u"] == -r["_gone"] for r in out.collect())
+    assert Counter(kept) == Counter([(3, a), (5, b), (4, c), (9, ""), (None, ""), (None, None)]) or Counter(kept) == Counter([(3, a), (5, b), (4, c), (9, None), (None, ""), (None, None)])
+    assert jaccard.deduplicate(d.limit(0)).count() == jaccard.clusters(d.limit(0)).count() == 0
+
+
+def test_long_chains_end(spark):
+    n = 300  # a chain takes the most rounds
+    e = spark.createDataFrame([((k * 37) % n, ((k + 1) * 37) % n) for k in range(n - 1)], "a long, b long")
+    assert {r["root"] for r in graph.components(e).collect()} == {0}
+
+
 def brute_spans(texts, size):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[p : p + size] for b in raw for p in range(len(b) - size + 1))
