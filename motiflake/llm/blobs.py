@@ -14,12 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import trim
+from .shared import small_batches, trim
 
 SCHEMA = "bucket int, blob binary"
 
 
 def partitions(df: DataFrame, times: int = 2) -> int:
+    small_batches(df.sparkSession)
     return times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 

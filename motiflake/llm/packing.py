@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = 1, id_c
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
-    return map_slices(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", run, schema, 2 << 20, True).withColumnRenamed("id", id_col)
+    return map_slices(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", run, schema, 1 << 20, True).withColumnRenamed("id", id_col)
 
 
 def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:

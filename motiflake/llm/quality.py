@@ -22,8 +22,8 @@ from .shared import map_slices
 from .textkernel import SOLID, mix, raw, whole, windows, words
 
 SAMPLE = 6000
-#: Label rows up to which they are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_LABELS = 4_000_000
+#: Label rows (an id and a class) up to which they are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 SLICE = 3 << 20
 
 _CLASSES = [b"#*$%&<>@^~_=\\{}", b"|", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b".,;:", b" \t"]

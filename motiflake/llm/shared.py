@@ -104,16 +104,28 @@ def trim(drop_words: bool = True) -> None:
     """Give back what a reused Python worker holds from earlier tasks: the table of words, and freed memory."""
     if drop_words and (tokens := sys.modules.get("motiflake.llm.tokens")):
         tokens.vocabulary.cache_clear()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let the session's Arrow batches hold at most 4 MB: the JVM and the workers hold several of a task's at once."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH))
+    if not 0 < size <= most:
+        spark.conf.set(BATCH, str(most))
+
+
 def map_slices(
     df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, most: int = 2 << 20, keep_words: bool = False
 ) -> DataFrame:
     """mapInArrow over slices of bounded text size, so memory doesn't follow the rows per Arrow batch."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim(not keep_words)
@@ -121,5 +133,6 @@ def map_slices(
             if batch.num_rows:
                 for part in cut(batch, column, most):
                     yield from fn(part)
+        trim(False)
 
     return df.mapInArrow(run, schema)

@@ -38,20 +38,27 @@ class Vocabulary:
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str], most: int = 1 << 17) -> list[np.ndarray]:
+        """Ids of each text, in lots of about `most` characters: the tokenizer's own results are large."""
+        out, lot, size = [], [], 0
+        for k, t in enumerate(texts, 1):
+            lot.append(t)
+            size += len(t)
+            if size >= most or k == len(texts):
+                out += [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(lot, add_special_tokens=False)]
+                lot, size = [], 0
+        return out
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Add words (keys ascending) to the table."""
         parts = []
-        for k in range(0, len(words), 10_000):  # the tokenizer's own results are large
-            some = words[k : k + 10_000]
-            parts += [np.asarray(x, np.uint32) for x in self.encode([" ".join(some[i : i + 1000]) for i in range(0, len(some), 1000)])]
+        for k in range(0, len(words), 1000):
+            parts += self.encode([" ".join(words[k : k + 1000])])
         ids = np.concatenate(parts)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):  # not told apart by their ends: one by one
             each = self.encode(words)
-            ids, stops = np.array([x for e in each for x in e], np.uint32), np.cumsum([len(e) for e in each])
+            ids, stops = np.concatenate(each), np.cumsum([len(e) for e in each])
         starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used, 2 * len(ids)), np.uint32)])
@@ -107,7 +114,7 @@ class Vocabulary:
                 parts[i] = ids[off[k] : off[k + 1]]
         hard = [i for i, p in enumerate(parts) if p is None]
         for i, x in zip(hard, self.encode([texts[i] for i in hard]) if hard else [], strict=True):
-            parts[i] = np.asarray(x, np.uint32)
+            parts[i] = x
         tail = [] if last is None else [np.array([last], np.uint32)]
         out = [x for p in parts for x in (p, *tail)]
         return np.concatenate(out) if out else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum([len(p) + len(tail) for p in parts])]).astype(np.int64)
