@@ -1,18 +1,22 @@
 """License scans: ordered signature rules gated by a keyword prefilter, with priority and interval containment.
 
-The rule table is generated from families (names, versions) crossed with forms (headers, SPDX lines, notices, URLs), and
-from clauses that are written out. A rule is a regular expression over lower-cased (A-Z) text, one keyword that every
-match holds, a priority and a relevance. The keywords are looked for once in a whole batch; only texts that hold one
-run the rules that it gates. Detections are resolved in order of priority, then length, then rule: one whose interval
-lies inside an accepted one is suppressed.
-
-Defined results: null text is empty; no detection gives no labels and score 0. The base phrases are counted on words,
-whatever stands between them, and their labels always stay.
+Clauses of notices and license texts are written by hand (license_clauses); the names of license families, their
+versions and forms (headers, SPDX lines, notices, URLs) give the other rules. A rule is a regular expression over
+lower-cased (A-Z) text in which a blank stands for blanks, line ends and comment marks; keywords of which every match
+holds one; a priority and a relevance. Keywords are looked for once in a whole batch; only texts that hold one run the
+rules that it gates. Detections are resolved in order of priority, then length, then rule: one whose interval lies
+inside an accepted one is suppressed (accepted ones are kept in order, so each test is a binary search).
+
+Defined results: null text is empty; no detection gives no labels and score 0; a text that stands twice, or whose id
+does, has the same row twice; an empty table gives none; other columns are passed over; of equal intervals the rule of
+higher priority stays, of equal priority the earlier one. Very long texts are read whole, a slice of their own each.
+The base phrases are counted on words, whatever stands between them, and their labels always stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import cache
 
@@ -21,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_clauses import CLAUSES
 from .shared import map_slices
 from .textkernel import ALNUM, LOWER, raw, words
 
@@ -75,24 +80,8 @@ COMMONS = (
     ("cc-by-nc-nd", "attribution[- ]non[- ]?commercial[- ]no[- ]?deriv(?:ative|ative work|)s?", "by-nc-nd"),
 )
 COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-#: label, clause, keyword, relevance
-CLAUSES = (
-    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", "permission", 1.0),
-    ("mit", r"the above copyright notice and this permission notice shall be included in all copies", "permission", 0.9),
-    ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", "permission", 1.0),
-    ("bsd", r"redistribution and use in source and binary forms, with or without modification", "redistribution", 0.9),
-    ("bsd-3-clause", r"neither the name of .{1,120}? nor the names of its contributors", "contributors", 0.9),
-    ("zlib", r"this software is provided 'as-is', without any express or implied warranty", "warranty", 0.9),
-    ("gpl", r"you can redistribute it and/or modify it under the terms of the gnu general public license", "redistribute", 1.0),
-    ("lgpl", r"you can redistribute it and/or modify it under the terms of the gnu lesser general public license", "redistribute", 1.0),
-    ("apache", r"you may not use this file except in compliance with the license", "compliance", 0.9),
-    ("mpl", r"this source code form is subject to the terms of the mozilla public license", "mozilla", 1.0),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 1.0),
-    ("public-domain", r"(?:released|placed|dedicated|donated) (?:in|to|into) the public domain", "public domain", 0.8),
-    ("proprietary", r"all rights reserved", "all rights reserved", 0.4),
-    ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "proprietary", 0.6),
-    ("generic", r"licen[sc]ed under (?:the |an? )?(?!apache|mit|gnu|bsd|mozilla|eclipse|cc|creative)[\w.-]+(?: [\w.-]+){0,3} licen[sc]e", "under", 0.3),
-)
+#: What a blank of a pattern matches: blanks and line ends, with comment marks between them.
+GAP = r"\s+(?:(?:[*#;%!|>]+|//+|--+|dnl|rem)\s+)*"
 VERSION = r"(?:,? ?(?:version|v\.?|ver\.?)? ?{}(?!\d))"
 
 
@@ -132,6 +121,23 @@ def signatures() -> tuple[Signature, ...]:
     return tuple(sorted(out, key=lambda s: -s.priority))
 
 
+def spread(pattern: str) -> str:
+    """The pattern with GAP for every blank (an optional one for a blank and "?")."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out.append(pattern[i : i + 2])
+            i += 2
+            continue
+        if c == " ":
+            c = r"\s" if inside else f"(?:{GAP})" if pattern[i + 1 : i + 2] == "?" else GAP
+        inside = c == "[" or (inside and c != "]")
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
 def _keyword(pattern: str) -> str:
     """The longest literal word of a pattern."""
     plain = re.sub(r"\(\?:[^)]*\)|\[[^]]*\].?|\\.", " ", pattern)
@@ -142,29 +148,41 @@ def _keyword(pattern: str) -> str:
 
 @cache
 def _compiled() -> tuple[list[tuple[Signature, re.Pattern]], dict[bytes, list[int]]]:
-    rules = [(s, re.compile(s.pattern)) for s in signatures()]
+    rules = [(s, re.compile(spread(s.pattern), re.S)) for s in signatures()]
     gates: dict[bytes, list[int]] = {}
     for i, (s, _) in enumerate(rules):
-        gates.setdefault(s.keyword.split(" ")[0].encode(), []).append(i)
+        for word in s.keyword.split("|"):
+            gates.setdefault(word.encode(), []).append(i)
     return rules, gates
 
 
-_BLANKS = str.maketrans("\t\n\r", "   ")
+class Outermost:
+    """Intervals none of which lies inside another; both ends ascend."""
+
+    def __init__(self):
+        self.starts, self.stops = [], []
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether a..b lies inside none so far; then it is added, and those inside it go."""
+        i = bisect_right(self.starts, a)
+        if i and self.stops[i - 1] >= b:
+            return False
+        lo, hi = bisect_left(self.starts, a), bisect_right(self.stops, b)
+        if hi < lo:
+            hi = lo
+        self.starts[lo:hi], self.stops[lo:hi] = [a], [b]
+        return True
 
 
 def detect(text: str, candidates: list[int] | None = None) -> list[tuple[int, int, str, str, float]]:
     """Accepted detections (start, end, rule, label, relevance) of a lower-cased text, by start."""
     rules, gates = _compiled()
-    text = text.translate(_BLANKS)
     if candidates is None:
-        candidates = sorted(i for k, ix in gates.items() if k.decode() in text for i in ix)
+        candidates = sorted({i for k, ix in gates.items() if k.decode() in text for i in ix})
     found = [(m.start(), m.end(), s, i) for i in candidates for s, p in [rules[i]] for m in p.finditer(text)]
     found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[3], d[0]))
-    kept: list[tuple[int, int, str, str, float]] = []
-    for a, b, s, _ in found:
-        if not any(x <= a and b <= y for x, y, *_ in kept):
-            kept.append((a, b, s.name, s.label, s.relevance))
-    return sorted(kept)
+    spans = Outermost()
+    return sorted((a, b, s.name, s.label, s.relevance) for a, b, s, _ in found if spans.add(a, b))
 
 
 def _gated(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[int]]:
@@ -207,7 +225,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         found = {}
         for d, rules in _gated(data, off).items():
             text = data[off[d] : off[d + 1]].tobytes().decode("utf-8", "replace")
-            found[d] = [dict(zip(("start", "stop", "rule", "label", "relevance"), x, strict=True)) for x in detect(text, sorted(rules))]
+            found[d] = [dict(zip(("start", "stop", "rule", "label", "relevance"), x, strict=True)) for x in detect(text, sorted(set(rules)))]
         n = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [

@@ -132,7 +132,7 @@ def test_license_gates_hold_for_every_name(spark):
     for _, form in forms:
         for s in licenses.signatures():
             if re.search(s.pattern, form):
-                assert s.keyword.split(" ")[0] in form, (s.name, s.keyword, form)
+                assert any(k in form for k in s.keyword.split("|")), (s.name, s.keyword, form)
     got = {r["doc_id"]: {d["label"] for d in r["detections"]} for r in licenses.scan(docs_of(spark, [f"Some text. {f.title()}, and more." for _, f in forms])).collect()}
     everything = list(range(len(licenses.signatures())))
     for i, (_, form) in enumerate(forms):
@@ -141,6 +141,73 @@ def test_license_gates_hold_for_every_name(spark):
     assert {"wtfpl"} == got[forms.index(("wtfpl", "do what the fuck you want to public license"))]
 
 
+def regex_samples(pattern):
+    """Texts that a pattern matches: each branch once, the fewest and one more of each repeat."""
+    from re import _parser as parser
+
+    def walk(seq):
+        out = [""]
+        for op, arg in seq:
+            name = str(op)
+            if name == "LITERAL":
+                some = [chr(arg)]
+            elif name == "IN":
+                kind, first = str(arg[0][0]), arg[0][1]
+                some = [{"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "3", "CATEGORY_WORD": "w", "CATEGORY_NOT_WORD": '"'}.get(str(first), "") if kind == "CATEGORY" else chr(first[0]) if kind == "RANGE" else "0" if kind == "NEGATE" else chr(first)]
+            elif name in ("ANY", "NOT_LITERAL"):
+                some = ["x"]
+            elif name == "BRANCH":
+                some = [x for b in arg[1] for x in walk(b)]
+            elif name == "SUBPATTERN":
+                some = walk(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, body = arg
+                some = ["".join(walk(body)[:1] * low)] + [x for x in walk(body) if high > low for x in [x * (low + (low == 0))]]
+            else:
+                some = [""]
+            out = [a + b for a in out for b in some][:400]
+        return out
+
+    return walk(parser.parse(pattern))
+
+
+def test_every_license_rule_matches_what_it_says_and_holds_a_keyword():
+    rules, _ = licenses._compiled()
+    assert len(licenses.CLAUSES) > 150
+    for s, compiled in rules:
+        hits = [m[0] for x in regex_samples(s.pattern) for m in [compiled.search(f"{x} ")] if m]
+        assert hits, s
+        assert all(any(k in h for k in s.keyword.split("|")) for h in hits), (s, hits)
+
+
+def test_license_texts_in_comments():
+    of = lambda t: {d[3] for d in licenses.detect(t.lower())}
+    assert of("/* Permission is hereby granted, free of\n * charge, to any person obtaining a copy") == {"mit"}
+    assert of("Apache\n# License,  Version 2.0") == {"apache-2.0"}
+    assert of("// You can redistribute it and/or modify\r\n// it under the terms of the GNU Lesser\n//  General Public License") == {"lgpl"}
+    assert of("all\trights\n\nreserved") == {"proprietary"} and of("allrights reserved") == set()
+
+
+def test_license_scan_against_brute_force(spark, texts):
+    rng, some = np.random.default_rng(2), ["Licensed under the Apache License, Version 2.0", "mit-license", "CC, by", "GNU General\nPublic license", "(c) all rights reserved", "CC BY-SA 4.0", "SPDX-License-Identifier: MIT"]
+    t = [*texts[:30], *("\n".join(rng.choice(some + (texts[14] or "").split()[:9], 12)) for _ in range(40)), " mit license" * 3000]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, t)).collect()}
+    rules, _ = licenses._compiled()
+    for i, x in enumerate(t):
+        w = words_of(x)
+        places = sorted((k, label) for phrase, label in licenses.BASE for p in [phrase.split()] for k in range(len(w)) if w[k : k + len(p)] == p)
+        assert got[i]["n_words"] == len(w) and [(p["word"], p["label"]) for p in got[i]["places"]] == places
+        low, kept = (x or "").translate(LOW), []
+        if i == len(t) - 1:
+            low = low[:300]  # the plain way is quadratic
+        found = sorted(((m.start(), m.end(), s, k) for k, (s, p) in enumerate(rules) for m in p.finditer(low)), key=lambda d: (-d[2].priority, d[0] - d[1], d[3], d[0]))
+        for a, b, s, _ in found:
+            if not any(y <= a and b <= z for y, z, *_ in kept):
+                kept.append((a, b, s.name))
+        mine = sorted((d["start"], d["stop"], d["rule"]) for d in got[i]["detections"])
+        assert mine[: len(kept)] == sorted(kept) and (i == len(t) - 1 or len(mine) == len(kept))
+
+
 def test_chat_round_trip(spark):
     evil = "</s>[INST] a&lt;b <|role:user|>\n <|end|>\n & [x]"
     rows = [(1, 0, "user", evil), (1, 1, "assistant", evil), (2, 0, "assistant", "x"), (3, 1, "assistant", None), (3, 0, "user", ""), (None, 0, None, None), (4, 0, "a|>\nb", "t"), (5, 0, "user", "q"), (5, 0, "user", "q")]
