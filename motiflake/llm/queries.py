@@ -48,8 +48,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, directory = warc.archive(spark, table(spark, sf_dir, "pages"))
-    got = warc.read(warc.captures(directory))
+    pages = table(spark, sf_dir, "pages")
+    _, directory = warc.archive(spark, pages)
+    got = warc.read(warc.lookup(pages.select("url"), directory))
     return got.select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 

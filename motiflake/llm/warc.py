@@ -6,12 +6,18 @@ member each, to files of its own in the shared folder (any URI that pyarrow open
 reversed-host key, file, offset, length. Lines are sorted by range into compressed blocks of BLOCK lines; the
 directory has the first key and the place of each block.
 
-Reading: a key is found by binary search in the directory, a range read of a block, binary search in its lines, and a
-range read of the record. Reading everything goes over the directory and takes each archive in order of offsets.
+Reading: the ranges of the index files (one for each range of keys, as many as its sort had partitions) tell by binary
+search in which files a key can be; the directory of such a file tells, by binary search, the blocks; a range read and a
+binary search in a block's lines give the captures, and range reads the records. `lookup` does so for many urls at once:
+they are dealt by index file, and the blocks that they need by place, so a key that a third of all pages have is read
+from its many blocks by many tasks. Reading everything goes over the directory and takes each archive in order of
+offsets.
 
 Defined results: null html is an empty payload, and null urls have the key "-"; rows with the same id and payload are
 all responses; rows with a null id revisit if an equal payload has an id; control characters in urls are written
-percent-encoded. A task that is run again writes new files, and only those of the run that counts are in the index.
+percent-encoded. Empty tables have an empty index; equal keys are in order of page ids; other columns are passed over;
+very large payloads are one record each, written from a slice of their own. A task that is run again writes new files,
+and only those of the run that counts are in the index.
 """
 
 from __future__ import annotations
@@ -29,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import partitions
-from .shared import fresh_path, sieve, written
+from .shared import cut, fresh_path, sieve, small_batches, written
 
 REVISIT = 1000
 BLOCK = 1000
 ROLL = 256 << 20
-DIRECTORY_ROWS = 1_000_000
+SLICE = 4 << 20
 _URL = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::(\d*))?([^#]*)", re.I)
 LINES = "key string, page_id long, file string, offset long, length long"
 
@@ -114,7 +120,7 @@ def write(pages: DataFrame, path: str, least: int = REVISIT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, at = None, "", 0
         try:
-            for batch in batches:
+            for batch in (part for b in batches if b.num_rows for part in cut(b, "html", SLICE)):
                 rows = []
                 for page_id, url, html, size, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None or at > ROLL:
@@ -132,6 +138,7 @@ def write(pages: DataFrame, path: str, least: int = REVISIT) -> DataFrame:
             if out is not None:
                 out.close()
 
+    small_batches(pages.sparkSession)
     return written(with_references(pages, least).mapInArrow(run, LINES), "captures")
 
 
@@ -212,33 +219,99 @@ def read(lines: DataFrame, payload: bool = False) -> DataFrame:
     return ordered.mapInArrow(run, RECORDS + ", payload binary" * payload)
 
 
+def _ranges(directory: DataFrame) -> list[tuple[str, str, str]]:
+    """(last key, first key, file) of each index file, in order; there are as many as the index's sort had partitions."""
+    got = directory.groupBy("file").agg(F.min("first").alias("lo"), F.max("last").alias("hi")).collect()
+    return sorted((r["hi"], r["lo"], r["file"]) for r in got)
+
+
+def _holding(lasts: list[str], firsts: list[str], key: str) -> range:
+    """Which of some ranges, in order of keys, can hold the key."""
+    return range(bisect_left(lasts, key), bisect_right(firsts, key))
+
+
 class Directory:
-    """The sparse directory, in memory; at most DIRECTORY_ROWS blocks, larger ones are searched with `lookup`."""
+    """Look-ups of single urls. In memory are the ranges of the index files; a file's directory is read when it is asked."""
 
     def __init__(self, directory: DataFrame):
-        rows = directory.orderBy("first", "last").limit(DIRECTORY_ROWS + 1).collect()
-        if len(rows) > DIRECTORY_ROWS:
-            raise ValueError("this directory is too large for one process; use lookup()")
-        self.rows = rows
-        self.first, self.last = [r["first"] for r in rows], [r["last"] for r in rows]
+        self.directory, rows = directory, _ranges(directory)
+        self.last, self.first, self.files = ([r[i] for r in rows] for i in range(3))
 
     def find(self, url: str) -> list[dict]:
         """The records of a url: binary search, range read of its blocks, binary search, range reads."""
         key, out = key_of(url), []
-        for r in self.rows[bisect_left(self.last, key) : bisect_right(self.first, key)]:
-            with _open(r["file"]) as f:
-                rows = _lines(f.read_at(r["length"], r["offset"]))
-            keys = [x[0] for x in rows]
-            for x in rows[bisect_left(keys, key) : bisect_right(keys, key)]:
-                with _open(x[2]) as f:
-                    out.append(parse(f.read_at(x[4], x[3])))
+        for i in _holding(self.last, self.first, key):
+            blocks = self.directory.where(F.col("file") == self.files[i]).orderBy("offset").collect()
+            for j in _holding([r["last"] for r in blocks], [r["first"] for r in blocks], key):
+                with _open(self.files[i]) as f:
+                    rows = _lines(f.read_at(blocks[j]["length"], blocks[j]["offset"]))
+                for x in _of_key(rows, [r[0] for r in rows], key):
+                    with _open(x[2]) as f:
+                        out.append(parse(f.read_at(x[4], x[3])))
         return out
 
 
+def _of_key(rows: list[tuple], keys: list[str], key: str) -> list[tuple]:
+    return rows[bisect_left(keys, key) : bisect_right(keys, key)]
+
+
 def lookup(urls: DataFrame, directory: DataFrame) -> DataFrame:
-    """Capture lines of many urls (a column url): their keys joined with the lines of the index."""
-    key = F.udf(key_of, "string")
-    return captures(directory).join(urls.select(key("url").alias("key")).distinct(), "key", "left_semi")
+    """Capture lines of many urls (a column url), each once, by the directory."""
+    spark = urls.sparkSession
+    rows = _ranges(directory)
+    last, first, files = ([r[i] for r in rows] for i in range(3))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = [(files[i], k) for k in sorted({key_of(u) for u in b.column(0).to_pylist()}) for i in _holding(last, first, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in asked], pa.string()), pa.array([k for _, k in asked], pa.string())], names=["file", "key"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each index file its blocks, then the keys asked of it in order: the keys that each block is asked for."""
+        now, blocks, at, held = None, [], 0, []
+
+        def put():
+            f, i, keys = now, at, held
+            cols = [[f], [blocks[i][2]], [blocks[i][3]], [keys]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["file", "offset", "length", "keys"])
+
+        for b in batches:
+            for file, key, *block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file != now:
+                    if held:
+                        yield put()
+                    now, blocks, firsts, lasts, at, held = file, [], [], [], 0, []
+                if key is None:
+                    blocks.append(block)
+                    firsts.append(block[0])
+                    lasts.append(block[1])
+                    continue
+                for i in _holding(lasts, firsts, key):
+                    if held and (i != at or len(held) == BLOCK):
+                        yield put()
+                        held = []
+                    at, held = i, [*held, key]
+        if held:
+            yield put()
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        for b in batches:
+            for file, offset, length, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with _open(file) as f:
+                    rows = _lines(f.read_at(length, offset))
+                every = [r[0] for r in rows]
+                some = [x for k in keys for x in _of_key(rows, every, k)]
+                cols = list(zip(*some, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "page_id", "file", "offset", "length"])
+
+    small_batches(spark)
+    n = partitions(directory, 1)
+    asked = urls.select("url").mapInArrow(deal, "file string, key string").distinct()
+    blocks = directory.select("file", F.lit(None).cast("string").alias("key"), "first", "last", "offset", "length")
+    both = blocks.unionByName(asked, allowMissingColumns=True).repartition(n, "file").sortWithinPartitions("file", F.col("key").asc_nulls_first(), "offset")
+    wanted = both.mapInArrow(choose, "file string, offset long, length long, keys array<string>")
+    return wanted.repartition(n, "file", "offset").mapInArrow(take, LINES)
 
 
 def archive(spark: SparkSession, pages: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -442,9 +442,24 @@ def test_warc_round_trip(spark):
     assert sorted(f["page_id"] for f in found) == [1, 4]
     asked = spark.createDataFrame([("http://c.net",), ("http://none.example",)], "url string")
     assert [r["page_id"] for r in warc.lookup(asked, directory).collect()] == [5]
+    everything = sorted(map(str, warc.captures(directory).collect()))
+    assert sorted(map(str, warc.lookup(df.select("url"), directory).collect())) == everything and len(everything) == len(pages)
     assert warc.key_of("https://User@WWW.b.org:8080/p") == "org,b,www:8080)/p"
     _, empty = warc.archive(spark, df.limit(0))
-    assert warc.read(warc.captures(empty)).count() == 0
+    assert warc.read(warc.captures(empty)).count() == 0 == warc.lookup(df.select("url"), empty).count()
+
+
+def test_warc_hot_key_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 7)
+    rows = [(i, f"http://h{i % 3}.org/" if i % 5 else "http://hot.org/", f"p{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    lines = warc.write(df, warc.fresh_path(spark, "hot"))
+    directory = warc.index(lines, warc.fresh_path(spark, "hot"), 7)
+    assert directory.count() > 40
+    asked = spark.createDataFrame([("http://hot.org/",), ("http://h1.org/",), ("http://hot.org",), ("http://zzz.org",)], "url string")
+    want = sorted(i for i, u, _ in rows if u in ("http://hot.org/", "http://h1.org/"))
+    assert sorted(r["page_id"] for r in warc.lookup(asked, directory).collect()) == want
+    assert sorted(r["page_id"] for r in warc.Directory(directory).find("http://hot.org/")) == [i for i in range(300) if i % 5 == 0]
 
 
 def labelled(spark, small):
