@@ -8,7 +8,8 @@ are numbered within their length (salted, so a length that a third of all docume
 sequence and offset in the plan by binary search.
 
 Defined results: null text is empty; an empty text is one piece with the end id alone; repeated rows are separate
-documents; an empty table packs into nothing.
+documents; ties of length go by the other columns; an empty table packs into nothing; other columns of items are carried
+along, whatever their names. Very long texts are tokenized whole, a slice of their own each.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import map_slices, written
+from .shared import carried, map_slices, unpacked, written
 from .tokens import vocabulary
 
 LIMIT = 4096
@@ -250,20 +251,23 @@ class Places:
 
 
 def pack(items: DataFrame, limit: int = LIMIT, groups: int = GROUPS, salts: int | None = None) -> DataFrame:
-    """items with an integer column length in 1..limit -> the same with sequence_id and offset, gapless from 0."""
+    """items with an integer column length in 1..limit -> the same with sequence_id and offset, gapless from 0 (columns
+    with these two names give way)."""
     spark = items.sparkSession
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = items.columns
-    items = items.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in names if "array" not in dict(items.dtypes)[c]]), F.lit(salts)).cast("int"))
-    cells = items.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    cells = written(cells, "lengths")  # at most limit x salts rows
-    counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `limit` rows
+    names, kinds = items.columns, dict(items.dtypes)
+    plain = [i for i, c in enumerate(names) if "array" not in kinds[c] and "map" not in kinds[c]]
+    row = F.col("row")
+    items = items.select("length", carried(items).alias("row"))
+    items = items.withColumn("salt", F.pmod(F.xxhash64(*[row[f"c{i}"] for i in plain]), F.lit(salts)).cast("int"))
+    cells = written(items.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")  # at most limit x salts rows
+    counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `limit` rows
     places = Places(plan(counts, limit, groups))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    order = [F.col(c) for c in names if c != "length" and "array" not in dict(items.dtypes)[c]]
-    ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
-    ranked = ranked.join(cells, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    order = [row[f"c{i}"] for i in plain if names[i] != "length"] or [F.lit(0)]
+    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
+    ranked = ranked.join(cells, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length, rank):
@@ -276,7 +280,8 @@ def pack(items: DataFrame, limit: int = LIMIT, groups: int = GROUPS, salts: int
             seq[at], off[at] = places.find(int(x), rk[at])
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
-    return ranked.withColumn("_p", place("length", "_rank")).select(*names, "_p.sequence_id", "_p.offset")
+    kept = [c for c, name in zip(unpacked(names), names, strict=True) if name.lower() not in ("sequence_id", "offset")]
+    return ranked.withColumn("place", place("length", "rank")).select(*kept, "place.sequence_id", "place.offset")
 
 
 def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,6 +65,18 @@ def test_quality_rules_counts(spark, texts):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_clashing_names_dont_matter(spark, texts):
+    d = docs_of(spark, texts[:30]).selectExpr("doc_id", "text", "doc_id n_words", "'x' _w", "doc_id row", "doc_id t", "doc_id `a.b`")
+    plain = {r["doc_id"]: r for r in rules.judge(docs_of(spark, texts[:30])).collect()}
+    for r in rules.judge(d).collect():
+        assert r["row"] == r["t"] == r["a.b"] == r["doc_id"] and r["_w"] == "x"
+        assert all(r[c] == plain[r["doc_id"]][c] for c in ("n_words", "n_repeat_words", "kept", "failed_rules"))
+    items = spark.createDataFrame([(5 + k % 3, k, -k, k, k) for k in range(40)], "length long, _salt long, row long, salt long, offset long")
+    got = packing.pack(items, 32).collect()
+    assert sorted(r["_salt"] for r in got) == list(range(40)) and all(r["row"] == -r["_salt"] and r["salt"] == r["_salt"] for r in got)
+    assert rules.judge(d.limit(0)).count() == packing.pack(items.limit(0), 32).count() == 0
+
+
 def test_quality_rules_are_native(spark, texts):
     plan = rules.judge(docs_of(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
