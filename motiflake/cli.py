@@ -8,12 +8,15 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import calling, inherit, stats
+from .operators import calling, from_reads, inherit, stats
 from .operators import catalog as catalogs
 from .operators import intervals as I
 from .params import CallParams, MiParams
 from .sinks import report
+from .sinks import vcf as vcf_sink
 from .sources import bed, callers, ploidy, trf
+from .sources import reads as reads_source
+from .sources import vcf as vcf_source
 
 _SPANS = (("contig", "contig2"), ("start", "end"), ("start2", "end2"))
 
@@ -72,6 +75,22 @@ def call(spark: SparkSession, params: CallParams, reads: DataFrame, catalog: str
     return loci.drop("n_alleles").join(found, "locus_index", "left")
 
 
+def call_reads(spark: SparkSession, params: CallParams, path: str, reference: str, catalog: str, snvs: str | None = None, methyl: bool = False) -> DataFrame:
+    """Calls from SAM text, a FASTA reference and a catalog, with known SNVs (a VCF) if given."""
+    loci = bed.load_loci(spark, catalog, ploidy.load(params.ploidy))
+    chunks = reads_source.fasta_chunks(bed.read_lines(spark, reference))
+    known = None
+    if snvs:
+        known = vcf_source.single_base(vcf_source.read(spark, snvs)).select("contig", "pos", F.concat_ws("_", "contig", F.col("pos").cast("string")).alias("id"), "ref")
+    return from_reads.call(loci, reads_source.read_sam(spark, path), chunks, params, known, methyl=methyl)
+
+
+def main_call_reads_vcf(spark: SparkSession, called: DataFrame, params: CallParams, sample: str, out: str, contigs: list[tuple[str, int]], methyl: bool = False) -> None:
+    """The VCF of called loci below a folder."""
+    meta = {"motiflakeCommand": "call", "motiflakeSeed": str(params.seed)}
+    vcf_sink.write(vcf_sink.lines(called, params.vcf_anchor_size, methyl), out, vcf_sink.header(contigs, sample, meta, methyl))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="motiflake")
     sub = p.add_subparsers(dest="command", required=True)
@@ -94,9 +113,13 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--sort", action="store_true")
     k = sub.add_parser("combine-catalogs", help="the union of catalogs")
     k.add_argument("paths", nargs="+")
-    g = sub.add_parser("call", help="genotypes from counted reads (parquet)")
+    g = sub.add_parser("call", help="genotypes from aligned reads (SAM text with --ref) or from counted reads (Parquet)")
     g.add_argument("reads")
     g.add_argument("--loci", required=True)
+    g.add_argument("--ref", help="FASTA; reads are SAM text then")
+    g.add_argument("--snvs", help="VCF of known SNVs")
+    g.add_argument("--methyl", action="store_true")
+    g.add_argument("--sample-id")
     g.add_argument("--ploidy", default="diploid_autosomes")
     g.add_argument("--seed", type=int, default=0)
     g.add_argument("--targeted", action="store_true")
@@ -123,10 +146,15 @@ def main(args: list[str] | None = None) -> int:
             for r in combine(spark, a.paths).toLocalIterator():
                 print(r["contig"], r["start"], r["end"], r["motif"], sep="\t")
         elif a.command == "call":
-            params = CallParams(ploidy=a.ploidy, seed=a.seed, targeted=a.targeted)
-            found = call(spark, params, spark.read.parquet(a.reads), a.loci)
-            contigs = [r["contig"] for r in found.select("contig").distinct().limit(100_000).collect()]
-            report.write(found, a.out, params.to_dict(), params.sample_id, contigs)
+            params = CallParams(sample_id=a.sample_id, ploidy=a.ploidy, seed=a.seed, targeted=a.targeted)
+            if a.ref:
+                sample = params.sample_id or reads_source.sample_of(spark.read.text(a.reads)) or "sample"
+                found = call_reads(spark, params, a.reads, a.ref, a.loci, a.snvs, a.methyl)
+                sizes = reads_source.contig_lengths(reads_source.fasta_chunks(bed.read_lines(spark, a.ref)))
+                main_call_reads_vcf(spark, found, params, sample, f"{a.out}/vcf", [tuple(r) for r in sizes.select("contig", "length").collect()], a.methyl)
+            else:
+                sample, found = params.sample_id, call(spark, params, spark.read.parquet(a.reads), a.loci)
+            report.write(found, a.out, params.to_dict(), sample)
         else:
             for r in report.search(spark.read.json(a.results), a.text).toLocalIterator():
                 print(r["locus_index"], r["contig"], r["start"], r["end"], sep="\t")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranges import numbered
 
 TAB = "\t"
 
@@ -107,8 +108,6 @@ def convert(rows: DataFrame, source: str, target: str) -> DataFrame:
     if (kind, target) not in CONVERTERS:
         raise ValueError(f"can't convert {source} to {target}")
     if target in ("trgt", "expansionhunter") and "place" not in rows.columns:
-        from ..sources.bed import numbered
-
         rows = numbered(rows.withColumnRenamed("line", "_line"), ["_line"]).select(F.col("_line").alias("line"), "cols", (F.col("line") - 1).alias("place"))
     return CONVERTERS[kind, target](rows)
 

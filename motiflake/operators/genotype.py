@@ -172,6 +172,15 @@ def flank_ok(start: Column, end: Column, left: Column, right: Column, one_suffic
     return (a | b) if one_suffices else (a & b)
 
 
+def read_weight(lengths: Column, size: Column, own: Column | None = None) -> Column:
+    """How much a read counts whose repeat with flanks has `size` bases, from the lengths of the reads at its locus: long
+    repeats are seen whole by fewer reads. The reads that could hold it have the mean length m (with targeted sequencing
+    the read's own length): (m + size - 2) / (m - size + 1); null if none could."""
+    able = F.filter(lengths, lambda x: x >= size)
+    m = own if own is not None else F.aggregate(able, F.lit(0.0), lambda a, x: a + x) / F.size(able)
+    return F.when(F.size(able) > 0, (m + size - 2) / (m - size + 1))
+
+
 def mean_quality(quals: Column) -> Column:
     return F.aggregate(quals, F.lit(0.0), lambda a, q: a + q) / F.size(quals)
 

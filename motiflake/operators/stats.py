@@ -11,26 +11,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import PARENT_CONFIGS
+from .ranges import bucket_of
+from .ranges import buckets as bucket_count
 
 METHODS = ("none", "bonferroni", "sidak", "holm-sidak", "holm", "simes-hochberg", "fdr_bh", "fdr_by", "fdr_tsbh", "fdr_tsbky")
-BUCKETS = 256
 
 
-def ranked(df: DataFrame, p: str = "p", buckets: int = BUCKETS) -> tuple[DataFrame, int]:
+def ranked(df: DataFrame, p: str = "p", buckets: int | None = None) -> tuple[DataFrame, int]:
     """Each different p with its count n, the rows before it, and a bucket of near values; and the number of rows.
 
     Equal p-values have equal adjusted values, so they are one row here, and running extremes work by bucket: only one
     row for each bucket is ever ordered in one task.
     """
     each = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"))
-    cuts = each.agg(F.percentile_approx("p", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    each = each.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col("p"))))
-    total = each.groupBy("bucket").agg(F.sum("n").alias("size"))
-    total = total.withColumn("earlier", F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows, m = each.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    k = buckets or bucket_count(rows)
+    cuts = (each.agg(F.percentile_approx("p", [i / k for i in range(1, k)], 10 * k)).first()[0] if k > 1 else None) or []
+    cuts = sorted(set(map(float, cuts)))
+    each = each.withColumn("bucket", bucket_of(F.col("p"), F.array(*map(F.lit, cuts)), len(cuts)) if cuts else F.lit(0))
+    sizes = {r["bucket"]: r["n"] for r in each.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # a row for each bucket
+    earlier, total = [], 0
+    for i in range(len(cuts) + 1):
+        earlier.append(total)
+        total += sizes.get(i, 0)
     inside = Window.partitionBy("bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(total, "bucket")
-    return each.select("p", "n", "bucket", (F.col("earlier") + F.col("_in")).alias("before")), each.agg(F.sum("n")).first()[0] or 0
+    offset = F.element_at(F.array(*map(F.lit, earlier)).cast("array<bigint>"), F.col("bucket") + 1)
+    return each.select("p", "n", "bucket", (offset + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before")), m
+
+
+def harmonic(m: int) -> float:
+    """1 + 1/2 + ... + 1/m: the first terms, and the asymptotic series for the rest, exact to double precision."""
+    few = min(m, 1000)
+    head = math.fsum(1 / i for i in range(1, few + 1))
+    tail = lambda n: math.log(n) + 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4)
+    return head + (tail(m) - tail(few) if m > few else 0.0)
 
 
 def running(df: DataFrame, value: str, down: bool) -> DataFrame:
@@ -60,7 +74,7 @@ def adjust(df: DataFrame, method: str, p: str = "p", alpha: float = 0.05) -> Dat
     elif method == "simes-hochberg":
         r = running(r.withColumn("_v0", x * (F.lit(m) - last + 1)), "_v0", False)
     else:
-        factor = sum(1 / i for i in range(1, m + 1)) if method == "fdr_by" and m <= 1_000_000 else (math.log(max(m, 1)) + 0.5772156649015329 + 0.5 / max(m, 1)) if method == "fdr_by" else 1.0
+        factor = harmonic(m) if method == "fdr_by" else 1.0
         r = running(r.withColumn("_v0", x * (factor * m) / last), "_v0", False)
         if method in ("fdr_tsbh", "fdr_tsbky"):
             bky = method == "fdr_tsbky"

@@ -26,8 +26,8 @@ select o_orderkey as fid, concat('chr',cast(o_custkey%22+1 as {s})) as contig,
     cast((o_orderkey*7)%37000 as bigint) as start_pos, cast((o_orderkey*7)%37000+20+o_custkey%300 as bigint) as end_pos
 from orders"""
 SEQUENCES = """
-select doc_id, translate(lower(substr(text,1,60)),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC') as seq
-from documents where n_chars>=60"""
+select doc_id, translate(lower(coalesce(text,'')),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC') as seq
+from documents"""
 PVALUES = "select event_id as id, power(value/500.0,3) as p from events"
 BASES = {"loci": ("part", LOCI), "reads": ("lineitem", READS), "features": ("orders", FEATURES), "sequences": ("documents", SEQUENCES), "pvalues": ("events", PVALUES)}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import catalog as K
 from ..operators import inherit as H
+from ..operators.ranges import numbered
 from ..sinks import report as R
 from ..sinks import vcf as V
 from ..sources import bed, callers, gff, reads, trf
@@ -54,7 +55,7 @@ def interval_bed_all(spark, sf):
 
 
 def dat_lines(spark, sf):
-    loci = fixture(spark, sf, "loci").where("locus_index <= 2000")
+    loci = fixture(spark, sf, "loci")
     n = "cast(substr(contig,4) as bigint)"
     head = loci.groupBy("contig").agg(F.max("start_pos").alias("m")).selectExpr(f"{n}*100000000L line", "concat('Sequence: ',contig) value")
     noise = head.selectExpr("line+1 line", "'Parameters: 2 7 7 80 10 50 500' value")
@@ -62,12 +63,12 @@ def dat_lines(spark, sf):
     return head.unionByName(noise).unionByName(row)
 
 
-@query("s06_w03_trf_dat", sql("select contig, start_pos, end_pos, motif from loci where locus_index<=2000", "loci"))
+@query("s06_w03_trf_dat", sql("select contig, start_pos, end_pos, motif from loci", "loci"))
 def trf_dat(spark, sf):
     return trf.parse(dat_lines(spark, sf)).selectExpr("cols[0] contig", "cast(cols[1] as bigint) start_pos", "cast(cols[2] as bigint) end_pos", "cols[size(cols)-1] motif")
 
 
-@query("s07_trf_dat_sorted", sql("select row_number() over (order by cast(substr(contig,4) as int), start_pos, end_pos, locus_index%100 desc) place, contig, start_pos from loci where locus_index<=2000", "loci"))
+@query("s07_trf_dat_sorted", sql("select row_number() over (order by cast(substr(contig,4) as int), start_pos, end_pos, locus_index%100 desc) place, contig, start_pos from loci", "loci"))
 def trf_dat_sorted(spark, sf):
     return trf.parse(dat_lines(spark, sf), ordered=True).selectExpr("line place", "cols[0] contig", "cast(cols[1] as bigint) start_pos")
 
@@ -139,12 +140,10 @@ def trgt_to_own(spark, sf):
 
 @query("u01_o08_combine_catalogs", sql("select contig, start_pos, end_pos, motif, row_number() over (order by cast(substr(contig,4) as int), start_pos, end_pos, motif) rk from (select contig, start_pos, end_pos, motif from loci where locus_index%2=0 union select contig, start_pos, end_pos, motif from loci where locus_index%3<>0)", "loci"))
 def combine_catalogs(spark, sf):
-    from pyspark.sql.window import Window
-
     plain = _rows6(spark, sf)
     both = K.combine([plain.where("line % 2 = 0"), plain.where("line % 3 <> 0")])
-    w = Window.orderBy(S.chromosome_order(F.col("contig")), "start", "end", "motif")
-    return both.select("contig", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "motif", F.row_number().over(w).cast("long").alias("rk"))
+    placed = numbered(both.withColumn("c", S.chromosome_order(F.col("contig"))), ["c", "start", "end", "motif"])
+    return placed.select("contig", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "motif", F.col("line").alias("rk"))
 
 
 # --- call sets: each sample of the trio written as a caller's text, read back, joined ---
@@ -264,9 +263,9 @@ def trgt_trio(spark, sf):
     return a.groupBy("contig").agg(F.count("*").alias("n"), F.sum(F.col("strict").cast("int")).alias("n_strict"), F.sum(F.col("seq").cast("int")).alias("n_seq"))
 
 
-@query("s13_generic_vcf", sql("select contig, count(*) n, cast(sum(a0) as double) s0, cast(sum(a1) as double) s1 from gt join loci using (locus_index) where smp=0 and locus_index%22=locus_index%44 and length(motif)=3 group by contig", "gt", "loci"))
+@query("s13_generic_vcf", sql("select contig, count(*) n, cast(sum(a0) as double) s0, cast(sum(a1) as double) s1 from gt join loci using (locus_index) where smp=0 group by contig", "gt", "loci"))
 def generic_vcf(spark, sf):
-    g = _calls(spark, sf, 0).where("locus_index%22=locus_index%44 and length(motif)=3")
+    g = _calls(spark, sf, 0)
     r = _vcf(g, F.expr("repeat(motif,cast(a0 as int))"), F.expr("repeat(motif,cast(a1 as int))"), F.concat(_N("START="), F.col("start_pos") + 1, _N(";END="), F.col("start_pos") + 2), "GT", _N("0/1"))
     catalog = g.select("contig", F.col("start_pos").alias("start"), (F.col("start_pos") + 3).alias("end"), "motif")
     return vcf_source.generic(r, catalog).groupBy("contig").agg(F.count("*").alias("n"), F.sum(F.get("gt", F.lit(0))).alias("s0"), F.sum(F.get("gt", F.lit(1))).alias("s1"))
@@ -313,11 +312,11 @@ def chimeric_reads(spark, sf):
     return reads.chimeric(_sam(spark, sf)).select("read_name", "chimeric")
 
 
-@query("s20_j10_reference_slices", sql("select doc_id, substr(replace(upper(text), chr(10), ''), cast(doc_id%100+1 as int), 150) ref_seq from (select doc_id, regexp_replace(text, '[^A-Za-z]', 'n', 'g') text from documents where n_chars>=300 and doc_id<100)"))
+@query("s20_j10_reference_slices", sql("select doc_id, substr(replace(upper(text), chr(10), ''), cast(doc_id%100+1 as int), 150) ref_seq from (select doc_id, regexp_replace(text, '[^A-Za-z]', 'n', 'g') text from documents) where length(text)>doc_id%100"))
 def reference_slices(spark, sf):
     from .fixtures import table
 
-    d = table(spark, sf, "documents").where("n_chars >= 300 and doc_id < 100").selectExpr("doc_id", "regexp_replace(text,'[^A-Za-z]','n') t")
+    d = table(spark, sf, "documents").selectExpr("doc_id", "regexp_replace(text,'[^A-Za-z]','n') t").where("length(t) > doc_id%100")
     body = d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 60)), lambda i: F.col("t").substr((i * 60 + 1).cast("int"), F.lit(60)))).alias("i", "value"))
     lines = body.selectExpr("doc_id*1000000L+i+1 line", "value").unionByName(d.selectExpr("doc_id*1000000L line", "concat('>',doc_id,' x') value"))
     chunks = reads.fasta_chunks(lines, 128)
@@ -325,11 +324,11 @@ def reference_slices(spark, sf):
     return reads.slices(spans, chunks, "doc_id", "s", "e", 128)
 
 
-@query("s20_contig_lengths", sql("select cast(doc_id as varchar) contig, cast(length(t) as bigint) length from (select doc_id, text t from documents where n_chars>=300 and doc_id<50)"))
+@query("s20_contig_lengths", sql("select cast(doc_id as varchar) contig, cast(length(t) as bigint) length from (select doc_id, text t from documents where length(text)>0)"))
 def contig_lengths(spark, sf):
     from .fixtures import table
 
-    d = table(spark, sf, "documents").where("n_chars >= 300 and doc_id < 50").selectExpr("doc_id", "regexp_replace(text,'[^A-Za-z]','n') t")
+    d = table(spark, sf, "documents").where("length(text) > 0").selectExpr("doc_id", "regexp_replace(text,'[^A-Za-z]','n') t")
     lines = d.selectExpr("doc_id*10L+1 line", "t value").unionByName(d.selectExpr("doc_id*10L line", "concat('>',doc_id) value"))
     return reads.contig_lengths(reads.fasta_chunks(lines, 500))
 

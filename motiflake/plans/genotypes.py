@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import genotype as G
+from ..operators.ranges import numbered
 from .fixtures import fixture, sql
 from .registry import query
 
@@ -46,7 +46,7 @@ def most_common(spark, sf):
     return G.most_common(reads(spark, sf), ["locus_index"], "cn", 2).select("locus_index", "cn", "n", F.col("rank").cast("long").alias("rk"))
 
 
-@query("a09_kmers", sql("select kmer, count(*) n from (select substr(seq,i,3) kmer from sequences, (select unnest(range(1,59)) i)) where regexp_full_match(kmer,'[ACGT]{3}') group by 1", "sequences"))
+@query("a09_kmers", sql("select kmer, count(*) n from (select substr(seq,i,3) kmer from (select seq, unnest(range(1,length(seq)-1)) i from sequences)) where regexp_full_match(kmer,'[ACGT]{3}') group by 1", "sequences"))
 def kmers(spark, sf):
     return G.kmers(fixture(spark, sf, "sequences").withColumn("all", F.lit(1)), "seq", 3, ["all"]).select("kmer", "n")
 
@@ -92,9 +92,9 @@ def predicted_peak(spark, sf):
     return g.select("locus_index", "cn", G.predicted_peak(F.col("cn"), F.col("m"), F.col("w"), F.col("s")).alias("peak"))
 
 
-@query("m07_j12_read_distances", sql(f"with {SNVS_SQL}, few as (select * from snvs where locus_index%10=0), z as (select a.locus_index, a.read_name a, b.read_name b, a.cn cn_a, b.cn cn_b, count(*) filter (where (a.base='_' or (a.base<>'-' and a.qual>=20)) and (b.base='_' or (b.base<>'-' and b.qual>=20))) n, count(*) filter (where (a.base='_' or (a.base<>'-' and a.qual>=20)) and (b.base='_' or (b.base<>'-' and b.qual>=20)) and a.base<>b.base) d from few a join few b on a.locus_index=b.locus_index and a.snv=b.snv and a.read_name<b.read_name group by 1,2,3,4,5) select locus_index, a, b, round(d+abs(cn_a-cn_b)*case when n>=3 then 0.1e0 else 0.2e0 end,6) distance from z", "reads"))
+@query("m07_j12_read_distances", sql(f"with {SNVS_SQL}, z as (select a.locus_index, a.read_name a, b.read_name b, a.cn cn_a, b.cn cn_b, count(*) filter (where (a.base='_' or (a.base<>'-' and a.qual>=20)) and (b.base='_' or (b.base<>'-' and b.qual>=20))) n, count(*) filter (where (a.base='_' or (a.base<>'-' and a.qual>=20)) and (b.base='_' or (b.base<>'-' and b.qual>=20)) and a.base<>b.base) d from snvs a join snvs b on a.locus_index=b.locus_index and a.snv=b.snv and a.read_name<b.read_name group by 1,2,3,4,5) select locus_index, a, b, round(d+abs(cn_a-cn_b)*case when n>=3 then 0.1e0 else 0.2e0 end,6) distance from z", "reads"))
 def read_distances(spark, sf):
-    s = snvs(spark, sf).where("locus_index % 10 = 0").groupBy("locus_index", "read_name", "cn").agg(F.array_sort(F.collect_list(F.struct("snv", "base", "qual"))).alias("s"))
+    s = snvs(spark, sf).groupBy("locus_index", "read_name", "cn").agg(F.array_sort(F.collect_list(F.struct("snv", "base", "qual"))).alias("s"))
     s = s.withColumn("snvs", F.transform("s", lambda x: F.struct(x["base"].alias("base"), x["qual"].alias("qual"))))
     return G.read_distances(s).withColumn("distance", F.round("distance", 6))
 
@@ -153,10 +153,9 @@ def allele_order(spark, sf):
     return per.groupBy("locus_index").agg(put("m", "lo", "p").alias("by_mean"), put("hi", "p").alias("by_len"))
 
 
-@query("o03_locus_merge_order", sql("select locus_index, row_number() over (order by locus_index) rk from loci where locus_index%7=0", "loci"))
+@query("o03_locus_merge_order", sql("select locus_index, row_number() over (order by locus_index) rk from loci", "loci"))
 def locus_merge_order(spark, sf):
-    few = fixture(spark, sf, "loci").where("locus_index % 7 = 0").orderBy("locus_index")
-    return few.select("locus_index", F.row_number().over(Window.orderBy("locus_index")).cast("long").alias("rk"))
+    return numbered(fixture(spark, sf, "loci").select("locus_index"), ["locus_index"]).select("locus_index", F.col("line").alias("rk"))
 
 
 @query("p08_flank_sufficiency", sql("select l.locus_index, count(*) filter (where f.start_pos<=l.start_pos-10 and f.end_pos>=l.end_pos+10) both_, count(*) filter (where f.start_pos<=l.start_pos-10 or f.end_pos>=l.end_pos+10) either from loci l join features f on l.contig=f.contig and l.start_pos<f.end_pos and f.start_pos<l.end_pos group by 1", "loci", "features"))

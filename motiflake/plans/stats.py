@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import stats as T
+from ..operators.ranges import numbered
 from .fixtures import fixture, sql
 from .registry import query
 
@@ -39,10 +39,10 @@ def significant_loci(spark, sf):
     return T.significant(T.adjust(fixture(spark, sf, "pvalues"), "fdr_bh")).agg(F.count("*").alias("n"))
 
 
-@query("o02_sorted_by_p", "select id, row_number() over (order by p_adj, id) rk from (" + sql(_R + ADJUSTED["fdr_bh"], "pvalues") + ") where id%50=0")
+@query("o02_sorted_by_p", "select id, row_number() over (order by round(cast(p_adj as double), 12), id) rk from (" + sql(_R + ADJUSTED["fdr_bh"], "pvalues") + ")")
 def sorted_by_p(spark, sf):
-    few = T.adjust(fixture(spark, sf, "pvalues"), "fdr_bh").where("id % 50 = 0")
-    return few.select("id", F.row_number().over(Window.orderBy(F.round("p_adj", 12), "id")).cast("long").alias("rk"))
+    x = T.adjust(fixture(spark, sf, "pvalues"), "fdr_bh").select("id", F.round("p_adj", 12).alias("p"))
+    return numbered(x, ["p", "id"]).select("id", F.col("line").alias("rk"))
 
 
 _SIDES = "with s as (select locus_index, cast(smp=0 as int) child, cn from reads), "

@@ -15,11 +15,13 @@ def result_lines(called: DataFrame) -> DataFrame:
     return called.select("locus_index", F.to_json(F.struct(*called.columns)).alias("json"))
 
 
-def write(called: DataFrame, path: str, params: dict, sample: str | None, contigs: list[str]) -> None:
-    """results as JSON lines in order of locus, and metadata.json."""
+def write(called: DataFrame, path: str, params: dict, sample: str | None) -> None:
+    """results as JSON lines in order of locus, contigs as a table, and metadata as one JSON object."""
     called.repartitionByRange("locus_index").sortWithinPartitions("locus_index").write.json(f"{path}/results")
-    meta = json.dumps({"sample_id": sample, "parameters": params, "contigs": contigs})
-    called.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{path}/metadata")
+    spark = called.sparkSession
+    spark.read.schema("contig string").json(f"{path}/results").distinct().write.json(f"{path}/contigs")
+    meta = json.dumps({"sample_id": sample, "parameters": params})
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{path}/metadata")
 
 
 def read_depth(reads: DataFrame) -> DataFrame:

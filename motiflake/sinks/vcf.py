@@ -9,18 +9,33 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..operators.genotype import histogram_text
 
-# The fields that records have, as declared in the header.
+# Ids, numbers and types of the fields that records have, as declared in the header.
 INFO = (
-    ("VT", "1", "String", "Variant record type"), ("MOTIF", "1", "String", "Motif string"), ("REFMC", "1", "Integer", "Motif copy number in the reference genome"),
-    ("BED_START", "1", "Integer", "Original start position of the locus"), ("BED_END", "1", "Integer", "Original end position of the locus"), ("ANCH", "1", "Integer", "Anchor size"), ("ANNOT", ".", "String", "Overlapping features"),
-)
+    ("VT", "1", "String", "Kind of record: str or snv"),
+    ("MOTIF", "1", "String", "Repeated unit"),
+    ("REFMC", "1", "Integer", "Copies of the motif that the reference has"),
+    ("BED_START", "1", "Integer", "Where the catalog says the locus starts, from 0"),
+    ("BED_END", "1", "Integer", "Where the catalog says the locus ends, not included"),
+    ("ANCH", "1", "Integer", "Bases before the repeat that the alleles begin with"),
+    ("ANNOT", "1", "String", "Features that overlap the locus"),
+)
 FORMAT = (
-    ("AD", "R", "Integer", "Read depth for each allele"), ("ANCL", "R", "Integer", "Anchor length for each allele"), ("CONS", "A", "String", "Consensus methods used for each alt"), ("DP", "1", "Integer", "Read depth"),
-    ("DPS", "1", "Integer", "Read depth of supporting reads"), ("GT", "1", "String", "Genotype"), ("MC", ".", "Integer", "Motif copy number for each allele"), ("MCCI", ".", "String", "Motif copy number 95% confidence intervals"),
-    ("MCRL", ".", "String", "Read-level motif copy numbers for each allele"), ("MMAS", "1", "Float", "Mean model alignment score"), ("NSNV", "1", "Integer", "Number of supporting SNVs"), ("PM", "1", "String", "Peak-calling method"),
-    ("PS", "1", "Integer", "Phase set"), ("SLR", ".", "String", "Read-level sequence lengths for each allele"),
-)
-METHYLATION = (("AM", ".", "Float", "Average methylation for each allele"), ("AMC", ".", "Integer", "Reads with methylation for each allele"))
+    ("AD", ".", "Integer", "Reads of each allele"),
+    ("ANCL", ".", "Integer", "Bases before the repeat in REF and in each ALT"),
+    ("CONS", ".", "String", "How the sequence of each ALT was made: single, poa or best_rep"),
+    ("DP", "1", "Integer", "Reads at the locus"),
+    ("DPS", "1", "Integer", "Reads that belong to an allele"),
+    ("GT", "1", "String", "Genotype"),
+    ("MC", ".", "Integer", "Copies of the motif in each allele"),
+    ("MCCI", ".", "String", "Interval of 95 percent for each allele's copies"),
+    ("MCRL", ".", "String", "Histogram of the copies of each allele's reads"),
+    ("MMAS", "1", "Float", "Mean over reads of the score of motif copies aligned to the read"),
+    ("NSNV", "1", "Integer", "SNVs that told the alleles apart"),
+    ("PS", "1", "Integer", "Phase set"),
+    ("PM", "1", "String", "What the alleles were told apart by: dist, snv+dist, snv or hp"),
+    ("SLR", ".", "String", "Histogram of the repeat lengths of each allele's reads"),
+)
+METHYLATION = (("AM", ".", "Float", "Mean 5-methyl share of each allele's CpG sites"), ("AMC", ".", "Float", "Mean number of such sites for each allele"))
 
 
 def header(contigs: list[tuple[str, int]], sample: str, meta: dict[str, str] | None = None, methylation: bool = False) -> list[str]:
@@ -30,34 +45,59 @@ def header(contigs: list[tuple[str, int]], sample: str, meta: dict[str, str] | N
     return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])]
 
 
-def alleles(ref_anchor: Column, ref_seq: Column, anchors: Column, seqs: Column, n_alleles: Column, anchor_size: int) -> Column:
-    """struct<offset, ref, alts, gt>: anchors without their common prefix (a base stays), distinct sorted alternatives
-    with "*" for a deletion of everything, and the genotype's indices. One sequence stands for all alleles."""
+def alleles(ref_anchor: Column, ref_seq: Column, anchors: Column, seqs: Column, n_alleles: Column, anchor_size: int, cons: Column | None = None) -> Column:
+    """struct<offset, ref, alts, gt, ancl, cons>: anchors without their common prefix (a base stays), distinct sorted
+    alternatives with "*" for a deletion of everything, the genotype's indices, and the alternatives' anchor lengths
+    (the reference's first) and methods. One sequence stands for all alleles."""
     up = lambda a: F.transform(a, F.upper)
     offset = F.least(F.length(S.common_prefix(F.concat(F.array(F.upper(ref_anchor)), up(anchors)))), F.lit(anchor_size - 1))
-    pairs = F.transform(F.arrays_zip(up(anchors).alias("a"), up(seqs).alias("s")), lambda z: F.concat(F.substr(z["a"], offset + 1), z["s"]))
+    how = cons if cons is not None else F.transform(seqs, lambda s: F.lit("."))
+    pairs = F.transform(F.arrays_zip(up(anchors).alias("a"), up(seqs).alias("s"), how.alias("m")), lambda z: F.struct(F.concat(F.substr(z["a"], offset + 1), z["s"]).alias("x"), F.greatest(F.length(z["a"]) - offset, F.lit(0)).alias("n"), z["m"].alias("m")))
     full = F.when(F.size(pairs) < n_alleles, F.array_repeat(F.get(pairs, F.lit(0)), n_alleles)).otherwise(pairs)
     ref = F.concat(F.substr(F.upper(ref_anchor), offset + 1), F.upper(ref_seq))
-    alts = F.array_sort(F.array_distinct(F.filter(full, lambda x: x != ref)))
-    gt = F.transform(full, lambda x: F.when(x == ref, F.lit(0)).otherwise(F.array_position(alts, x).cast("int")))
+    alts = F.array_sort(F.array_distinct(F.transform(F.filter(full, lambda p: p["x"] != ref), lambda p: p["x"])))
+    gt = F.transform(full, lambda p: F.when(p["x"] == ref, F.lit(0)).otherwise(F.array_position(alts, p["x"]).cast("int")))
     shown = F.when(F.size(alts) == 0, F.array(F.lit("."))).otherwise(F.transform(alts, lambda x: F.when(x == "", F.lit("*")).otherwise(x)))
-    return F.struct(offset.alias("offset"), ref.alias("ref"), shown.alias("alts"), gt.alias("gt"))
+    first = lambda x, k: F.get(F.filter(full, lambda p: p["x"] == x), F.lit(0))[k]
+    ancl = F.concat(F.array(F.length(ref_anchor) - offset), F.transform(alts, lambda x: first(x, "n")))
+    return F.struct(offset.alias("offset"), ref.alias("ref"), shown.alias("alts"), gt.alias("gt"), ancl.alias("ancl"), F.transform(alts, lambda x: first(x, "m")).alias("cons"))
 
 
-def lines(called: DataFrame, anchor_size: int = 5) -> DataFrame:
+#: Columns that a called locus may lack.
+OPTIONAL = {
+    "cons": "array<string>", "lens": "array<array<int>>", "method": "string", "n_snvs": "int", "depth": "int", "mean_score": "double", "am": "array<double>", "amc": "array<double>", "annotations": "array<string>",
+    "start_adj": "bigint",
+}
+
+
+def lines(called: DataFrame, anchor_size: int = 5, methylation: bool = False) -> DataFrame:
     """contig, pos (1-based), line of called loci: contig, start, end, locus_id, motif, ref_cn, ref_anchor, ref_seq,
-    anchors, seqs, n_alleles, call, ci95, cns (array<array<int>>), ps."""
-    x = called.withColumn("_a", alleles(F.col("ref_anchor"), F.col("ref_seq"), F.col("anchors"), F.col("seqs"), F.col("n_alleles"), anchor_size))
-    pos = F.col("start") - F.length("ref_anchor") + F.col("_a.offset") + 1
-    text = lambda c: c.cast("string")
-    info = F.concat(F.lit("VT=str;MOTIF="), F.col("motif"), F.lit(";REFMC="), text(F.col("ref_cn")), F.lit(";BED_START="), text(F.col("start")), F.lit(";BED_END="), text(F.col("end")), F.lit(";ANCH="), text(anchor_size - F.col("_a.offset")))
+    anchors, seqs, n_alleles, call, ci95, cns (array<array<int>>), ps, and those of OPTIONAL. Loci without a call have
+    a record without alternatives."""
+    x = called.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in called.columns})
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    x = x.withColumns({"seqs": none("seqs", "array<string>"), "anchors": none("anchors", "array<string>"), "cns": none("cns", "array<array<int>>"), "lens": none("lens", "array<array<int>>")})
+    how = F.coalesce("cons", F.transform("seqs", lambda s: F.lit(".")))
+    x = x.withColumn("_a", alleles(F.col("ref_anchor"), F.col("ref_seq"), F.col("anchors"), F.col("seqs"), F.col("n_alleles"), anchor_size, how))
+    pos = F.coalesce("start_adj", "start") - F.length("ref_anchor") + F.col("_a.offset") + 1
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("."))
+    many = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_join(c, ",")).otherwise(".")
+    annot = F.when(F.size("annotations") > 0, F.concat(F.lit(";ANNOT="), F.array_join("annotations", ","))).otherwise("")
+    info = F.concat(F.lit("VT=str;MOTIF="), "motif", F.lit(";REFMC="), text(F.col("ref_cn")), F.lit(";BED_START="), text(F.col("start")), F.lit(";BED_END="), text(F.col("end")), F.lit(";ANCH="), text(anchor_size - F.col("_a.offset")), annot)
     sep = F.when(F.col("ps").isNull(), "/").otherwise("|")
+    called_here = F.col("call").isNotNull() & (F.size("seqs") > 0)
+    gt = F.when(called_here, F.transform("_a.gt", lambda g: g.cast("string"))).otherwise(F.array_repeat(F.lit("."), F.col("n_alleles").cast("int")))
     n = F.transform("cns", F.size)
-    sample = F.concat_ws(
-        ":", F.array_join(F.col("_a.gt"), "@"), text(F.aggregate(n, F.lit(0), lambda a, b: a + b)), F.array_join(n, ","), F.array_join(F.transform("call", text), ","),
-        F.array_join(F.transform("ci95", lambda c: F.concat(text(c["lo"]), F.lit("-"), text(c["hi"]))), ","), F.array_join(F.transform("cns", histogram_text), ","), F.coalesce(text(F.col("ps")), F.lit(".")),
-    )
-    line = F.concat_ws("\t", "contig", text(pos), "locus_id", "_a.ref", F.array_join("_a.alts", ","), F.lit("."), F.lit("."), info, F.lit("GT:DP:AD:MC:MCCI:MCRL:PS"), F.replace(sample, F.lit("@"), sep))
+    total = F.aggregate(n, F.lit(0), lambda a, b: a + b)
+    fields = {
+        "GT": F.array_join(gt, "@"), "PM": text(F.col("method")), "NSNV": text(F.col("n_snvs")), "DP": text(F.coalesce("depth", total)), "MMAS": text(F.round("mean_score", 6)),
+        "DPS": F.when(called_here, text(total)).otherwise("."), "AD": many(n), "MC": many(F.transform("call", text)),
+        "MCCI": many(F.transform("ci95", lambda c: F.concat(text(c["lo"]), F.lit("-"), text(c["hi"])))), "ANCL": F.when(called_here, many(F.col("_a.ancl"))).otherwise("."), "CONS": many(F.col("_a.cons")),
+        "MCRL": many(F.transform("cns", histogram_text)), "SLR": many(F.transform("lens", histogram_text)),
+        **({k: many(F.transform(c, lambda v: text(F.round(v, 6)))) for k, c in (("AM", "am"), ("AMC", "amc"))} if methylation else {}), "PS": text(F.col("ps")),
+    }
+    sample = F.concat_ws(":", *fields.values())
+    line = F.concat_ws("\t", "contig", text(pos), "locus_id", "_a.ref", F.array_join("_a.alts", ","), F.lit("."), F.lit("."), info, F.lit(":".join(fields)), F.replace(sample, F.lit("@"), sep))
     return x.select("contig", pos.alias("pos"), line.alias("line"))
 
 
@@ -68,11 +108,14 @@ def distinct_snvs(snvs: DataFrame) -> DataFrame:
 
 
 def snv_lines(snvs: DataFrame) -> DataFrame:
-    """contig, pos, line of SNVs (contig, pos 0-based, id, ref, call array, rcs array); those without alternatives go."""
+    """contig, pos, line of SNVs (contig, pos 0-based, id, ref, call array, rcs array, and maybe ps); those without
+    alternatives go."""
     alts = F.array_sort(F.array_distinct(F.filter("call", lambda b: b != F.col("ref"))))
     x = snvs.withColumn("_alts", alts).where(F.size("_alts") > 0)
-    gt = F.array_join(F.transform("call", lambda b: F.when(b == F.col("ref"), F.lit(0)).otherwise(F.array_position("_alts", b).cast("int"))), "/")
-    line = F.concat_ws("\t", "contig", (F.col("pos") + 1).cast("string"), "id", "ref", F.array_join("_alts", ","), F.lit("."), F.lit("."), F.lit("VT=snv"), F.lit("GT:DP:AD"), F.concat_ws(":", gt, F.aggregate("rcs", F.lit(0), lambda a, b: a + b).cast("string"), F.array_join("rcs", ",")))
+    gt = F.array_join(F.transform("call", lambda b: F.when(b == F.col("ref"), F.lit(0)).otherwise(F.array_position("_alts", b).cast("int"))), "@")
+    ps = F.col("ps") if "ps" in snvs.columns else F.lit(None).cast("int")
+    gt, more = F.replace(gt, F.lit("@"), F.when(ps.isNull(), "/").otherwise("|")), F.when(ps.isNotNull(), F.concat(F.lit(":"), ps.cast("string"))).otherwise("")
+    line = F.concat_ws("\t", "contig", (F.col("pos") + 1).cast("string"), "id", "ref", F.array_join("_alts", ","), F.lit("."), F.lit("."), F.lit("VT=snv"), F.concat(F.lit("GT:DP:AD"), F.when(ps.isNotNull(), ":PS").otherwise("")), F.concat(F.concat_ws(":", gt, F.aggregate("rcs", F.lit(0), lambda a, b: a + b).cast("string"), F.array_join("rcs", ",")), more))
     return x.select("contig", (F.col("pos") + 1).alias("pos"), line.alias("line"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from ..operators.ranges import numbered
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -15,15 +16,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered(raw, ["_f", "_b", "_i"]).select("line", "value")
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds line, 1 for the first row: counts of ranges first, so rows are never ordered in one task."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_c"), F.min(F.struct(*order)).alias("_first"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return inside.join(before, "_part").withColumn("line", F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
-
-
 def rows(lines: DataFrame) -> DataFrame:
     """line and cols (array) of the lines that are neither blank nor comments."""
     text = F.regexp_replace("value", r"^\s+|\s+$", "")
