@@ -336,14 +336,16 @@ def contig_lengths(spark, sf):
 # --- output ---
 
 
-@query("k03_k05_vcf_records", sql("select contig, start_pos-1 pos, contig||chr(9)||(start_pos-1)||chr(9)||'L'||locus_index||chr(9)||'GA'||repeat(motif,2)||chr(9)||case when a0=a1 then 'GA'||repeat(motif,cast(a0 as int)) else least('GA'||repeat(motif,cast(a0 as int)),'GA'||repeat(motif,cast(a1 as int)))||','||greatest('GA'||repeat(motif,cast(a0 as int)),'GA'||repeat(motif,cast(a1 as int))) end||chr(9)||'.'||chr(9)||'.'||chr(9)||'VT=str;MOTIF='||motif||';REFMC=2;BED_START='||start_pos||';BED_END='||end_pos||';ANCH=1'||chr(9)||'GT:DP:AD:MC:MCCI:MCRL:PS'||chr(9)||case when a0=a1 then '1/1' when 'GA'||repeat(motif,cast(a0 as int))<'GA'||repeat(motif,cast(a1 as int)) then '1/2' else '2/1' end||':3:2,1:'||a0||','||a1||':'||(a0-1)||'-'||(a0+1)||','||(a1-1)||'-'||(a1+1)||':'||a0||'x2,'||a1||'x1:.' as line from gt join loci using (locus_index) where smp=0", "gt", "loci"))
+@query("k03_k05_vcf_records", sql("select contig, start_pos-1 pos, contig||chr(9)||(start_pos-1)||chr(9)||'L'||locus_index||chr(9)||'GA'||repeat(motif,2)||chr(9)||case when a0=a1 then 'GA'||repeat(motif,cast(a0 as int)) else least('GA'||repeat(motif,cast(a0 as int)),'GA'||repeat(motif,cast(a1 as int)))||','||greatest('GA'||repeat(motif,cast(a0 as int)),'GA'||repeat(motif,cast(a1 as int))) end||chr(9)||'.'||chr(9)||'.'||chr(9)||'VT=str;MOTIF='||motif||';REFMC=2;BED_START='||start_pos||';BED_END='||end_pos||';ANCH=1'||case when locus_index%2=0 then ';ANNOT=g'||locus_index||',CDS:x' else '' end||chr(9)||'GT:PM:NSNV:DP:MMAS:DPS:AD:MC:MCCI:ANCL:CONS:MCRL:SLR:AM:AMC:PS'||chr(9)||case when a0=a1 then '1/1' when 'GA'||repeat(motif,cast(a0 as int))<'GA'||repeat(motif,cast(a1 as int)) then '1/2' else '2/1' end||':'||case when locus_index%3=0 then 'snv:2' else 'dist:.' end||':5:1.5:3:2,1:'||a0||','||a1||':'||(a0-1)||'-'||(a0+1)||','||(a1-1)||'-'||(a1+1)||':'||case when a0=a1 then '2,2:single' else '2,2,2:single,poa' end||':'||a0||'x2,'||a1||'x1:'||a0*3||'x2,'||a1*3||'x1:0.5,0.25:2.0,3.0:.' as line from gt join loci using (locus_index) where smp=0", "gt", "loci"))
 def vcf_records(spark, sf):
     g = _calls(spark, sf, 0).selectExpr(
         "contig", "start_pos start", "end_pos end", "concat('L',locus_index) locus_id", "motif", "2 ref_cn", "'TTTGA' ref_anchor", "repeat(motif,2) ref_seq", "array('TTTGA','tttga') anchors",
         "array(repeat(motif,cast(a0 as int)),repeat(motif,cast(a1 as int))) seqs", "2 n_alleles", "array(a0,a1) call", "array(struct(a0-1 as lo,a0+1 as hi),struct(a1-1 as lo,a1+1 as hi)) ci95", "array(array(a0,a0),array(a1)) cns", "cast(null as int) ps",
+        "array('single','poa') cons", "array(array(cast(a0*3 as int),cast(a0*3 as int)),array(cast(a1*3 as int))) lens", "case when locus_index%3=0 then 'snv' else 'dist' end method", "case when locus_index%3=0 then 2 end n_snvs", "5 depth",
+        "cast(1.5 as double) mean_score", "array(cast(0.5 as double),cast(0.25 as double)) am", "array(cast(2 as double),cast(3 as double)) amc", "case when locus_index%2=0 then array(concat('g',locus_index),'CDS:x') else array() end annotations",
     )
     ready = g.withColumn("anchors", F.array(F.lit("TTTGA"), F.lit("tttga")))
-    return V.lines(ready, 4)
+    return V.lines(ready, 4, True)
 
 
 @query("k04_w05_snv_records", sql("with s as (select contig, 's'||(start_pos//100) id, locus_index, row_number() over (partition by contig, start_pos//100 order by locus_index) r from loci) select contig, id, locus_index from s where r=1", "loci"))
@@ -373,10 +375,20 @@ def json_results(spark, sf):
     return R.result_lines(_calls(spark, sf, 0).select("locus_index", "contig", F.array("a0", "a1").alias("call")))
 
 
-@query("k02_vcf_header", "select 36 n, 1 n_chrom")
+_FIELDS = """INFO VT 1 String|INFO MOTIF 1 String|INFO REFMC 1 Integer|INFO BED_START 1 Integer|INFO BED_END 1 Integer|INFO ANCH 1 Integer|INFO ANNOT 1 String
+|FORMAT AD . Integer|FORMAT AM . Float|FORMAT AMC . Float|FORMAT ANCL . Integer|FORMAT CONS . String|FORMAT DP 1 Integer|FORMAT DPS 1 Integer|FORMAT GT 1 String|FORMAT MC . Integer|FORMAT MCCI . String
+|FORMAT MCRL . String|FORMAT MMAS 1 Float|FORMAT NSNV 1 Integer|FORMAT PS 1 Integer|FORMAT PM 1 String|FORMAT SLR . String"""
+
+
+@query("k02_vcf_header", sql("select string_split(x,' ')[1] kind, string_split(x,' ')[2] id, string_split(x,' ')[3] number, string_split(x,' ')[4] type from (select unnest(string_split('" + _FIELDS.replace("\n", "") + "','|')) x) union all select 'contig', contig, cast(max(end_pos) as varchar), null from loci group by contig union all select 'last', 's1', null, null", "loci"))
 def vcf_header(spark, sf):
-    h = V.header([(f"chr{i}", 40000) for i in range(1, 14)], "s1", {"source": "x"})
-    return spark.createDataFrame([(len(h) - 1, sum(x.startswith("#CHROM") for x in h))], "n int, n_chrom int")
+    """Every declared field and contig of a header; the contigs are a few rows."""
+    contigs = [(r["contig"], r["n"]) for r in fixture(spark, sf, "loci").groupBy("contig").agg(F.max("end_pos").alias("n")).collect()]
+    h = spark.createDataFrame([(x,) for x in V.header(contigs, "s1", {"source": "x"}, True)], "value string")
+    part = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
+    kind = F.when(F.col("value").startswith("#CHROM"), "last").otherwise(part("^##(INFO|FORMAT|contig)="))
+    ident = F.when(kind == "last", F.element_at(F.split("value", "\t"), -1)).otherwise(part("ID=([^,>]+)"))
+    return h.select(kind.alias("kind"), ident.alias("id"), F.coalesce(part("Number=([^,>]+)"), part("length=([0-9]+)")).alias("number"), part("Type=([^,>]+)").alias("type")).where("kind is not null")
 
 
 @query("k10_f40_locus_search", sql("select locus_index from loci where contig||':'||start_pos||'-'||end_pos like '%chr2:1%'", "loci"))
