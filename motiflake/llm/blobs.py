@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import small_batches, trim
+from .shared import cut, small_batches, trim
 
 SCHEMA = "bucket int, blob binary"
+#: Bytes of records that a task holds before it sends them.
+HOLD = 8 << 20
 
 
 def partitions(df: DataFrame, times: int = 2) -> int:
@@ -34,6 +36,28 @@ def dealt(records: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]].astype(np.int32) if len(bucket) else [], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
+def sent(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], most: int) -> DataFrame:
+    """(bucket, blob) rows of the records and buckets that fn makes of slices of df; records of many slices are held
+    (HOLD bytes), so rows follow the tasks and buckets, not the slices."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        held, size = [], 0
+        for batch in batches:
+            for part in cut(batch, column, most) if batch.num_rows else ():
+                held.append(fn(part))
+                size += held[-1][0].nbytes
+                if size >= HOLD:
+                    yield dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield dealt(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        trim(False)
+
+    return df.mapInArrow(run, SCHEMA)
+
+
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """The rows of each bucket, without the bucket itself, as lists of scalars; rows come sorted by bucket."""
     now, held = None, []

@@ -1,7 +1,9 @@
 """Parity-sketch join: links between documents whose sets of word shingles have a Jaccard similarity of at least t.
 
-1. A document's set becomes 64-bit shingle hashes; equal sets are one node (a fingerprint of 128 bits), so copies cost
-   once. A node's text is that of its least row by (id, name of the text), so repeated ids don't matter.
+1. A document's set becomes 64-bit shingle hashes; equal sets are one node (a 64-bit name), so copies cost once. A node's
+   text is that of its least row by (id, name of the text), so repeated ids don't matter. Different sets may share a
+   name (a second one tells them apart): nothing is left out of such a mixed node's candidates, and from step 5 on each
+   of its sets is a node of its own.
 2. Sizes are cut into bands that overlap, so that every two sets that can link share one (see Bands). In a band, sets
    that link differ in at most d shingles (|A - B| + |B - A| <= (1 - t) / t * smaller).
 3. A band's sketch has d + 1 + e blocks of BITS bits; each shingle flips one bit of one block (parity), so the Hamming
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import SCHEMA, dealt, gathered, partitions
+from .blobs import gathered, partitions, sent
 from .graph import components
 from .shared import carried, forget, map_slices, sieve, trim, unpacked, written
 from .textkernel import LOWER, SOLID, mix, raw, whole, windows, words
@@ -42,10 +44,9 @@ BITS = 4096
 FEW = 8
 CHUNK = 4096
 _WORD = mix(np.arange(1, BITS + 1, dtype=np.uint64))
-#: Buckets of records to a partition; a task holds one at a time.
-DEAL = 16
 SLICE = 1 << 20
-PAIR = np.dtype([("key", "<u8"), ("node", "<u8", 2)])
+PAIR = np.dtype([("key", "<u8"), ("node", "<u8")])
+COUPLE = np.dtype([("a", "<i8"), ("b", "<i8")])
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int, table: np.ndarray = SOLID) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +79,11 @@ def _sums(values: np.ndarray, first: np.ndarray, op=np.add) -> np.ndarray:
     return out
 
 
-def fingerprint(val: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 128-bit name of each set, by two sums over its hashes and its size: (sets, 2)."""
+def fingerprint(val: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A name of each set by its hashes' sum and its size, and another one to check it by."""
     size = np.diff(first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return np.stack([mix(_sums(mix(x), first) + size) for x in (val, val ^ np.uint64(0xC3A5C85C97CB3127))], 1)
-
-
-def names(node: np.ndarray) -> pa.Array:
-    """Fingerprints as binary values."""
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(node), [None, pa.py_buffer(np.ascontiguousarray(node))]).cast(pa.binary())
+    node, check = (mix(_sums(mix(x), first) + size) for x in (val, val ^ np.uint64(0xC3A5C85C97CB3127)))
+    return node, check
 
 
 class Bands:
@@ -173,30 +170,23 @@ def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Band
 
 def meetings(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(0, a, b, times) for all pairs of blocks with few nodes, (block, node, null, 1) for those of larger blocks."""
-    records = records[np.lexsort((records["node"][:, 1], records["node"][:, 0], records["key"]))]
-    again = np.zeros(len(records), bool)
-    again[1:] = (records["key"][1:] == records["key"][:-1]) & (records["node"][1:] == records["node"][:-1]).all(axis=1)
-    records = records[~again]
-    key, node = records["key"], records["node"]
+    records = np.unique(records[np.lexsort((records["node"], records["key"]))])
+    key, node = records["key"], records["node"].astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(cuts)
-    at = [np.zeros((0, 2), np.int64)]
+    pairs = [np.zeros((0, 2), np.int64)]
     for n in range(2, FEW + 1):
         first = cuts[:-1][size == n]
-        at += [np.stack([first + i, first + j], 1) for i in range(n) for j in range(i + 1, n)]
-    at = np.concatenate(at)
-    pairs = node[at].reshape(-1, 4)  # both names, the smaller first
-    pairs = pairs[np.lexsort(pairs.T[::-1])]
-    head = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])) if len(pairs) else np.zeros(0, np.int64)
-    times = np.diff(np.append(head, len(pairs)))
-    pairs = pairs[head]
+        pairs += [np.stack([node[first + i], node[first + j]], 1) for i in range(n) for j in range(i + 1, n)]
+    pairs, times = np.unique(np.concatenate(pairs).view(COUPLE).ravel(), return_counts=True)
+    pairs = pairs.view(np.int64).reshape(-1, 2)
     many = np.repeat(size > FEW, size)
     rest = key[many].view(np.int64) | 1
-    for block, left, right, n in ((np.zeros(len(pairs), np.int64), pairs[:, :2], pairs[:, 2:], times), (rest, node[many], None, np.ones(len(rest), np.int64))):
+    for block, left, right, n in ((np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1], times), (rest, node[many], None, np.ones(len(rest), np.int64))):
         for i in range(0, len(block), 100_000):
-            part = slice(i, i + 100_000)
-            other = pa.nulls(len(block[part]), pa.binary()) if right is None else names(right[part])
-            yield pa.RecordBatch.from_arrays([pa.array(block[part]), names(left[part]), other, pa.array(n[part])], names=["block", "a", "b", "times"])
+            part = [x[i : i + 100_000] for x in (block, left)]
+            other = pa.nulls(len(part[0]), pa.int64()) if right is None else pa.array(right[i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), other, pa.array(n[i : i + 100_000])], names=["block", "a", "b", "times"])
 
 
 def sketches(val: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,78 +278,90 @@ def _members(docs: DataFrame, n: int, t: tuple[int, int], chunk: int) -> DataFra
         val, first = shingles(*raw(batch.column(3)), n)
         sk, at = sketches(val, first)
         blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * 8), pa.py_buffer(sk)]).cast(pa.binary())
-        node = fingerprint(val, first)
+        node, check = fingerprint(val, first)
         need = block_keys(val, first, node, bands)[1].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(first), pa.int64()), names(node), pa.array(need), blobs], names=["id", "u", "v", "n_shingles", "node", "need", "sketch"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(first), pa.int64()), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(need), blobs], names=["id", "u", "v", "n_shingles", "node", "check", "need", "sketch"])
 
-    named = written(map_slices(docs.select("id", "u", "v", "text"), "text", name, f"id {kind}, u long, v long, n_shingles long, node binary, need int, sketch binary", SLICE), "sets")
+    named = written(map_slices(docs.select("id", "u", "v", "text"), "text", name, f"id {kind}, u long, v long, n_shingles long, node long, check long, need int, sketch binary", SLICE), "sets")
+    full = named.where("n_shingles > 0")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "u", "v")).alias("least")
-    of_node = named.where("n_shingles > 0").groupBy("node").agg(least, F.first("n_shingles").alias("n"), F.first("need").alias("need"), F.first("sketch").alias("sketch"))
+    of_node = full.groupBy("node").agg(least, F.min("n_shingles").alias("n"), F.min("need").alias("need"), F.first("sketch").alias("sketch"), F.min("check").alias("check"), (F.min("check") != F.max("check")).alias("mixed"))
     of_node = written(of_node, "nodes")
     parts = partitions(docs)
 
     def send(batch: pa.RecordBatch):
         val, first = shingles(*raw(batch.column(0)), n)
-        node = fingerprint(val, first)
-        _, one = np.unique(node, axis=0, return_index=True)  # copies in a batch send once
+        node, check = fingerprint(val, first)
+        _, one = np.unique(np.stack([node, check], 1), axis=0, return_index=True)  # copies in a batch send once
         sizes = np.diff(first)[one]
         take = np.repeat(first[one] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         rec, _ = block_keys(val[take], np.concatenate([[0], np.cumsum(sizes)]), node[one], bands)
-        yield dealt(rec, ((rec["key"] >> np.uint64(40)) % np.uint64(DEAL * parts)).astype(np.int64))
+        return rec, ((rec["key"] >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
-    met = written(gathered(map_slices(docs.select("text"), "text", send, SCHEMA, SLICE), parts, PAIR, meetings, "block long, a binary, b binary, times long"), "meetings")
+    met = written(gathered(sent(docs.select("text"), "text", send, SLICE), parts, PAIR, meetings, "block long, a long, b long, times long"), "meetings")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            n, m = (x.column(i).to_pylist() for i in (2, 3))
-            sa, sb = ([np.frombuffer(y.as_buffer(), np.uint64) for y in x.column(i)] for i in (4, 5))
-            ok = [apart(p, q) * (t[1] + t[0]) <= (t[1] - t[0]) * (k + j) for p, q, k, j in zip(sa, sb, n, m, strict=True)]
+            n, m, free = (x.column(i).to_pylist() for i in (2, 3, 4))
+            sa, sb = ([np.frombuffer(y.as_buffer(), np.uint64) for y in x.column(i)] for i in (5, 6))
+            ok = [f or apart(p, q) * (t[1] + t[0]) <= (t[1] - t[0]) * (k + j) for p, q, k, j, f in zip(sa, sb, n, m, free, strict=True)]
             yield x.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    one_of = lambda c: of_node.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    need_of = lambda c: of_node.select(F.col("node").alias(c), F.col("need").alias(f"k_{c}"))
-    often = met.where("block = 0").groupBy("a", "b").agg(F.sum("times").alias("times")).join(need_of("a"), "a").where("times >= k_a").join(need_of("b"), "b").where("times >= k_b")
-    pairs = often.select("a", "b").join(one_of("a"), "a").join(one_of("b"), "b")
-    pairs = pairs.where(f"abs(n_a - n_b) * {t[1] + t[0]} <= (n_a + n_b) * {t[1] - t[0]}").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(close, "a binary, b binary")
+    size_of = lambda c: of_node.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("need").alias(f"k_{c}"), F.col("mixed").alias(f"m_{c}"))
+    sketch_of = lambda c: of_node.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}"))
+    often = met.where("block = 0").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    often = often.join(size_of("a"), "a").where("times >= k_a or m_a").join(size_of("b"), "b")
+    often = often.where(f"m_a or m_b or (times >= k_b and abs(n_a - n_b) * {t[1] + t[0]} <= (n_a + n_b) * {t[1] - t[0]})")
+    pairs = often.select("a", "b", "n_a", "n_b", F.expr("m_a or m_b").alias("free")).join(sketch_of("a"), "a").join(sketch_of("b"), "b")
+    pairs = pairs.select("a", "b", "n_a", "n_b", "free", "s_a", "s_b").mapInArrow(close, "a long, b long")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         for held in _runs(batches, 1):
-            found = list(near([np.frombuffer(h[2], np.uint64) for h in held], np.array([h[1] for h in held]), *t)) if len(held) > 1 else []
-            yield pa.RecordBatch.from_arrays([pa.array([held[p[i]][0] for p in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            found = list(near([np.frombuffer(h[3], np.uint64) for h in held], np.array([h[1] for h in held]), *t)) if len(held) > 1 else []
+            found += [(0, k) for h, k in zip(held, range(len(held)), strict=True) if k and (h[2] or held[0][2])]
+            yield pa.RecordBatch.from_arrays([pa.array([held[p[i]][0] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    large = met.where("block <> 0").select("block", "a").join(one_of("a"), "a").select("block", "a", "n_a", "s_a")
-    large = large.repartition(parts, "block").sortWithinPartitions("block", "a").mapInArrow(within, "a binary, b binary")
+    large = met.where("block <> 0").select("block", "a").join(size_of("a"), "a").join(sketch_of("a"), "a").select("block", "a", "n_a", "m_a", "s_a")
+    large = large.repartition(parts, "block").sortWithinPartitions("block", F.desc("m_a"), "a").mapInArrow(within, "a long, b long")
     member = written(components(pairs.unionByName(large)), "candidates")
     forget(met)
 
+    main = of_node.where("mixed").select("node", F.col("check").alias("main"))
+    own = F.when(F.col("check") == F.col("main"), F.col("node")).otherwise(F.xxhash64("node", "check"))
+    several = full.join(main, "node").groupBy("node", "check", "main").agg(least).select("node", own.alias("own"), "least")
+    sets = of_node.where("not mixed").select("node", F.col("node").alias("own"), "least").unionByName(several)
     sizes = member.groupBy("root").agg(F.count("*").alias("size"))
     many = sizes.where(F.col("size") > chunk).select("root", F.ceil(F.col("size") / chunk).cast("int").alias("r"))
-    task = member.join(many, "root", "left").join(of_node.select("node", "least.*"), "node").withColumn("c", F.when(F.col("r").isNotNull(), F.pmod(F.xxhash64("node"), "r").cast("int")))
-    task = written(task.select("root", "node", "r", "c", *[F.col(x).alias(f"of_{x}") for x in ("id", "u", "v")]), "tasks")
+    mixed = of_node.where("mixed").join(member, "node", "left_anti").select("node", F.col("node").alias("root"))
+    task = member.unionByName(mixed).join(many, "root", "left").join(sets.select("node", "own", "least.*"), "node").withColumn("c", F.when(F.col("r").isNotNull(), F.pmod(F.xxhash64("own"), "r").cast("int")))
+    task = written(task.select("root", F.col("own").alias("node"), "r", "c", *[F.col(x).alias(f"of_{x}") for x in ("id", "u", "v")]), "tasks")
     some = sieve(docs.select("id", "u", "v", "text"), "u", task.select(F.col("of_u").alias("u"))).where("_maybe").drop("_maybe")
     wanted = some.join(task, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("u") == F.col("of_u")) & (F.col("v") == F.col("of_v"))).select("root", "node", "r", "c", "text")
 
     def sets_of(batch: pa.RecordBatch):
         val, first = shingles(*raw(batch.column(4)), n)
-        sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(val))])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets.cast(pa.binary())], names=["root", "node", "r", "c", "set"])
+        blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(val))])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], blobs.cast(pa.binary())], names=["root", "node", "r", "c", "set"])
 
-    sets = map_slices(wanted, "text", sets_of, "root binary, node binary, r int, c int, set binary", SLICE)
+    shown = map_slices(wanted, "text", sets_of, "root long, node long, r int, c int, set binary", SLICE)
     other = F.explode(F.coalesce(F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda k: F.struct(F.least(k, F.col("c")).alias("i"), F.greatest(k, F.col("c")).alias("j"))), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))))
-    tasks = sets.select("root", "node", "set", other.alias("p")).select("root", "p.i", "p.j", "node", "set").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    tasks = shown.select("root", "node", "set", other.alias("p")).select("root", "p.i", "p.j", "node", "set").repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         for held in _runs(batches, 3):
             held = [h for k, h in enumerate(held) if not k or h[0] != held[k - 1][0]]  # a repeated row brings its node again
             root = verify([np.frombuffer(h[1], np.uint64) for h in held], *t)
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.binary()), pa.array([held[r][0] for r in root], pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([held[r][0] for r in root], pa.int64())], names=["a", "b"])
 
-    links = written(tasks.mapInArrow(check, "a binary, b binary"), "links")
+    links = written(tasks.mapInArrow(check_task, "a long, b long"), "links")
     root = components(links) if many.limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    full = named.select("id", "u", "v", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(root, "node", "left")
-    out = written(full.select("id", "u", "v", "n_shingles", F.coalesce("root", "node").alias("root")), "members")
+    every = named.select("id", "u", "v", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"), "check")
+    if main.limit(1).count():
+        every = every.join(main, "node", "left").withColumn("node", F.when(F.col("main").isNull(), F.col("node")).otherwise(own))
+    every = every.select("id", "u", "v", "n_shingles", "node").join(root, "node", "left")
+    out = written(every.select("id", "u", "v", "n_shingles", F.coalesce("root", "node").alias("root")), "members")
     forget(named, of_node, member, task, links)
     return out
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import SCHEMA, by_bucket, dealt, gathered, partitions
+from .blobs import by_bucket, gathered, partitions, sent
 from .shared import carried, forget, map_slices, sieve, trim, unpacked, written
 from .textkernel import BASE, BASE_INV, mix, power, raw, running, shifted
 
@@ -37,8 +37,6 @@ COLLECTION = 200_000
 SLICE = 1 << 20
 PLACE = np.uint64((1 << 26) - 1)
 MOST = 1 << 21
-#: Buckets of records to a partition; a task holds one at a time.
-DEAL = 16
 RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("u", "<i8"), ("v", "<i8"), ("p", "<i4"), ("n", "<i2")])
 HEAD = np.dtype([("key", "<u8"), ("u", "<i8"), ("v", "<i8"), ("p", "<i4"), ("n", "<i2"), ("left", "<i2"), ("many", "u1")])
 SITE = np.dtype([("p", "<i4"), ("many", "u1")])
@@ -209,7 +207,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     parts = partitions(docs)
 
     def bucket_of(key: np.ndarray) -> np.ndarray:
-        return ((key >> np.uint64(40)) % np.uint64(DEAL * parts)).astype(np.int64)
+        return ((key >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
     def send(batch: pa.RecordBatch):
         u, v = (batch.column(i).to_numpy() for i in (0, 1))
@@ -220,9 +218,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         key, content, doc, p, n, _ = runs(data, off)
         rec = np.empty(len(key), RUN)
         rec["key"], rec["content"], rec["u"], rec["v"], rec["p"], rec["n"] = key, content, u[one][doc], v[one][doc], p, n
-        yield dealt(rec, bucket_of(key))
+        return rec, bucket_of(key)
 
-    sites = gathered(map_slices(text.select(*name, "text"), "text", send, SCHEMA, SLICE), parts, RUN, _sites, "u long, v long, kind int, blob binary")
+    sites = gathered(sent(text.select(*name, "text"), "text", send, SLICE), parts, RUN, _sites, "u long, v long, kind int, blob binary")
     sites = written(sites, "sites")
     one = written(text.groupBy(*name).agg(F.count("*").alias("copies"), F.min("id").alias("rep")), "texts")
     asked = sites.where("kind = 1").groupBy(*name).agg(F.collect_list("blob").alias("sites")).join(one, name).select(F.struct(*name).alias("name"), "rep", "sites")
@@ -257,8 +255,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         for rows in by_bucket(batches):
             yield from _compare([(np.frombuffer(h.as_buffer(), HEAD), np.frombuffer(b.as_buffer(), np.uint8)) for h, b in rows])
 
-    sent = map_slices(wanted, "text", segments, "bucket int, head binary, body binary", SLICE).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = sent.mapInArrow(compare, "u long, v long, kind int, blob binary")
+    asked = map_slices(wanted, "text", segments, "bucket int, head binary, body binary", SLICE).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = asked.mapInArrow(compare, "u long, v long, kind int, blob binary")
     spans = sites.where("kind = 0").unionByName(found).groupBy(*name).agg(F.collect_list("blob").alias("spans"))
     spans = written(one.select(*name, "copies").join(spans, name, "left").where("copies > 1 or spans is not null"), "spans")
     forget(sites, one)
