@@ -18,6 +18,8 @@ from .sources import bed, callers, ploidy, trf
 from .sources import reads as reads_source
 from .sources import vcf as vcf_source
 
+#: Callers whose records are met by place, and whether the motif has to be the same.
+POSITIONAL = {"own-vcf": True, "gangstr": False, "expansionhunter": False, "trgt": False, "generic-vcf": False, "longtr": False, "strdust": False}
 _SPANS = (("contig", "contig2"), ("start", "end"), ("start2", "end2"))
 
 
@@ -38,7 +40,12 @@ def mi(spark: SparkSession, params: MiParams, child: str, mother: str, father: s
     sides = [callers.read(spark, params.caller, p, catalog) for p in (child, mother, father)]
     sides = [s.where("ps is not null") if params.only_phased else s for s in sides]
     sides = [s.where(F.col("contig") == params.contig) if params.contig else s for s in sides]
-    t = inherit.trio(*[s.drop("pos", "ref") for s in sides]).where(~F.col("contig").isin(inherit.SEX))
+    sides = [s.drop("pos", "ref") for s in sides]
+    if params.caller in POSITIONAL:
+        t = inherit.positional_trio(*sides, POSITIONAL[params.caller])
+    else:
+        t = inherit.trio(*sides)
+    t = t.where(~F.col("contig").isin(inherit.SEX))
     t = t.withColumn("_key", F.xxhash64("contig", "start", "end", "motif"))
     if params.catalog:
         wanted = catalog.select(F.col("contig").alias("contig2"), F.col("start").alias("start2"), F.col("end").alias("end2"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .intervals import first_match, overlap_join
 
 KINDS = ("strict", "pm1", "ci_95", "ci_99", "seq", "sl", "sl_pm1")
 KEY = ["contig", "start", "end", "motif"]
@@ -20,6 +21,20 @@ def trio(child: DataFrame, mother: DataFrame, father: DataFrame, key: list[str]
     return sides[0].join(sides[1], key).join(sides[2], key)
 
 
+def positional_trio(child: DataFrame, mother: DataFrame, father: DataFrame, same_motif: bool) -> DataFrame:
+    """The rows of trio() where each of the child's loci has the first record of a parent that overlaps it (of equal
+    motif, if asked for), wherever that record begins."""
+    loci, out = child.select(*KEY).distinct(), child.select(*KEY, *[F.col(c).alias(f"c_{c}") for c in child.columns if c not in KEY])
+    for prefix, df in (("m", mother), ("f", father)):
+        p = df.select(*[F.col(c).alias(f"_p_{c}") for c in KEY], *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in KEY])
+        pairs = overlap_join(loci, p, ("contig", "_p_contig"), ("start", "end"), ("_p_start", "_p_end"))
+        if same_motif:
+            pairs = pairs.where(F.col("motif") == F.col("_p_motif"))
+        best = first_match(pairs, KEY, ["_p_start", "_p_end", "_p_motif"]).drop(*[f"_p_{c}" for c in KEY])
+        out = out.join(best, KEY)
+    return out
+
+
 def agreement(t: DataFrame, widen: float = 0.0, decimal: bool = False) -> DataFrame:
     """Adds the seven kinds to a trio of canonical calls (gt, ci95, ci99, seqs arrays); unknown ones are null."""
     two = lambda p, c: [F.get(F.col(f"{p}_{c}"), F.lit(i)) for i in (0, 1)]

@@ -27,12 +27,36 @@ def overlap_join(a: DataFrame, b: DataFrame, contig: tuple[str, str], a_span: tu
     return x.join(y, on & pair).drop("_bin", "_bin2")
 
 
+#: Widths grow by this factor; an interval of a level has at most so many bins there.
+FACTOR = 64
+
+
+def levelled(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """Adds _level, _bin and _own: the bins of an interval at the level of its length, and those of all wider levels.
+
+    Two intervals that overlap meet at the wider one's level, where that one has a bin of its own, so an interval of a
+    hundred million bases has a few hundred bins and not one for each `width` bases.
+    """
+    widths = [width]
+    while widths[-1] * FACTOR < 1 << 36:
+        widths.append(widths[-1] * FACTOR)
+    size = F.col(end) - F.col(start)
+    level = sum(((size > w * FACTOR).cast("int") for w in widths[:-1]), F.lit(0))
+    each = F.flatten(F.array(*[
+        F.when(level <= k, F.transform(F.sequence(F.floor(F.col(start) / w), F.floor((F.col(end) - 1) / w)), lambda b, k=k: F.struct(F.lit(k).alias("level"), b.alias("bin"), (level == k).alias("own")))).otherwise(
+            F.array().cast("array<struct<level:int,bin:bigint,own:boolean>>")
+        ) for k, w in enumerate(widths)
+    ]))
+    x = df.where(F.col(start) < F.col(end)).withColumn("_z", F.explode(each))
+    return x.select(*df.columns, F.col("_z.level").alias("_level"), F.col("_z.bin").alias("_bin"), F.col("_z.own").alias("_own"))
+
+
 def overlap_keys(a: DataFrame, key: str, b: DataFrame, contig: tuple[str, str], a_span: tuple[str, str], b_span: tuple[str, str], width: int = WIDTH) -> DataFrame:
     """The distinct keys of a that overlap something in b."""
     (s, e), (t, u) = a_span, b_span
-    x = binned(a, s, e, width)
-    y = binned(b.select(contig[1], t, u), t, u, width).withColumnRenamed("_bin", "_bin2")
-    on = (F.col(contig[0]) == F.col(contig[1])) & (F.col("_bin") == F.col("_bin2")) & (F.col(s) < F.col(u)) & (F.col(t) < F.col(e))
+    x = levelled(a.select(key, contig[0], s, e), s, e, width)
+    y = levelled(b.select(contig[1], t, u), t, u, width).withColumnsRenamed({"_level": "_level2", "_bin": "_bin2", "_own": "_own2"})
+    on = (F.col(contig[0]) == F.col(contig[1])) & (F.col("_level") == F.col("_level2")) & (F.col("_bin") == F.col("_bin2")) & (F.col("_own") | F.col("_own2")) & (F.col(s) < F.col(u)) & (F.col(t) < F.col(e))
     return x.join(y, on, "left_semi").select(key).distinct()
 
 

@@ -91,6 +91,22 @@ def ploidy_configs(spark, sf):
     return spark.createDataFrame(got, "name string, chr1 int, x int, m int")
 
 
+@query("s28_disease_catalog", sql("select contig, start_pos, end_pos, 'L'||locus_index locus_id, motif, 1+locus_index%2 n_diseases, case when locus_index%3=0 then locus_index end least_pathogenic from loci", "loci"))
+def disease_catalog(spark, sf):
+    form = F.expr("case when locus_index%3=0 then concat('CN>=',locus_index) else '' end")
+    line = F.concat_ws("\t", "contig", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), F.expr("case when locus_index%2=0 then 'D1' else 'D1;D2' end"), F.lit("AD;AR"), F.lit("GENE"), F.lit("A 2001;B 2002"), form, F.lit(""), F.concat(F.lit("ID=L"), "locus_index", F.lit(";MOTIF="), "motif"))
+    x = bed.disease_loci(bed.rows(fixture(spark, sf, "loci").select(F.col("locus_index").alias("line"), line.alias("value"))))
+    return x.select("contig", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "locus_id", "motif", F.size("diseases").alias("n_diseases"), "least_pathogenic")
+
+
+@query("s23_sample_of_header", sql("select contig, case when count(distinct locus_index%3)=1 then 's'||min(locus_index%3) end sample from loci where locus_index%22<>5 or locus_index%3=0 group by contig", "loci"))
+def sample_of_header(spark, sf):
+    """The one sample of each header's read groups, or null: a header for each contig."""
+    line = F.concat(F.lit("@RG\tID:"), "locus_index", F.lit("\tPL:x\tSM:s"), F.col("locus_index") % 3)
+    h = fixture(spark, sf, "loci").where("locus_index%22<>5 or locus_index%3=0").select("contig", line.alias("value"))
+    return reads.samples(h, "contig")
+
+
 @query("s26_bed_contigs", sql("select distinct contig from loci", "loci"))
 def bed_contigs(spark, sf):
     return bed.contigs(rows(spark, sf))

@@ -87,3 +87,22 @@ def catalog_hash(catalog: DataFrame) -> DataFrame:
     part = F.substring(h, 1, 2)
     each = catalog.select(h.alias("h"), part.alias("p")).groupBy("p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("hash"))
+
+
+def disease_loci(parsed: DataFrame) -> DataFrame:
+    """Loci of a disease catalog's rows of ten columns: span, diseases and their inheritance (lists), gene, citations,
+    the least pathogenic number of copies where the form says one, notes, id and motif."""
+    col = lambda i: F.nullif(F.trim(F.get("cols", F.lit(i))), F.lit(""))
+    last = last_column(F.get("cols", F.lit(9)), F.col("line"))
+    return parsed.where(F.size("cols") == 10).select(
+        col(0).alias("contig"), col(1).try_cast("long").alias("start"), col(2).try_cast("long").alias("end"), F.split(col(3), ";").alias("diseases"), F.split(col(4), ";").alias("inheritance"), col(5).alias("gene"),
+        F.split(col(6), ";").alias("citations"), F.regexp_extract(col(7), r"CN>=(\d+)", 1).try_cast("int").alias("least_pathogenic"), col(8).alias("notes"), last["locus_id"].alias("locus_id"), last["motif"].alias("motif"),
+    )
+
+
+def bundled_disease_loci(spark: SparkSession) -> DataFrame:
+    """The catalog of well-known loci that comes with the package (a dozen rows)."""
+    from importlib import resources
+
+    lines = resources.files("motiflake").joinpath("data/disease_loci.tsv").read_text().splitlines()
+    return disease_loci(rows(spark.createDataFrame(list(enumerate(lines, 1)), "line long, value string")))

@@ -39,9 +39,3 @@ def test_query_is_what_sql_says(spark, con, small, name):
     got, want = QUERIES[name](spark, small).toPandas(), con.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert number_like(rows(got)) == number_like(rows(want))
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_without_sql_runs_twice_alike(spark, small, name):
-    a, b = (rows(QUERIES[name](spark, small).toPandas()) for _ in range(2))
-    assert a and a == b
