@@ -1,12 +1,9 @@
-"""Session helpers of the training-data operators: the shared folder and tables that cut lineage."""
+"""Session helpers of the training-data operators: carried columns, sieves, slices of Arrow batches, workers' memory."""
 
 from __future__ import annotations
 
 import ctypes
-import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,44 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import drop_path, forget, fresh_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), f"motiflake-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the JVM ends."""
-    path = f"{shared_dir(spark)}/motiflake/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._motiflake_path = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Delete written() tables that nothing reads any more."""
-    for f in frames:
-        drop_path(f.sparkSession, f._motiflake_path)
+__all__ = ["carried", "cut", "drop_path", "forget", "fresh_path", "map_slices", "quoted", "shared_dir", "sieve", "small_batches", "trim", "unpacked", "written"]
 
 
 def quoted(name: str) -> str:
