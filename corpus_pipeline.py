@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motiflake.llm import decontam, jaccard, packing, suffix, toxicity
 from motiflake.llm.queries import table, tokenizer_path, toxicity_model
-from motiflake.llm.shared import written
+from motiflake.llm.shared import forget, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -49,12 +49,14 @@ STAGES = [
     ("benchmark", cut_benchmark),
     ("packing", pack),
 ]
-ORACLE_SQL = None  # no stage can be put in SQL; tests compare each with a brute-force version
+ORACLE_SQL = None  # the toxicity models and the packing plan can't be put in SQL; tests/llm/test_pipeline.py has a brute-force version of each stage
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if k:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
