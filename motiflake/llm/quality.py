@@ -8,11 +8,15 @@ the field finds likelier (the likeliest bad line stays bad). All lines of all te
 together, one line of each text at a time.
 
 Training sees at most SAMPLE labelled documents, by a hash of their id. Defined results: a null or empty text is one
-empty line and has a score; without training rows of both classes the score is 0.5; repeated rows score alike.
+empty line and has a score; without training rows of both classes the score is 0.5; repeated rows score alike, repeated
+label rows count as often as they stand; an empty table gives none; other columns are passed over. A very long text is
+scored column by column (about a hundred bytes of memory a line), and its chain in stretches side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,9 +26,11 @@ from .shared import map_slices
 from .textkernel import SOLID, mix, raw, whole, windows, words
 
 SAMPLE = 6000
+#: Lines above which a text's chain is cut into stretches.
+LONG = 4096
 #: Label rows (an id and a class) up to which they are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
-SLICE = 3 << 20
+SLICE = 1 << 20
 
 _CLASSES = [b"#*$%&<>@^~_=\\{}", b"|", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b".,;:", b" \t"]
 _TABLES = np.zeros((len(_CLASSES), 256), np.uint8)
@@ -35,32 +41,34 @@ WIDTH = 3 * OWN + 3
 
 
 def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of every line (at least one for each text) with the total at the end, and the first line of each text."""
+    """Start of every line (at least one for each text) with the total at the end, and the first line of each text.
+
+    A text's lines start at its own start and after each of its line ends, the last of which may be at its very end."""
     breaks = np.flatnonzero(data == 10) + 1
     n = len(off) - 1
-    # a text's lines start at its own start and after each of its line ends, the last of which may be at its very end
-    at = np.concatenate([off[:-1], breaks])
-    text = np.concatenate([np.arange(n), np.searchsorted(off, breaks - 1, "right") - 1])
-    order = np.lexsort((np.concatenate([np.zeros(n, np.int8), np.ones(len(breaks), np.int8)]), at, text))
-    first = np.searchsorted(text[order], np.arange(n + 1))
-    return np.append(at[order], off[-1]), first
+    first = np.arange(n + 1) + np.searchsorted(breaks, off, "right")  # a break at a text's start ended the text before
+    start = np.empty(int(first[-1]) + 1, np.int64)
+    own = np.zeros(len(start), bool)
+    own[first] = True
+    start[own], start[~own] = off, breaks
+    return start, first
 
 
-def line_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lines, WIDTH) features, the lengths of the lines in bytes, and the first line of each text."""
-    start, first = lines(data, off)
+def line_columns(data: np.ndarray, off: np.ndarray, start: np.ndarray) -> Iterator[np.ndarray]:
+    """The OWN features of every line, one column after another."""
     size = np.diff(start)
     m = len(size)
-    x = np.zeros((m, OWN), np.float32)
     safe = np.maximum(size, 1)
 
     def per_line(values: np.ndarray) -> np.ndarray:
-        run = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        run = np.zeros(len(values) + 1, np.int32 if len(values) < 1 << 31 else np.int64)
+        np.cumsum(values, out=run[1:])
         return run[start[1:]] - run[start[:-1]]
 
-    for i, t in enumerate(_TABLES):
-        x[:, i] = per_line(t[data]) / safe
-        x[:, len(_CLASSES) + i] = np.minimum(x[:, i] * 15, 1)  # even a few
+    for t in _TABLES:
+        yield (per_line(t[data]) / safe).astype(np.float32)
+    for t in _TABLES:
+        yield np.minimum((per_line(t[data]) / safe).astype(np.float32) * 15, 1)  # even a few
     w = words(data, off, SOLID)
     k = len(w.start)
     line_of = np.searchsorted(start, w.start, "right") - 1 if k else np.zeros(0, np.int64)
@@ -81,23 +89,77 @@ def line_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     repeat = np.cumsum(again[:-1]) > 0
     echo = np.zeros(k, bool)
     echo[1:] = (h[1:] == h[:-1]) & (line_of[1:] == line_of[:-1])
-    c = 2 * len(_CLASSES)
-    x[:, c] = np.log1p(size) / 5
-    x[:, c + 1] = np.bincount(line_of, repeat, m) / some
-    x[:, c + 2] = np.bincount(line_of, echo, m) / some
-    x[:, c + 3] = np.minimum(np.bincount(line_of, w.end - w.start, m) / some / 10, 3)
-    x[:, c + 4] = n_words < 4
-    x[:, c + 5] = size == 0
-    shouting = data[w.end - 1] == 33 if k else np.zeros(0, bool)
-    x[:, c + 6] = np.bincount(line_of, shouting, m) / some
-    x[:, c + 7] = np.minimum(x[:, c + 2] * 4, 1)
+    share = lambda v: (np.bincount(line_of, v, m) / some).astype(np.float32)
+    yield (np.log1p(size) / 5).astype(np.float32)
+    yield share(repeat)
+    echoes = share(echo)
+    yield echoes
+    yield np.minimum(share(w.end - w.start) / 10, 3)
+    yield (n_words < 4).astype(np.float32)
+    yield (size == 0).astype(np.float32)
+    yield share(data[w.end - 1] == 33 if k else np.zeros(0, bool))
+    yield np.minimum(echoes * 4, 1)
+
+
+def line_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines, WIDTH) features, the lengths of the lines in bytes, and the first line of each text: for training."""
+    start, first = lines(data, off)
+    x = np.stack(list(line_columns(data, off, start)), 1)
     before, after = np.zeros_like(x), np.zeros_like(x)
     before[1:], after[:-1] = x[:-1], x[1:]
     top, end = first[:-1], first[1:] - 1
     before[top], after[end] = 0, 0
-    edges = np.zeros((m, 3), np.float32)
+    edges = np.zeros((len(x), 3), np.float32)
     edges[:, 0], edges[top, 1], edges[end, 2] = 1, 1, 1
-    return np.concatenate([x, before, after, edges], axis=1), size, first
+    return np.concatenate([x, before, after, edges], axis=1), np.diff(start), first
+
+
+def line_scores(data: np.ndarray, off: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the features of line_features score by these weights, column by column (three numbers a line are held), the
+    lengths of the lines, and the first line of each text."""
+    start, first = lines(data, off)
+    own, before, after = (np.zeros(len(start) - 1) for _ in range(3))
+    for i, x in enumerate(line_columns(data, off, start)):
+        own += x * emit[i]
+        before += x * emit[OWN + i]
+        after += x * emit[2 * OWN + i]
+    top, end = first[:-1], first[1:] - 1
+    before, after = np.roll(before, 1), np.roll(after, -1)
+    before[top], after[end] = 0, 0
+    own += before
+    own += after
+    own += emit[3 * OWN]
+    own[top] += emit[3 * OWN + 1]
+    own[end] += emit[3 * OWN + 2]
+    return own, np.diff(start), first
+
+
+def forward(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Log forward messages of one long chain (lines, 2): stretches of about the square root of its length side by side,
+    whose transfer matrices are chained first."""
+    n = len(e)
+    step = int(np.sqrt(n)) + 1
+    many = -(-n // step)
+    x = np.concatenate([e, np.zeros((many * step - n, 2))]).reshape(many, step, 2)
+    on = lambda v, k: np.logaddexp(v[..., :1] + t[0], v[..., 1:] + t[1]) + x[:, k]
+    m = np.full((2, many, 2), -np.inf)
+    m[0, :, 0] = m[1, :, 1] = 0
+    for k in range(step):
+        m = np.logaddexp(m[..., :1] + t[0], m[..., 1:] + t[1]) + x[:, k]
+    come = np.zeros((many, 2))
+    v = x[0, 0]
+    for k in range(1, step):
+        v = np.logaddexp(v[0] + t[0], v[1] + t[1]) + x[0, k]
+    for b in range(1, many):
+        come[b] = v
+        v = np.logaddexp(v[0] + m[0, b], v[1] + m[1, b])
+    out, v = np.empty((many, step, 2)), come
+    for k in range(step):
+        v = on(v, k)
+        if not k:
+            v[0] = x[0, 0]
+        out[:, k] = v
+    return out.reshape(-1, 2)[:n]
 
 
 class Field:
@@ -107,11 +169,13 @@ class Field:
         self.emit, self.trans = emit, trans
 
     def marginals(self, x: np.ndarray, first: np.ndarray, pairs: bool = False):
-        """P(bad) of every line; with pairs also the expected steps (2, 2) and the log partition's sum."""
+        """P(bad) of every line; with pairs also the expected steps (2, 2) and the log partition's sum. x: features, or
+        what they score."""
         n = np.diff(first)
         order = np.argsort(-n, kind="stable")
+        order, long = order[n[order] <= LONG], order[n[order] > LONG]
         top, n = first[:-1][order], n[order]
-        score = x @ self.emit
+        score = x @ self.emit if x.ndim == 2 else x
         longest = int(n[0]) if len(n) else 0
         live = np.searchsorted(-n, -np.arange(longest), "left")  # texts with more than t lines
         alpha = np.empty((len(x), 2))
@@ -129,6 +193,10 @@ class Field:
             at = top[: live[k + 1]] + k
             b = beta[at + 1] + e[at + 1]
             beta[at] = np.logaddexp(b[:, :1] + t[:, 0], b[:, 1:] + t[:, 1])
+        for d in long.tolist():
+            at = slice(first[d], first[d + 1])
+            alpha[at] = forward(e[at], t)
+            beta[at] = forward(e[at][::-1], t.T)[::-1] - e[at]
         both = alpha + beta
         p = 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -60, 60)))
         if not pairs:
@@ -219,8 +287,8 @@ def score(docs: DataFrame, trained: tuple[Field, float, float] | None, id_col: s
     field, a, b = trained
 
     def run(batch: pa.RecordBatch):
-        x, size, first = line_features(*raw(batch.column(1)))
-        p = field.marginals(x.astype(float), first)
+        x, size, first = line_scores(*raw(batch.column(1)), field.emit)
+        p = field.marginals(x, first)
         q = good_share(p, size, first)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(a * q + b, -30, 30)))), pa.array(q), pa.array(np.diff(first), pa.int64()), pa.array(np.add.reduceat((p > 0.5).astype(np.int64), first[:-1]), pa.int64())],

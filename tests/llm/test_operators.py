@@ -627,6 +627,27 @@ def test_classifiers_without_labels_or_texts(spark, texts):
     assert len(out) == len(texts) and all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_long_chains_and_scores_by_column(texts, monkeypatch):
+    rng = np.random.default_rng(7)
+    some = [t or "" for t in texts[:40]] + ["\n" * 3000 + "end", "a\n\nb"]
+    data, off = textkernel.raw(pa.array([t for t in some]))
+    f = quality.Field(rng.normal(size=quality.WIDTH), rng.normal(size=(2, 2)))
+    x, size, first = quality.line_features(data, off)
+    y, size2, first2 = quality.line_scores(data, off, f.emit)
+    assert np.allclose(x @ f.emit, y, atol=1e-4) and (size == size2).all() and (first == first2).all()
+    assert np.diff(first).tolist() == [t.count("\n") + 1 for t in some]
+    want = f.marginals(y, first)
+    monkeypatch.setattr(quality, "LONG", 2)
+    assert np.allclose(f.marginals(y, first), want, atol=1e-9)
+
+
+def test_a_very_long_text_of_line_ends():
+    data, off = np.full(3_000_000, 10, np.uint8), np.array([0, 3_000_000])
+    f = quality.Field(np.ones(quality.WIDTH) / 9, np.array([[1.0, -1], [-1, 1]]))
+    y, size, first = quality.line_scores(data, off, f.emit)
+    assert len(y) == 3_000_001 and 0 <= quality.good_share(f.marginals(y, first), size, first)[0] <= 1
+
+
 def test_crf_marginals_against_enumeration():
     from itertools import product
 
