@@ -11,7 +11,7 @@
    (pigeonhole). A set with at most e empty blocks sends only its other blocks, the rest send all: either way two linked
    sets meet in a block that both send. Blocks go as 64-bit sums over GF(2) of one random word for each set bit.
 4. Nodes of a block with few are paired; a linked pair meets in as many blocks as step 3 says, or in a larger block,
-   so others go. Nodes that are left, and those of a larger block, are compared by whole parity sketches, whose Hamming distance is at most the symmetric
+   so others go. Larger blocks of the same nodes are one set. Nodes that are left, and those of a set, are compared by whole parity sketches, whose Hamming distance is at most the symmetric
    difference: pair by pair in blocks of few nodes, breadth first in larger ones. What stays are candidates; their
    components hold every true link. Large ones are split into chunks, each pair of chunks a task of bounded size.
 5. A task verifies exactly: breadth first over the sets, skipping by size and by Hamming distance, intersecting the rest.
@@ -41,12 +41,12 @@ from .textkernel import LOWER, SOLID, mix, raw, whole, windows, words
 REACH = 3
 OWN = 4
 BITS = 4096
-FEW = 8
+#: Blocks of up to so many nodes are paired, which makes no more pairs than nodes.
+FEW = 3
 CHUNK = 4096
 _WORD = mix(np.arange(1, BITS + 1, dtype=np.uint64))
 SLICE = 1 << 20
 PAIR = np.dtype([("key", "<u8"), ("node", "<u8")])
-COUPLE = np.dtype([("a", "<i8"), ("b", "<i8")])
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int, table: np.ndarray = SOLID) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +169,12 @@ def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Band
 
 
 def meetings(records: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(0, a, b, times) for all pairs of blocks with few nodes, (block, node, null, 1) for those of larger blocks."""
-    records = np.unique(records[np.lexsort((records["node"], records["key"]))])
+    """(0, a, b, times) for all pairs of blocks with few nodes, (set, node, null, 1) for those of larger blocks: blocks with
+    the same nodes, as near copies have many, are one set, named by its nodes."""
+    records = records[np.lexsort((records["node"], records["key"]))]
+    again = np.zeros(len(records), bool)
+    again[1:] = records[1:] == records[:-1]
+    records = records[~again]
     key, node = records["key"], records["node"].astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     size = np.diff(cuts)
@@ -178,17 +182,24 @@ def meetings(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     for n in range(2, FEW + 1):
         first = cuts[:-1][size == n]
         pairs += [np.stack([node[first + i], node[first + j]], 1) for i in range(n) for j in range(i + 1, n)]
-    pairs, times = np.unique(np.concatenate(pairs).view(COUPLE).ravel(), return_counts=True)
-    pairs = pairs.view(np.int64).reshape(-1, 2)
+    pairs, times = _distinct(np.concatenate(pairs))
     many = np.repeat(size > FEW, size)
-    rest = key[many].view(np.int64) | 1
-    for block, left, right, n in ((np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1], times), (rest, node[many], None, np.ones(len(rest), np.int64))):
+    names = mix(_sums(mix(node.astype(np.uint64)), cuts) + size.astype(np.uint64)).view(np.int64) | 1
+    sets, _ = _distinct(np.stack([np.repeat(names, size)[many], node[many]], 1))
+    for block, left, right, n in ((np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1], times), (sets[:, 0], sets[:, 1], None, np.ones(len(sets), np.int64))):
         for i in range(0, len(block), 100_000):
-            part = [x[i : i + 100_000] for x in (block, left)]
-            other = pa.nulls(len(part[0]), pa.int64()) if right is None else pa.array(right[i : i + 100_000])
+            part = [np.ascontiguousarray(x[i : i + 100_000]) for x in (block, left)]
+            other = pa.nulls(len(part[0]), pa.int64()) if right is None else pa.array(np.ascontiguousarray(right[i : i + 100_000]))
             yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), other, pa.array(n[i : i + 100_000])], names=["block", "a", "b", "times"])
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows of two columns, and how often each stands."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    head = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
+    return rows[head], np.diff(np.append(head, len(rows)))
+
+
 def sketches(val: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parity sketches of two to four bits a shingle, one after another, and their offsets; lengths are powers of two
     words, so a longer one folds onto a shorter one."""
@@ -322,7 +333,7 @@ def _members(docs: DataFrame, n: int, t: tuple[int, int], chunk: int) -> DataFra
             found += [(0, k) for h, k in zip(held, range(len(held)), strict=True) if k and (h[2] or held[0][2])]
             yield pa.RecordBatch.from_arrays([pa.array([held[p[i]][0] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    large = met.where("block <> 0").select("block", "a").join(size_of("a"), "a").join(sketch_of("a"), "a").select("block", "a", "n_a", "m_a", "s_a")
+    large = met.where("block <> 0").select("block", "a").distinct().join(size_of("a"), "a").join(sketch_of("a"), "a").select("block", "a", "n_a", "m_a", "s_a")
     large = large.repartition(parts, "block").sortWithinPartitions("block", F.desc("m_a"), "a").mapInArrow(within, "a long, b long")
     member = written(components(pairs.unionByName(large)), "candidates")
     forget(met)

@@ -322,6 +322,8 @@ def test_block_meetings_lose_no_pair():
     rec = np.array([(1, 5), (1, 6), (1, 6), (2, 7), *[(3, k) for k in range(20)]], jaccard.PAIR)
     rows = [r for b in jaccard.meetings(rec) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
     assert (0, 5, 6, 1) in rows and sorted(a for k, a, *_ in rows if k) == list(range(20)) and len(rows) == 21
+    twice = np.concatenate([rec, np.array([(4, k) for k in range(20)], jaccard.PAIR)])  # a second block of the same nodes
+    assert sum(b.num_rows for b in jaccard.meetings(twice)) == 21
 
 
 def test_components(spark):
