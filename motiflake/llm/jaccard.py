@@ -7,13 +7,17 @@
 2. Sizes are cut into bands that overlap, so that every two sets that can link share one (see Bands). In a band, sets
    that link differ in at most d shingles (|A - B| + |B - A| <= (1 - t) / t * smaller).
 3. A band's sketch has d + 1 + e blocks of BITS bits; each shingle flips one bit of one block (parity), so the Hamming
-   distance of two sketches is at most the symmetric difference, and of linked sets at least 1 + e blocks are equal
-   (pigeonhole). A set with at most e empty blocks sends only its other blocks, the rest send all: either way two linked
-   sets meet in a block that both send. Blocks go as 64-bit sums over GF(2) of one random word for each set bit.
+   distance of two sketches is at most the symmetric difference, and a set of c filled blocks that may differ in d' <= d
+   shingles agrees with a linked one in c - d' of them (pigeonhole). Blocks are sent in one order for all sets, those of
+   many shingles first, as one common shingle alone is in many texts: if a set sends the first d' + k of its filled
+   blocks (k is SURE, or c - d' if that is less), the first k that two linked sets share are among those of both, since
+   at most d' others of a set stand before the last of them. A set with c <= d' sends every block, empty ones too.
+   Blocks go as 64-bit sums over GF(2) of one random word for each set bit.
 4. Nodes of a block with few are paired; a linked pair meets in as many blocks as step 3 says, or in a larger block,
-   so others go. Larger blocks of the same nodes are one set. Nodes that are left, and those of a set, are compared by whole parity sketches, whose Hamming distance is at most the symmetric
-   difference: pair by pair in blocks of few nodes, breadth first in larger ones. What stays are candidates; their
-   components hold every true link. Large ones are split into chunks, each pair of chunks a task of bounded size.
+   so others go. Larger blocks of the same nodes are one set. Nodes that are left, and those of a set, are compared by
+   whole parity sketches, whose Hamming distance is at most the symmetric difference: pair by pair in blocks of few
+   nodes, breadth first in larger ones. What stays are candidates; their components hold every true link. Large ones are
+   split into chunks, each pair of chunks a task of bounded size.
 5. A task verifies exactly: breadth first over the sets, skipping by size and by Hamming distance, intersecting the rest.
 
 Defined results: texts without words (and null) have an empty set and link with nothing; fewer words than a shingle are
@@ -43,6 +47,8 @@ OWN = 4
 BITS = 4096
 #: Blocks of up to so many nodes are paired, which makes no more pairs than nodes.
 FEW = 3
+#: Linked sets share so many of the blocks they send, or all that they must share if that is less.
+SURE = 4
 CHUNK = 4096
 _WORD = mix(np.arange(1, BITS + 1, dtype=np.uint64))
 SLICE = 1 << 20
@@ -101,15 +107,15 @@ class Bands:
         self.own = OWN if t < 0.85 else 3 * OWN
         self.kept: dict[int, tuple[int, int]] = {}
 
-    def differ(self, smaller: int) -> int:
-        return math.floor((1 - self.t) / self.t * smaller + 1e-9)
+    def differ(self, smaller: np.ndarray | int) -> np.ndarray | int:
+        return np.floor((1 - self.t) / self.t * smaller + 1e-9).astype(np.int64)
 
     def blocks(self, band: int) -> tuple[int, int]:
         """Blocks of a band and how many of them may be empty, so that hardly any set has more empty ones: n items fall
         into b blocks, of which about b * exp(-n / b) stay empty (the variance of that is of an occupancy)."""
         if band not in self.kept:
             low = int(self.edges[min(band * self.own, len(self.edges) - 1)])
-            d = self.differ(int(self.edges[min((band + 1) * self.own + REACH, len(self.edges) - 1)]) - 1)
+            d = int(self.differ(int(self.edges[min((band + 1) * self.own + REACH, len(self.edges) - 1)]) - 1))
             b = d + 1
             while d and b < 4 * low:
                 p = math.exp(-low / b)
@@ -130,8 +136,8 @@ class Bands:
 
 
 def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """The (block key, node) records of a batch of sets; and for each set how many of its blocks at least a linked one
-    shares: its blocks that aren't empty, less those that d differences can touch, in the band where that is least."""
+    """The (block key, node) records of a batch of sets; and for each set how many sent blocks at least a linked one
+    shares, in the band where that is least."""
     sizes, out, need = np.diff(first), [], np.full(len(first) - 1, 1 << 30)
     if not len(val):
         return np.zeros(0, PAIR), np.ones_like(need)
@@ -139,7 +145,7 @@ def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Band
         which = which[sizes[which] > 0]
         if not len(which):
             continue
-        n, spare = bands.blocks(band)
+        n, _ = bands.blocks(band)
         n_of = sizes[which]
         take = np.repeat(first[which] - np.concatenate([[0], np.cumsum(n_of)[:-1]]), n_of) + np.arange(n_of.sum())
         v = val[take]
@@ -149,10 +155,18 @@ def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Band
         order = np.argsort(cell, kind="stable")
         cell = cell[order]
         head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        sums, cells = np.bitwise_xor.reduceat(bit[order], head), cell[head]
-        empties = n - np.bincount(cells // n, minlength=len(which))
-        bare = np.flatnonzero(empties > spare)
-        need[which] = np.minimum(need[which], np.maximum(1, spare + 1 - empties))
+        sums, cells, held = np.bitwise_xor.reduceat(bit[order], head), cell[head], np.diff(np.append(head, len(cell)))
+        there = np.bincount(cells // n, minlength=len(which))
+        differ = bands.differ(n_of)
+        bare = np.flatnonzero(there <= differ)
+        sure = np.clip(there - differ, 1, SURE)
+        need[which] = np.minimum(need[which], sure)
+        most = np.where(there <= differ, n, differ + sure)
+        key = mix(sums + mix(np.uint64(band << 32) + (cells % n).astype(np.uint64)))
+        order = np.lexsort((key, -held, cells // n))  # in a set, blocks of many shingles come first
+        rank = np.arange(len(cells)) - np.repeat(np.cumsum(there) - there, there)
+        order = order[rank < most[cells // n]]
+        key, rows = key[order], (cells // n)[order]
         if len(bare):  # these send their empty blocks too
             have = np.zeros((len(bare), n), bool)
             of = np.full(len(which), -1)
@@ -160,10 +174,9 @@ def block_keys(val: np.ndarray, first: np.ndarray, node: np.ndarray, bands: Band
             inside = of[cells // n] >= 0
             have[of[cells[inside] // n], cells[inside] % n] = True
             r, c = np.nonzero(~have)
-            cells, sums = np.concatenate([cells, bare[r] * n + c]), np.concatenate([sums, np.zeros(len(r), np.uint64)])
-        rec = np.empty(len(cells), PAIR)
-        rec["key"] = mix(sums + mix(np.uint64(band << 32) + (cells % n).astype(np.uint64)))
-        rec["node"] = node[which][cells // n]
+            key, rows = np.concatenate([key, mix(mix(np.uint64(band << 32) + c.astype(np.uint64)))]), np.concatenate([rows, bare[r]])
+        rec = np.empty(len(key), PAIR)
+        rec["key"], rec["node"] = key, node[which][rows]
         out.append(rec)
     return np.concatenate(out) if out else np.zeros(0, PAIR), np.where(need == 1 << 30, 1, need)
 

@@ -318,6 +318,42 @@ def test_sketches_bound_the_difference():
     assert all(find(i) == find(int(exact[i])) for i in range(len(sets)))
 
 
+def test_linked_sets_share_sent_blocks():
+    rng = np.random.default_rng(11)
+    for t_num, t_den in ((9, 10), (4, 5), (1, 2)):
+        bands, sets = jaccard.Bands(t_num / t_den), []
+        for size in (1, 2, 4, 5, 9, 10, 11, 40, 100, 300, 900):
+            core = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            most = int(bands.differ(size))
+            for gone in sorted({0, 1, most // 2, most}):
+                for more in sorted({0, 1, most - gone, most}):
+                    sets.append(np.unique(np.concatenate([core[gone:], rng.integers(0, 1 << 63, max(0, more), dtype=np.uint64)])))
+        sets = [x for x in sets if len(x)]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        rec, need = jaccard.block_keys(np.concatenate(sets), first, np.arange(len(sets), dtype=np.uint64), bands)
+        keys = [set(rec["key"][rec["node"] == i].tolist()) for i in range(len(sets))]
+        linked = 0
+        for i in range(len(sets)):
+            for j in range(i):
+                same = len(np.intersect1d(sets[i], sets[j]))
+                if same and t_den * same >= t_num * (len(sets[i]) + len(sets[j]) - same):
+                    linked += 1
+                    assert len(keys[i] & keys[j]) >= max(need[i], need[j]) >= 1
+        assert linked > len(sets)
+
+
+def test_common_shingles_alone_bring_no_meetings():
+    def meet(n):
+        rng = np.random.default_rng(5)
+        common = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(common, 20, replace=False), rng.integers(0, 1 << 63, 230, dtype=np.uint64)])) for _ in range(n)]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        rec, _ = jaccard.block_keys(np.concatenate(sets), first, np.arange(n, dtype=np.uint64), jaccard.Bands(0.8))
+        return sum(b.num_rows for b in jaccard.meetings(rec))
+
+    assert meet(2000) < 200  # two sets share a shingle or so, and no more
+
+
 def test_block_meetings_lose_no_pair():
     rec = np.array([(1, 5), (1, 6), (1, 6), (2, 7), *[(3, k) for k in range(20)]], jaccard.PAIR)
     rows = [r for b in jaccard.meetings(rec) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
