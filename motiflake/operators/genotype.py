@@ -69,11 +69,16 @@ def gaussian(column: str) -> tuple[Column, Column]:
     return F.avg(column), F.var_pop(column)
 
 
+#: A sequence is cut into pieces of so many k-mers: finding a place in a text costs as much as the text before it.
+PIECE = 64
+
+
 def kmers(df: DataFrame, seq: str, k: int, group: list[str]) -> DataFrame:
     """How often each k-mer of A, C, G and T stands in the sequences of a group."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1)))
-    each = df.where(F.length(seq) >= k).select(*group, F.explode(F.transform(at, lambda i: F.substr(F.col(seq), i, F.lit(k)))).alias("kmer"))
-    return each.where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).groupBy(*group, "kmer").agg(F.count("*").alias("n"))
+    runs = f"(?=([ACGT]{{{k},{PIECE + k - 1}}}))[ACGT]{{1,{PIECE}}}"  # each goes on for k - 1 letters of the next
+    piece = df.select(*group, F.explode(F.regexp_extract_all(seq, F.lit(runs), F.lit(1))).alias("_p"))
+    each = piece.select(*group, F.explode(F.transform(F.sequence(F.lit(1), F.length("_p") - k + 1), lambda i: F.substr(F.col("_p"), i, F.lit(k)))).alias("kmer"))
+    return each.groupBy(*group, "kmer").agg(F.count("*").alias("n"))
 
 
 def methylation(df: DataFrame, group: list[str], allele: str, m: str) -> DataFrame:

@@ -1,10 +1,17 @@
 """Work and results that small tables don't show: what a step costs by its input, and values beyond the small scales."""
 
 import sys
+import time
+from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from motiflake.kernels import em
+from motiflake.operators import genotype, intervals
+from motiflake.plans import formats
+from motiflake.sinks import vcf
 
 
 def calls_of(run) -> int:
@@ -27,3 +34,13 @@ def test_bootstraps_of_one_allele_are_not_looked_at_one_by_one():
     cn, w = [10, 11, 11, 12, 10, 12, 11], np.ones(7)
     few, many = (calls_of(lambda b=b: em.call_alleles(cn, w, 1, 3, em.Settings(bootstraps=b))) for b in (50, 400))
     assert many < 2 * few
+
+
+def test_kmers_of_a_long_text(spark):
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("ACGTACGTACGTN\n\u00e9"), 400_000))
+    text += "ACG" * 90 + "xAC" + "GT" * 70
+    began = time.perf_counter()
+    got = {r["kmer"]: r["n"] for r in genotype.kmers(spark.createDataFrame([("a", text), ("a", "AC"), ("a", None)], "g string, s string"), "s", 4, ["g"]).collect()}
+    assert time.perf_counter() - began < 30  # places were sought from the start of the text, with the square of its length
+    assert got == {k: n for k, n in Counter(text[i : i + 4] for i in range(len(text) - 3)).items() if set(k) <= set("ACGT")}
