@@ -51,21 +51,38 @@ def levelled(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
     return x.select(*df.columns, F.col("_z.level").alias("_level"), F.col("_z.bin").alias("_bin"), F.col("_z.own").alias("_own"))
 
 
-def overlap_keys(a: DataFrame, key: str, b: DataFrame, contig: tuple[str, str], a_span: tuple[str, str], b_span: tuple[str, str], width: int = WIDTH) -> DataFrame:
-    """The distinct keys of a that overlap something in b."""
-    (s, e), (t, u) = a_span, b_span
-    x = levelled(a.select(key, contig[0], s, e), s, e, width)
-    y = levelled(b.select(contig[1], t, u), t, u, width).withColumnsRenamed({"_level": "_level2", "_bin": "_bin2", "_own": "_own2"})
-    on = (F.col(contig[0]) == F.col(contig[1])) & (F.col("_level") == F.col("_level2")) & (F.col("_bin") == F.col("_bin2")) & (F.col("_own") | F.col("_own2")) & (F.col(s) < F.col(u)) & (F.col(t) < F.col(e))
-    return x.join(y, on, "left_semi").select(key).distinct()
-
+#: Places of a contig that are ordered in one task.
+SPAN = 1 << 16
 
-def semi(a: DataFrame, key: str, b: DataFrame, *spans, width: int = WIDTH) -> DataFrame:
-    return a.join(overlap_keys(a, key, b, *spans, width=width), key, "left_semi")
 
-
-def anti(a: DataFrame, key: str, b: DataFrame, *spans, width: int = WIDTH) -> DataFrame:
-    return a.join(overlap_keys(a, key, b, *spans, width=width), key, "left_anti")
+def overlap_keys(a: DataFrame, key: str, b: DataFrame, contig: tuple[str, str], a_span: tuple[str, str], b_span: tuple[str, str], span: int = SPAN) -> DataFrame:
+    """The distinct keys of a that overlap something in b, by counts and not by pairs: what starts before an interval's
+    end, less what has ended by its start, overlaps it. Running counts are of different places (whole numbers), within
+    spans of a contig, so neither long intervals nor many at one place cost more than their rows."""
+    (s, e), (t, u) = a_span, b_span
+    mark = lambda at, starts, ends: F.struct(at.cast("long").alias("at"), F.lit(starts).cast("long").alias("s"), F.lit(ends).cast("long").alias("e"))
+    probe = lambda at, sign: F.struct(at.cast("long").alias("at"), F.lit(sign).alias("sign"))
+    asked = a.where(F.col(s) < F.col(e)).select(F.col(key), F.col(contig[0]).alias("_c"), F.explode(F.array(probe(F.col(e) - 1, 1), probe(F.col(s), -1))).alias("_z"))
+    asked = asked.select(key, "_c", F.col("_z.at").alias("_at"), F.col("_z.sign").alias("_sign"))
+    marks = b.where(F.col(t) < F.col(u)).select(F.col(contig[1]).alias("_c"), F.explode(F.array(mark(F.col(t), 1, 0), mark(F.col(u), 0, 1))).alias("_z"))
+    marks = marks.select("_c", "_z.*").unionByName(asked.select("_c", F.col("_at").alias("at"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e")))
+    marks = marks.groupBy("_c", "at").agg(F.sum("s").alias("s"), F.sum("e").alias("e")).withColumn("_part", F.floor(F.col("at") / span))
+    before = Window.partitionBy("_c").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    parts = marks.groupBy("_c", "_part").agg(F.sum("s").alias("_s"), F.sum("e").alias("_e"))
+    parts = parts.select("_c", "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_s", "_e")])
+    upto = Window.partitionBy("_c", "_part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counts = marks.select("_c", "_part", F.col("at").alias("_at"), *[F.sum(c).over(upto).alias(c) for c in ("s", "e")]).join(parts, ["_c", "_part"])
+    counts = counts.select("_c", "_at", (F.col("s") + F.col("_s")).alias("s"), (F.col("e") + F.col("_e")).alias("e"))
+    each = asked.join(counts.hint("merge"), ["_c", "_at"]).select(key, F.when(F.col("_sign") > 0, F.col("s")).otherwise(-F.col("e")).alias("_n"))
+    return each.groupBy(key).agg(F.sum("_n").alias("_n")).where("_n > 0").select(key)
+
+
+def semi(a: DataFrame, key: str, b: DataFrame, *spans, width: int = SPAN) -> DataFrame:
+    return a.join(overlap_keys(a, key, b, *spans, span=width).hint("merge"), key, "left_semi")
+
+
+def anti(a: DataFrame, key: str, b: DataFrame, *spans, width: int = SPAN) -> DataFrame:
+    return a.join(overlap_keys(a, key, b, *spans, span=width).hint("merge"), key, "left_anti")
 
 
 def first_match(pairs: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -44,3 +44,17 @@ def test_kmers_of_a_long_text(spark):
     got = {r["kmer"]: r["n"] for r in genotype.kmers(spark.createDataFrame([("a", text), ("a", "AC"), ("a", None)], "g string, s string"), "s", 4, ["g"]).collect()}
     assert time.perf_counter() - began < 30  # places were sought from the start of the text, with the square of its length
     assert got == {k: n for k, n in Counter(text[i : i + 4] for i in range(len(text) - 3)).items() if set(k) <= set("ACGT")}
+
+
+SPANS = (("contig", "contig2"), ("start", "end"), ("s", "e"))
+
+
+@pytest.mark.parametrize("width", [64, 1 << 16])
+def test_overlaps_of_dense_intervals_are_counted(spark, width):
+    """All intervals lie in one wide bin and few overlap: pairs of a bin would be 900 million, counts are 60,000 rows."""
+    a = spark.range(30_000).selectExpr("id i", "'a' contig", "id * 10 start", "id * 10 + 1 + id % 3 `end`")
+    b = spark.range(30_000).selectExpr("'a' contig2", "id * 10 + 2 s", "id * 10 + 5 e")
+    began = time.perf_counter()
+    assert intervals.semi(a, "i", b, *SPANS, width=width).agg(F.count("*"), F.sum(F.col("i") % 3)).first() == (10_000, 20_000)
+    assert intervals.anti(a, "i", b, *SPANS, width=width).agg(F.count("*"), F.max(F.col("i") % 3)).first() == (20_000, 1)
+    assert time.perf_counter() - began < 20
