@@ -58,3 +58,10 @@ def test_overlaps_of_dense_intervals_are_counted(spark, width):
     assert intervals.semi(a, "i", b, *SPANS, width=width).agg(F.count("*"), F.sum(F.col("i") % 3)).first() == (10_000, 20_000)
     assert intervals.anti(a, "i", b, *SPANS, width=width).agg(F.count("*"), F.max(F.col("i") % 3)).first() == (20_000, 1)
     assert time.perf_counter() - began < 20
+
+
+def test_partly_covered_loci_need_no_table_on_the_driver(spark, small):
+    from motiflake.plans.queries import QUERIES
+
+    plan = QUERIES["p04_should_skip_locus"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and all("strategy=merge" in x for x in plan.splitlines() if "Join Left" in x)
