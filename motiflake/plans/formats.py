@@ -55,11 +55,12 @@ def interval_bed_all(spark, sf):
 
 
 def dat_lines(spark, sf):
+    """A section for each contig, its rows from the last place to the first: a section has room for 10**15 lines."""
     loci = fixture(spark, sf, "loci")
     n = "cast(substr(contig,4) as bigint)"
-    head = loci.groupBy("contig").agg(F.max("start_pos").alias("m")).selectExpr(f"{n}*100000000L line", "concat('Sequence: ',contig) value")
+    head = loci.groupBy("contig").agg(F.max("start_pos").alias("m")).selectExpr(f"{n}*1000000000000000L line", "concat('Sequence: ',contig) value")
     noise = head.selectExpr("line+1 line", "'Parameters: 2 7 7 80 10 50 500' value")
-    row = loci.selectExpr(f"{n}*100000000L + 90000000L - end_pos*100 - locus_index%100 line", "concat(start_pos+1,' ',end_pos,' ',length(motif),' 2.5 3 90 5 50 20 30 30 20 1.9 ',motif,' ',repeat(motif,2)) value")
+    row = loci.selectExpr(f"{n}*1000000000000000L + 900000000000000L - end_pos*100 - locus_index%100 line", "concat(start_pos+1,' ',end_pos,' ',length(motif),' 2.5 3 90 5 50 20 30 30 20 1.9 ',motif,' ',repeat(motif,2)) value")
     return head.unionByName(noise).unionByName(row)
 
 

@@ -65,3 +65,12 @@ def test_partly_covered_loci_need_no_table_on_the_driver(spark, small):
 
     plan = QUERIES["p04_should_skip_locus"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftAnti" in plan and all("strategy=merge" in x for x in plan.splitlines() if "Join Left" in x)
+
+
+def test_sections_of_far_loci(spark, tmp_path):
+    keys = list(range(3_000_000, 3_000_044))
+    spark.createDataFrame([(k, 7) for k in keys], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    want = {(f"chr{k % 22 + 1}", k // 22 * 40 + 30_000) for k in keys}
+    assert {(r["contig"], r["start_pos"]) for r in formats.trf_dat(spark, str(tmp_path)).collect()} == want
+    got = [(r["contig"], r["start_pos"]) for r in sorted(formats.trf_dat_sorted(spark, str(tmp_path)).collect(), key=lambda r: r["place"])]
+    assert got == sorted(want, key=lambda x: (int(x[0][3:]), x[1]))
