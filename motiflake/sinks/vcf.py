@@ -45,22 +45,27 @@ def header(contigs: list[tuple[str, int]], sample: str, meta: dict[str, str] | N
     return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])]
 
 
-def alleles(ref_anchor: Column, ref_seq: Column, anchors: Column, seqs: Column, n_alleles: Column, anchor_size: int, cons: Column | None = None) -> Column:
-    """struct<offset, ref, alts, gt, ancl, cons>: anchors without their common prefix (a base stays), distinct sorted
-    alternatives with "*" for a deletion of everything, the genotype's indices, and the alternatives' anchor lengths
-    (the reference's first) and methods. One sequence stands for all alleles."""
+def with_alleles(x: DataFrame, anchor_size: int) -> DataFrame:
+    """Adds _offset, _ref, _alts, _gt, _ancl and _cons to rows with ref_anchor, ref_seq, anchors, seqs, n_alleles and
+    cons: anchors without their common prefix (a base stays), distinct sorted alternatives with "*" for a deletion of
+    everything, the genotype's indices, and the alternatives' anchor lengths (the reference's first) and methods. One
+    sequence stands for all alleles.
+
+    Each is a column of its own: nested in one expression, every use of an earlier one would be a copy of its whole tree.
+    """
     up = lambda a: F.transform(a, F.upper)
-    offset = F.least(F.length(S.common_prefix(F.concat(F.array(F.upper(ref_anchor)), up(anchors)))), F.lit(anchor_size - 1))
-    how = cons if cons is not None else F.transform(seqs, lambda s: F.lit("."))
-    pairs = F.transform(F.arrays_zip(up(anchors).alias("a"), up(seqs).alias("s"), how.alias("m")), lambda z: F.struct(F.concat(F.substr(z["a"], offset + 1), z["s"]).alias("x"), F.greatest(F.length(z["a"]) - offset, F.lit(0)).alias("n"), z["m"].alias("m")))
-    full = F.when(F.size(pairs) < n_alleles, F.array_repeat(F.get(pairs, F.lit(0)), n_alleles)).otherwise(pairs)
-    ref = F.concat(F.substr(F.upper(ref_anchor), offset + 1), F.upper(ref_seq))
-    alts = F.array_sort(F.array_distinct(F.transform(F.filter(full, lambda p: p["x"] != ref), lambda p: p["x"])))
-    gt = F.transform(full, lambda p: F.when(p["x"] == ref, F.lit(0)).otherwise(F.array_position(alts, p["x"]).cast("int")))
-    shown = F.when(F.size(alts) == 0, F.array(F.lit("."))).otherwise(F.transform(alts, lambda x: F.when(x == "", F.lit("*")).otherwise(x)))
-    first = lambda x, k: F.get(F.filter(full, lambda p: p["x"] == x), F.lit(0))[k]
-    ancl = F.concat(F.array(F.length(ref_anchor) - offset), F.transform(alts, lambda x: first(x, "n")))
-    return F.struct(offset.alias("offset"), ref.alias("ref"), shown.alias("alts"), gt.alias("gt"), ancl.alias("ancl"), F.transform(alts, lambda x: first(x, "m")).alias("cons"))
+    x = x.withColumns({"_ua": up("anchors"), "_us": up("seqs"), "_ur": F.upper("ref_anchor")})
+    x = x.withColumn("_offset", F.least(F.length(S.common_prefix(F.concat(F.array("_ur"), "_ua"))), F.lit(anchor_size - 1)))
+    pairs = F.transform(F.arrays_zip(F.col("_ua").alias("a"), F.col("_us").alias("s"), F.col("cons").alias("m")), lambda z: F.struct(F.concat(F.substr(z["a"], F.col("_offset") + 1), z["s"]).alias("x"), F.greatest(F.length(z["a"]) - F.col("_offset"), F.lit(0)).alias("n"), z["m"].alias("m")))
+    x = x.withColumns({"_ref": F.concat(F.substr("_ur", F.col("_offset") + 1), F.upper("ref_seq")), "_pairs": pairs})
+    x = x.withColumn("_full", F.when(F.size("_pairs") < F.col("n_alleles"), F.array_repeat(F.get("_pairs", F.lit(0)), F.col("n_alleles"))).otherwise(F.col("_pairs")))
+    x = x.withColumn("_other", F.array_sort(F.array_distinct(F.transform(F.filter("_full", lambda p: p["x"] != F.col("_ref")), lambda p: p["x"]))))
+    first = lambda a, k: F.get(F.filter("_full", lambda p: p["x"] == a), F.lit(0))[k]
+    return x.withColumns({
+        "_gt": F.transform("_full", lambda p: F.when(p["x"] == F.col("_ref"), F.lit(0)).otherwise(F.array_position("_other", p["x"]).cast("int"))),
+        "_alts": F.when(F.size("_other") == 0, F.array(F.lit("."))).otherwise(F.transform("_other", lambda a: F.when(a == "", F.lit("*")).otherwise(a))),
+        "_ancl": F.concat(F.array(F.length("ref_anchor") - F.col("_offset")), F.transform("_other", lambda a: first(a, "n"))), "_cons": F.transform("_other", lambda a: first(a, "m")),
+    })
 
 
 #: Columns that a called locus may lack.
@@ -77,27 +82,26 @@ def lines(called: DataFrame, anchor_size: int = 5, methylation: bool = False) ->
     x = called.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in called.columns})
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     x = x.withColumns({"seqs": none("seqs", "array<string>"), "anchors": none("anchors", "array<string>"), "cns": none("cns", "array<array<int>>"), "lens": none("lens", "array<array<int>>")})
-    how = F.coalesce("cons", F.transform("seqs", lambda s: F.lit(".")))
-    x = x.withColumn("_a", alleles(F.col("ref_anchor"), F.col("ref_seq"), F.col("anchors"), F.col("seqs"), F.col("n_alleles"), anchor_size, how))
-    pos = F.coalesce("start_adj", "start") - F.length("ref_anchor") + F.col("_a.offset") + 1
+    x = with_alleles(x.withColumn("cons", F.coalesce("cons", F.transform("seqs", lambda s: F.lit(".")))), anchor_size)
+    pos = F.coalesce("start_adj", "start") - F.length("ref_anchor") + F.col("_offset") + 1
     text = lambda c: F.coalesce(c.cast("string"), F.lit("."))
     many = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_join(c, ",")).otherwise(".")
     annot = F.when(F.size("annotations") > 0, F.concat(F.lit(";ANNOT="), F.array_join("annotations", ","))).otherwise("")
-    info = F.concat(F.lit("VT=str;MOTIF="), "motif", F.lit(";REFMC="), text(F.col("ref_cn")), F.lit(";BED_START="), text(F.col("start")), F.lit(";BED_END="), text(F.col("end")), F.lit(";ANCH="), text(anchor_size - F.col("_a.offset")), annot)
+    info = F.concat(F.lit("VT=str;MOTIF="), "motif", F.lit(";REFMC="), text(F.col("ref_cn")), F.lit(";BED_START="), text(F.col("start")), F.lit(";BED_END="), text(F.col("end")), F.lit(";ANCH="), text(anchor_size - F.col("_offset")), annot)
     sep = F.when(F.col("ps").isNull(), "/").otherwise("|")
     called_here = F.col("call").isNotNull() & (F.size("seqs") > 0)
-    gt = F.when(called_here, F.transform("_a.gt", lambda g: g.cast("string"))).otherwise(F.array_repeat(F.lit("."), F.col("n_alleles").cast("int")))
+    gt = F.when(called_here, F.transform("_gt", lambda g: g.cast("string"))).otherwise(F.array_repeat(F.lit("."), F.col("n_alleles").cast("int")))
     n = F.transform("cns", F.size)
     total = F.aggregate(n, F.lit(0), lambda a, b: a + b)
     fields = {
         "GT": F.array_join(gt, "@"), "PM": text(F.col("method")), "NSNV": text(F.col("n_snvs")), "DP": text(F.coalesce("depth", total)), "MMAS": text(F.round("mean_score", 6)),
         "DPS": F.when(called_here, text(total)).otherwise("."), "AD": many(n), "MC": many(F.transform("call", text)),
-        "MCCI": many(F.transform("ci95", lambda c: F.concat(text(c["lo"]), F.lit("-"), text(c["hi"])))), "ANCL": F.when(called_here, many(F.col("_a.ancl"))).otherwise("."), "CONS": many(F.col("_a.cons")),
+        "MCCI": many(F.transform("ci95", lambda c: F.concat(text(c["lo"]), F.lit("-"), text(c["hi"])))), "ANCL": F.when(called_here, many(F.col("_ancl"))).otherwise("."), "CONS": many(F.col("_cons")),
         "MCRL": many(F.transform("cns", histogram_text)), "SLR": many(F.transform("lens", histogram_text)),
         **({k: many(F.transform(c, lambda v: text(F.round(v, 6)))) for k, c in (("AM", "am"), ("AMC", "amc"))} if methylation else {}), "PS": text(F.col("ps")),
     }
     sample = F.concat_ws(":", *fields.values())
-    line = F.concat_ws("\t", "contig", text(pos), "locus_id", "_a.ref", F.array_join("_a.alts", ","), F.lit("."), F.lit("."), info, F.lit(":".join(fields)), F.replace(sample, F.lit("@"), sep))
+    line = F.concat_ws("\t", "contig", text(pos), "locus_id", "_ref", F.array_join("_alts", ","), F.lit("."), F.lit("."), info, F.lit(":".join(fields)), F.replace(sample, F.lit("@"), sep))
     return x.select("contig", pos.alias("pos"), line.alias("line"))
 
 

@@ -74,3 +74,8 @@ def test_sections_of_far_loci(spark, tmp_path):
     assert {(r["contig"], r["start_pos"]) for r in formats.trf_dat(spark, str(tmp_path)).collect()} == want
     got = [(r["contig"], r["start_pos"]) for r in sorted(formats.trf_dat_sorted(spark, str(tmp_path)).collect(), key=lambda r: r["place"])]
     assert got == sorted(want, key=lambda x: (int(x[0][3:]), x[1]))
+
+
+def test_record_expressions_are_not_copied(spark, small):
+    plan = formats.vcf_records(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") < 20
