@@ -4,13 +4,14 @@ import sys
 import time
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from motiflake.kernels import em
 from motiflake.operators import genotype, intervals
-from motiflake.plans import formats
+from motiflake.plans import fixtures, formats
 from motiflake.sinks import vcf
 
 
@@ -79,3 +80,10 @@ def test_sections_of_far_loci(spark, tmp_path):
 def test_record_expressions_are_not_copied(spark, small):
     plan = formats.vcf_records(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") < 20
+
+
+def test_pvalues_have_the_bits_of_sql(spark, tmp_path):
+    spark.range(20_000).selectExpr("id event_id", "id / 50.0D value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = {r[0]: r[1] for r in duckdb.connect().sql(f"with events as (select * from '{tmp_path}/events.parquet/*.parquet') {fixtures.PVALUES}").fetchall()}
+    got = {r["id"]: r["p"] for r in fixtures.fixture(spark, str(tmp_path), "pvalues").collect()}
+    assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) < 50  # 2,000 of Spark's own powers
