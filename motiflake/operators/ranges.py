@@ -20,12 +20,19 @@ def buckets(rows: int) -> int:
 
 
 def bucket_of(key: Column, bounds: Column, n: int) -> Column:
-    """How many of n ascending bounds (an array) are less than the key, by a coarse and a fine step."""
-    if n <= STEP:
-        return F.size(F.filter(bounds, lambda b: b < key))
-    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(n), F.lit(STEP)), lambda i: F.element_at(bounds, i)), lambda b: b < key))
-    fine = F.size(F.filter(F.slice(bounds, F.greatest((coarse - 1) * STEP + 1, F.lit(1)), F.lit(STEP)), lambda b: b < key))
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * STEP + fine)
+    """How many of n ascending bounds (an array) are less than the key, by a coarse and a fine step.
+
+    The key is the one entry of an array: as a plain column the optimiser may put its whole expression (the parsing of a
+    line, say) into the comparison with each bound."""
+
+    def found(k: Column) -> Column:
+        if n <= STEP:
+            return F.size(F.filter(bounds, lambda b: b < k))
+        coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(n), F.lit(STEP)), lambda i: F.element_at(bounds, i)), lambda b: b < k))
+        fine = F.transform(F.array(coarse), lambda c: F.when(c == 0, F.lit(0)).otherwise((c - 1) * STEP + F.size(F.filter(F.slice(bounds, F.greatest((c - 1) * STEP + 1, F.lit(1)), F.lit(STEP)), lambda b: b < k))))
+        return F.get(fine, F.lit(0))
+
+    return F.get(F.transform(F.array(key), found), F.lit(0))
 
 
 def bounds_of(df: DataFrame, order: list[str], rows: int) -> tuple[Column, int]:

@@ -60,6 +60,12 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text.replace("{s}", "string").replace(f"from {base}", "from {base}"), base=table(spark, sf_dir, base))
 
 
+def spread_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """loci, dealt to all cores before anything is made of them: a file of millions of them is a few megabytes, one task."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return spark.sql(LOCI.replace("{s}", "string").replace("from part", "from {part}"), part=part)
+
+
 def sql(body: str, *names: str) -> str:
     """DuckDB text: the body after the projections it names (and those that they need)."""
     need = []

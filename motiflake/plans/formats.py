@@ -13,16 +13,17 @@ from ..sinks import vcf as V
 from ..sources import bed, callers, gff, reads, trf
 from ..sources import ploidy as P
 from ..sources import vcf as vcf_source
-from .fixtures import fixture, sql
+from .fixtures import fixture, spread_loci, sql
 from .registry import query
 
 
 def bed_lines(spark, sf):
     """The loci as catalog lines between comments and blank lines; every third names an id."""
+    loci = spread_loci(spark, sf)
     last = F.when(F.col("locus_index") % 3 == 0, F.concat(F.lit("ID=L"), F.col("locus_index"), F.lit("; Motif = "), F.lower("motif"))).otherwise(F.col("motif"))
     row = F.concat_ws("\t", "contig", F.col("start_pos").cast("string"), F.col("end_pos").cast("string"), last)
-    x = fixture(spark, sf, "loci").select((F.col("locus_index") * 3).alias("line"), row.alias("value"))
-    noise = fixture(spark, sf, "loci").where("locus_index % 5 = 0")
+    x = loci.select((F.col("locus_index") * 3).alias("line"), row.alias("value"))
+    noise = loci.where("locus_index % 5 = 0")
     return x.unionByName(noise.select((F.col("locus_index") * 3 + 1).alias("line"), F.lit("# a comment").alias("value"))).unionByName(noise.select((F.col("locus_index") * 3 + 2).alias("line"), F.lit("  ").alias("value")))
 
 
@@ -334,7 +335,7 @@ def reference_slices(spark, sf):
     from .fixtures import table
 
     d = table(spark, sf, "documents").selectExpr("doc_id", "regexp_replace(text,'[^A-Za-z]','n') t").where("length(t) > doc_id%100")
-    body = d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 60)), lambda i: F.col("t").substr((i * 60 + 1).cast("int"), F.lit(60)))).alias("i", "value"))
+    body = d.select("doc_id", F.posexplode(F.regexp_extract_all("t", F.lit(".{1,60}"), F.lit(0))).alias("i", "value"))  # letters only
     lines = body.selectExpr("doc_id*1000000L+i+1 line", "value").unionByName(d.selectExpr("doc_id*1000000L line", "concat('>',doc_id,' x') value"))
     chunks = reads.fasta_chunks(lines, 128)
     spans = d.selectExpr("doc_id", "cast(doc_id as string) contig", "doc_id%100 s", "doc_id%100+150 e")

@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def rows(lines: DataFrame) -> DataFrame:
     """line and cols (array) of the lines that are neither blank nor comments."""
-    text = F.regexp_replace("value", r"^\s+|\s+$", "")
+    text = F.btrim("value", F.lit(" \t\n\x0b\f\r"))
     return lines.where((text != "") & ~text.startswith("#")).select("line", F.split(text, "\t").alias("cols"))
 
 

@@ -10,9 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from motiflake.kernels import em
-from motiflake.operators import genotype, intervals
+from motiflake.operators import genotype, intervals, ranges
 from motiflake.plans import fixtures, formats
-from motiflake.sinks import vcf
 
 
 def calls_of(run) -> int:
@@ -87,3 +86,16 @@ def test_pvalues_have_the_bits_of_sql(spark, tmp_path):
     want = {r[0]: r[1] for r in duckdb.connect().sql(f"with events as (select * from '{tmp_path}/events.parquet/*.parquet') {fixtures.PVALUES}").fetchall()}
     got = {r["id"]: r["p"] for r in fixtures.fixture(spark, str(tmp_path), "pvalues").collect()}
     assert got.keys() == want.keys() and sum(got[k] != want[k] for k in want) < 50  # 2,000 of Spark's own powers
+
+
+def test_keys_are_made_once_for_all_bounds(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS", 40)
+    lines = spark.range(3000).selectExpr("concat('  a', id, ' ') v").select(F.regexp_replace("v", r"^\s+|\s+$", "").alias("v"))
+    got = ranges.numbered(lines.withColumn("k", F.length("v")), ["k", "v"])
+    assert "< struct(" not in got._jdf.queryExecution().optimizedPlan().toString()  # made anew for each bound
+    assert got.where("line = 1").first()["v"] == "a0"
+
+
+def test_catalog_lines_are_made_on_all_cores(spark, small):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert formats.rows(spark, small).rdd.getNumPartitions() >= n
