@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from motiflake.kernels import em
 from motiflake.operators import genotype, intervals, ranges
 from motiflake.plans import fixtures, formats
+from motiflake.sources import reads
 
 
 def calls_of(run) -> int:
@@ -96,6 +97,18 @@ def test_keys_are_made_once_for_all_bounds(spark, monkeypatch):
     assert got.where("line = 1").first()["v"] == "a0"
 
 
-def test_catalog_lines_are_made_on_all_cores(spark, small):
+def test_catalog_lines_and_genomes_are_made_on_all_cores(spark, small):
+    from motiflake.plans import kernels
+
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert formats.rows(spark, small).rdd.getNumPartitions() >= n
+    assert formats.rows(spark, small).rdd.getNumPartitions() >= n and kernels.genome(spark, small).rdd.getNumPartitions() == n
+
+
+def test_chunks_take_one_deal_of_the_lines(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(reads, "ranged", lambda *a: dealt.append(a) or ranges.ranged(*a))
+    monkeypatch.setattr(ranges, "ROWS", 5)
+    fasta = ["lost", ">a x", "AC", "GT" * 9, ">none", ">b", *["ACGTT"] * 30]
+    got = reads.fasta_chunks(spark.createDataFrame(list(enumerate(fasta)), "line long, value string").repartition(3), 7).collect()
+    text = lambda c: "".join(r["seq"] for r in sorted(got, key=lambda r: r["chunk"]) if r["contig"] == c)
+    assert len(dealt) == 1 and {r["contig"] for r in got} == {"a", "b"} and text("a") == "AC" + "GT" * 9 and text("b") == "ACGTT" * 30
