@@ -112,3 +112,11 @@ def test_chunks_take_one_deal_of_the_lines(spark, monkeypatch):
     got = reads.fasta_chunks(spark.createDataFrame(list(enumerate(fasta)), "line long, value string").repartition(3), 7).collect()
     text = lambda c: "".join(r["seq"] for r in sorted(got, key=lambda r: r["chunk"]) if r["contig"] == c)
     assert len(dealt) == 1 and {r["contig"] for r in got} == {"a", "b"} and text("a") == "AC" + "GT" * 9 and text("b") == "ACGTT" * 30
+
+
+def test_loci_and_reads_are_no_table_on_the_driver(spark, small):
+    from motiflake.plans.queries import QUERIES
+
+    for name in ("m19_m20_counts_from_reads", "f30_reference_count"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
