@@ -120,3 +120,11 @@ def test_loci_and_reads_are_no_table_on_the_driver(spark, small):
     for name in ("m19_m20_counts_from_reads", "f30_reference_count"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_long_text_is_cut_in_one_pass(spark, tmp_path):
+    text = "AbcdeFghij" * 150_000
+    spark.createDataFrame([(7, text), (8, "a b")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.perf_counter()
+    assert {r["doc_id"]: r["ref_seq"] for r in formats.reference_slices(spark, str(tmp_path)).collect()} == {7: text[7:157].upper()}
+    assert time.perf_counter() - began < 30  # each line was sought from the start
